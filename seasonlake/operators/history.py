@@ -28,6 +28,13 @@ def look_back(
     return df.withColumn(target, F.explode(F.sequence(F.col(season) + 1, last)))
 
 
+def later_seasons(df: DataFrame, last: Column, season: str, target: str) -> DataFrame:
+    """Every row once per season after its own, up to ``last``."""
+    known = df.withColumn("_last", last).where(F.col(season) < F.col("_last"))
+    span = F.sequence(F.col(season) + 1, F.col("_last"))
+    return known.withColumn(target, F.explode(span)).drop("_last")
+
+
 def recency_baseline(
     seasons: DataFrame,
     values: Sequence[str],

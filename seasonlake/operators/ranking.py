@@ -47,11 +47,16 @@ def _bin_of(value: Column, descending: bool, per_octave: int = _BINS_PER_OCTAVE)
     return F.coalesce(-bins if descending else bins, F.lit(_NULL_BIN).cast("long"))
 
 
-def value_table(df: DataFrame, group: Sequence[str], by: str, descending: bool = False) -> DataFrame:
-    """(group, value, n, before, total): how many rows precede each distinct value."""
+def value_table(
+    df: DataFrame, group: Sequence[str], by: str, descending: bool = False, then: Sequence[str] = ()
+) -> DataFrame:
+    """(group, value, n, before, total): how many rows precede each distinct value.
+
+    ``then`` names further ascending columns that split one value into ordered parts.
+    """
     keys = list(group)
     values = (
-        df.groupBy(*keys, by)
+        df.groupBy(*keys, by, *then)
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("_bin", _bin_of(F.col(by), descending))
     )
@@ -66,13 +71,13 @@ def value_table(df: DataFrame, group: Sequence[str], by: str, descending: bool =
     )
     inside = (
         W.partitionBy(*keys, "_bin")
-        .orderBy(_directed(F.col(by), descending))
+        .orderBy(_directed(F.col(by), descending), *then)
         .rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         values.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(bins, [*keys, "_bin"])
-        .select(*keys, by, "n", (F.col("_inside") + F.col("_offset")).alias("before"), "total")
+        .select(*keys, by, *then, "n", (F.col("_inside") + F.col("_offset")).alias("before"), "total")
     )
 
 
@@ -154,25 +159,24 @@ def with_position(
         every = W.partitionBy(*keys)
         out = df.withColumn(name, F.row_number().over(every.orderBy(*order)).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(every)) if total else out
-    rows = df.withColumn("_b1", _bin_of(F.col(by), descending)).withColumn(
-        "_b2", order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE)
-    )
-    bins = rows.groupBy(*keys, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    in_group = W.partitionBy(*keys)
-    earlier = in_group.orderBy("_b1", "_b2").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.select(
-        *keys,
-        "_b1",
-        "_b2",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(in_group).alias("_total"),
+    rows = df.withColumn("_part", order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE))
+    table = value_table(rows, keys, by, descending, then=["_part"])
+    right = table.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col(by).alias("_v"),
+        F.col("_part").alias("_k_part"),
+        "before",
+        F.col("total").alias("_total"),
     )
-    inside = W.partitionBy(*keys, "_b1", "_b2").orderBy(*order)
-    rows = rows.withColumn("_inside", F.row_number().over(inside)).join(bins, [*keys, "_b1", "_b2"])
-    made = [(F.col("_inside") + F.col("_offset")).cast("long").alias(name)]
+    # rows equal in value and tie part; a value shared by a third of all rows is still split
+    peers = W.partitionBy(*keys, by, "_part").orderBy(F.col(tie).asc())
+    rows = rows.withColumn("_inside", F.row_number().over(peers))
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    on += [F.col(by).eqNullSafe(F.col("_v")), F.col("_part") == F.col("_k_part")]
+    made = [(F.col("_inside") + F.col("before")).cast("long").alias(name)]
     if total:
         made.append(F.col("_total").cast("long").alias(total))
-    return rows.select(*df.columns, *made)
+    return rows.join(right, on).select(*df.columns, *made)
 
 
 def tile_of(position: Column, total: Column, tiles: int) -> Column:

@@ -15,21 +15,21 @@ MIN_GAMES = 2
 
 
 def season_metrics(t: Tables) -> DataFrame:
-    """Season rows with per-game numbers; the urgent mean is NULL without urgent orders."""
+    """Season rows with per-game numbers in whole cents; no urgent orders, no urgent mean."""
     urgent = F.when(F.col("source") == "1-URGENT", F.col("points_c"))
     return t.orders().groupBy("entity_id", "season").agg(
         F.count(F.lit(1)).alias("games"),
-        (F.sum("points_c") / F.count(F.lit(1))).alias("ppg"),
+        F.round(F.sum("points_c") / F.count(F.lit(1))).cast("long").alias("ppg"),
         F.avg((F.col("source") == "2-HIGH").cast("double")).alias("high_share"),
-        (F.sum(urgent) / F.count(urgent)).alias("urgent_mean"),
+        F.round(F.sum(urgent) / F.nullif(F.count(urgent), F.lit(0))).cast("long").alias("urgent_mean"),
     )
 
 
 METRICS = """m AS (
-  SELECT entity_id, season, count(*) AS games, sum(points_c) * 1.0 / count(*) AS ppg,
+  SELECT entity_id, season, count(*) AS games, CAST(round(sum(points_c) / count(*)) AS BIGINT) AS ppg,
          avg(CAST(source = '2-HIGH' AS DOUBLE)) AS high_share,
-         sum(points_c) FILTER (WHERE source = '1-URGENT') * 1.0
-           / nullif(count(*) FILTER (WHERE source = '1-URGENT'), 0) AS urgent_mean
+         CAST(round(sum(points_c) FILTER (WHERE source = '1-URGENT')
+           / nullif(count(*) FILTER (WHERE source = '1-URGENT'), 0)) AS BIGINT) AS urgent_mean
   FROM o GROUP BY entity_id, season)"""
 BASELINE = f"""{METRICS},
   ts AS (SELECT unnest(generate_series(min(season) + 1, max(season) + 1)) AS target_season

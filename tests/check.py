@@ -6,7 +6,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from oracle import compare, duck  # noqa: E402
+from oracle import LAST_SQL_SECONDS, compare, duck  # noqa: E402
 from seasonlake.plans import ORACLES, QUERIES, load  # noqa: E402
 from seasonlake.session import build_session  # noqa: E402
 
@@ -36,7 +36,7 @@ def main() -> None:
             status, n = f"ERROR {type(error).__name__}: {str(error)[:600]}", -1
         ok = status == "exact" or status == "rows-only"
         bad += not ok
-        print(f"{'ok ' if ok else 'BAD'} {name:28s} {n:7d} {time.time() - start:6.2f}s {status}", flush=True)
+        print(f"{'ok ' if ok else 'BAD'} {name:28s} {n:7d} {time.time() - start:6.2f}s (sql {LAST_SQL_SECONDS[0]:.2f}) {status}", flush=True)
     print(f"{bad} to look at")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import time
 
 import duckdb
 
@@ -14,6 +15,9 @@ TABLES = (
 ).split()
 
 
+LAST_SQL_SECONDS = [0.0]
+
+
 def duck(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -64,9 +68,11 @@ def compare(df, con, sql) -> tuple[str, int]:
     """('exact' | 'near' | description of the difference, row count)."""
     got_cols = df.columns
     got = rows_of(got_cols, [tuple(r) for r in df.collect()])
+    started = time.time()
     cur = con.execute(sql)
     want_cols = [d[0] for d in cur.description]
     want = rows_of(want_cols, cur.fetchall())
+    LAST_SQL_SECONDS[0] = time.time() - started
     if sorted(got_cols) != sorted(want_cols):
         return f"columns {sorted(set(got_cols) ^ set(want_cols))}", len(got)
     if len(got) != len(want):
