@@ -82,6 +82,13 @@ def coverage_metrics(actual: Column, low: Column, high: Column) -> dict[str, Col
     }
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation of complete pairs, NULL when either side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(spread))
+
+
 def through_origin(x: Column, y: Column) -> Column:
     """Aggregate: least-squares slope of a line through the origin."""
     return F.sum(x * y) / F.nullif(F.sum(x * x), F.lit(0))

@@ -39,16 +39,21 @@ def _pool_blocks(keys: Sequence[str]):
     return pool
 
 
+SPLIT_ABOVE = 50_000
+
+
 def monotone_blocks(points: DataFrame, keys: Sequence[str], x: str, total: str, weight: str) -> DataFrame:
     """Non-increasing isotonic blocks of pre-aggregated points, one row per block.
 
-    ``points`` has one row per (keys, x). Each group is first pooled inside
-    ordered ranges of x, in parallel, and only the surviving blocks meet per group.
+    ``points`` has one row per (keys, x). A group with many points is first pooled
+    inside ordered ranges of x, in parallel, and only the surviving blocks meet.
     """
     keys = list(keys)
-    blocks = points.select(
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points"))
+    split = F.when(F.col("_points") > SPLIT_ABOVE, order_bin(F.col(x))).otherwise(F.lit(0))
+    blocks = points.join(sizes, keys).select(
         *keys,
-        order_bin(F.col(x), 8).alias("_range"),
+        split.cast("long").alias("_range"),
         F.col(x).cast("double").alias("x_lo"),
         F.col(x).cast("double").alias("x_hi"),
         F.col(total).cast("double").alias("total"),

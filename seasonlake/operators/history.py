@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from seasonlake.functions.fixed_values import RECENCY_TENTHS
-from seasonlake.functions.stats import recency_tenths, weighted_mean
+from seasonlake.functions.stats import correlation, recency_tenths, weighted_mean
 
 
 def look_back(
@@ -131,7 +131,7 @@ def stability_table(
     """One row per column: correlation with its partner, and the pair count."""
     wide = pairs.agg(
         F.count(F.lit(1)).alias("pairs"),
-        *[F.corr(c, f"{c}{suffix}").alias(c) for c in columns],
+        *[correlation(F.col(c), F.col(f"{c}{suffix}")).alias(c) for c in columns],
     )
     stacked = ", ".join(f"'{c}', `{c}`" for c in columns)
     return wide.selectExpr("pairs", f"stack({len(columns)}, {stacked}) AS (stat, {name})")

@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from seasonlake.functions.stats import correlation
 from seasonlake.session import pinned
 
 _BINS_PER_OCTAVE = 64
@@ -238,7 +239,4 @@ def spearman(
     both = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*group, left, right)
     both = with_rank(both, group, left, bounded=bounded, average_rank="_left")
     both = with_rank(both, group, right, bounded=bounded, average_rank="_right")
-    flat = (F.max("_left") == F.min("_left")) | (F.max("_right") == F.min("_right"))
-    return both.groupBy(*group).agg(
-        F.when(~flat, F.corr("_left", "_right")).alias(name)
-    )
+    return both.groupBy(*group).agg(correlation(F.col("_left"), F.col("_right")).alias(name))
