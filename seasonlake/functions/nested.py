@@ -42,13 +42,16 @@ def count_value(items: Column, value: str) -> Column:
     return F.coalesce(F.when(items.isNotNull(), hits), F.lit(0)).cast("long")
 
 
-def points_by_id(items: Column, ids: Mapping[str, int], key: str = "statId", value: str = "points"):
+def points_by_id(items: Column, ids: Mapping[str, int], key: str = "statId", value: str = "points") -> list[Column]:
     """array<struct(id, points)> -> one column per wanted id, absent ids 0.0."""
-    made = []
-    for name, wanted in ids.items():
-        found = F.try_element_at(F.filter(items, lambda x, w=wanted: x[key] == w), F.lit(1))[value]
-        made.append(F.coalesce(found, F.lit(0.0)).cast("double").alias(name))
-    return made
+
+    def priced(wanted: int) -> Column:
+        return first_match(items, lambda item: item[key] == wanted)[value]
+
+    return [
+        F.coalesce(priced(wanted), F.lit(0.0)).cast("double").alias(name)
+        for name, wanted in ids.items()
+    ]
 
 
 def literal_items(text: Column, schema: str = "array<struct<statId:bigint,points:double>>") -> Column:

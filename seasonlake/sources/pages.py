@@ -86,7 +86,8 @@ def header_rows(
     innermost table. Rows with fewer than three cells or a bad number are skipped.
     """
     keep = [c for c in pages.columns if c != html]
-    opened = F.slice(F.split(F.col(html), r"<table\b"), F.lit(2), F.lit(2**31 - 1))
+    pieces = F.split(F.col(html), r"<table\b")
+    opened = F.slice(pieces, F.lit(2), F.size(pieces))
     inner = F.transform(
         F.filter(opened, lambda p: F.contains(p, F.lit("</table>"))),
         lambda p: F.element_at(F.split(p, "</table>"), 1),
