@@ -8,13 +8,25 @@ exact and two evaluations of one plan agree to the bit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from seasonlake.session import pinned
+
 
 def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
+_GOLD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def forget_gold() -> None:
+    """Drop the derived tables of this session, so the next reader builds its own."""
+    _GOLD.clear()
+
+
 class Tables:
     """Lazy readers for one scale-factor folder."""
 
@@ -28,6 +40,16 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def gold(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table written once per session and read by everything after it.
+
+        The copy lies in the shared checkpoint folder, as a saved table would.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _GOLD:
+            _GOLD[key] = pinned(build())
+        return _GOLD[key]
+
     def orders(self) -> DataFrame:
         """One row per order: entity_id, season, week, day, source, status, points_c."""
         day = F.col("o_orderdate").cast("date")

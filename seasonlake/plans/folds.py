@@ -103,10 +103,10 @@ _EDGES = ", ".join(f"quantile_cont(projected_surplus, {i / 10}) AS e{i}" for i i
 )
 def decile_table(t: Tables) -> DataFrame:
     """Realised surplus by decile of the preseason call."""
-    df = surplus_board(t).where(
+    df = t.gold("surplus", lambda: surplus_board(t)).where(
         (F.col("league_key") == REFERENCE) & F.col("surplus_value").isNotNull() & F.col("projected_surplus").isNotNull()
     )
-    return quantile_bins(pinned(df), "projected_surplus", 10).groupBy("bin").agg(
+    return quantile_bins(df, "projected_surplus", 10).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("projected_surplus"), 2).alias("mean_projected"),
         F.round(F.avg("surplus_value"), 2).alias("mean_realised"),
@@ -140,7 +140,8 @@ CELLS = f"""ce0 AS (
 
 
 def cell_table(t: Tables) -> DataFrame:
-    return archetype_outcomes(archetype_frame(t), REFERENCE, min_rows=20, min_t=1.0)
+    frame = t.gold("archetypes", lambda: archetype_frame(t))
+    return archetype_outcomes(frame, REFERENCE, min_rows=20, min_t=1.0)
 
 
 @query(

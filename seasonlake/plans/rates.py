@@ -79,6 +79,10 @@ def supplier_seasons(t: Tables) -> DataFrame:
     return sums
 
 
+def seasons_table(t: Tables) -> DataFrame:
+    return t.gold("supplier_seasons", lambda: supplier_seasons(t))
+
+
 WEEKLY = """sh AS (
     SELECT supplier_id AS entity_id, l.season, l.week, units, discount_pct, return_flag, team
     FROM l JOIN o USING (order_id) JOIN ent ON ent.entity_id = o.entity_id WHERE l.season < 2002),
@@ -197,7 +201,7 @@ FIT = FIT.replace("(11 - (S - season))", "(11 - (tg.target - season))")
 )
 def shrink_grid(t: Tables) -> DataFrame:
     """The shrinkage strength that best predicted the next season, per fold."""
-    fit = rate_fit(pinned(supplier_seasons(t)))
+    fit = rate_fit(seasons_table(t))
     return fit.select(
         "metric", F.col("target_season").cast("long").alias("target_season"),
         F.round("prior", 8).alias("prior"), "k",
@@ -299,7 +303,7 @@ PROJ = f"""ros AS (
 )
 def shrunk_rate(t: Tables) -> DataFrame:
     """Each supplier's rates pulled toward the league by the fitted strength."""
-    df = projections(pinned(supplier_seasons(t)))
+    df = projections(seasons_table(t))
     return df.select(
         "target_season", "entity_id", "seasons_used", *[F.round(m, 6).alias(m) for m in RATES]
     )
@@ -312,7 +316,7 @@ def shrunk_rate(t: Tables) -> DataFrame:
 )
 def incumbency_games(t: Tables) -> DataFrame:
     """Expected games by how settled the job is, from earlier seasons."""
-    seasons = pinned(supplier_seasons(t))
+    seasons = seasons_table(t)
     roster = seasons.select("entity_id", "season", F.col("first_team").alias("team"), "games")
     labelled = incumbency(roster, seasons.select("entity_id", "season", "team"))
     out = games_by_label(labelled, F.lit(UPCOMING))
@@ -333,7 +337,7 @@ def incumbency_games(t: Tables) -> DataFrame:
 )
 def component_projection(t: Tables) -> DataFrame:
     """The upcoming season from its components, beside an outside number where 0 means absent."""
-    df = projections(pinned(supplier_seasons(t))).where(F.col("target_season") == UPCOMING)
+    df = projections(seasons_table(t)).where(F.col("target_season") == UPCOMING)
     said = F.when(F.col("s_suppkey") % 5 == 0, 0.0).otherwise(F.col("s_acctbal"))
     feed = t.raw("supplier").select(
         F.col("s_suppkey").alias("entity_id"), F.nullif(said, F.lit(0.0)).alias("external")
@@ -379,7 +383,7 @@ PREDICTIONS = {p: p for p in ("model", "prior_points", "prior_ppg", "league_mean
 
 
 def backtest(t: Tables) -> DataFrame:
-    folds = pinned(backtest_folds(pinned(supplier_seasons(t))))
+    folds = pinned(backtest_folds(seasons_table(t)))
     long = stack_predictions(folds, ["target_season", "entity_id", "actual"], PREDICTIONS)
     return fold_metrics(long, ("target_season", "prediction"), "actual", "predicted", "entity_id")
 

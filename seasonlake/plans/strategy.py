@@ -124,13 +124,17 @@ def trial_results(t: Tables) -> DataFrame:
     totals = lineup.lineup_value(drafted, seat, SLOTS, POOLS)
     opening = F.col("round") <= OPENING
     counts = drafted.groupBy(*seat).agg(
-        F.first("team_count").alias("team_count"), F.first("is_actual").alias("is_actual"),
+        F.max("team_count").alias("team_count"), F.max("is_actual").alias("is_actual"),
         *[F.count_if(opening & (F.col("position") == p)).alias(f"n_{p}") for p in SHORT],
     )
     label = composition_label([(s, F.col(f"n_{p}")) for p, s in SHORT.items()])
     rows = totals.join(counts, seat).withColumn("strategy", label)
     rows = against_field(rows, TRIAL)
-    return pinned(rows.drop(*[f"n_{p}" for p in SHORT]))
+    return rows.drop(*[f"n_{p}" for p in SHORT])
+
+
+def results(t: Tables) -> DataFrame:
+    return t.gold("trials", lambda: trial_results(t))
 
 
 @query(
@@ -178,7 +182,7 @@ _ROUNDED = {"starter_points": 3, "points_vs_field": 3, "finish_rank": 6, "win_ra
 
 
 def summary(t: Tables) -> DataFrame:
-    return strategy_summary(trial_results(t), ["league_key", "variant", "strategy", "is_actual"])
+    return strategy_summary(results(t), ["league_key", "variant", "strategy", "is_actual"])
 
 
 @query(
@@ -243,9 +247,9 @@ def in_all_groups(t: Tables) -> DataFrame:
 )
 def slope_test(t: Tables) -> DataFrame:
     """Value of one more opening pick at a position, tested over seasons."""
-    results = trial_results(t).where("is_actual")
+    actual = results(t).where("is_actual")
     arms = [
-        results.select("league_key", "season", F.lit(p).alias("position"), "points_vs_field",
+        actual.select("league_key", "season", F.lit(p).alias("position"), "points_vs_field",
                        label_count(F.col("strategy"), p).alias("n"))
         for p in SHORT.values()
     ]

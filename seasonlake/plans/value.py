@@ -292,10 +292,8 @@ def people_facts(t: Tables) -> DataFrame:
 
 def archetype_frame(t: Tables) -> DataFrame:
     """Priced rows with prior counters, class and walk-forward edge."""
-    results = pinned(
-        buckets(t).select(
-            "league_key", "season", "entity_id", "position", "price", "outcome_bucket", "is_elite_finish"
-        )
+    results = t.gold("buckets", lambda: buckets(t)).select(
+        "league_key", "season", "entity_id", "position", "price", "outcome_bucket", "is_elite_finish"
     )
     last = t.totals().agg(F.max("season").alias("m")).scalar()
     live = with_settings(
@@ -306,7 +304,7 @@ def archetype_frame(t: Tables) -> DataFrame:
     rows = prior_counters(rows, ["league_key", "entity_id"], F.col("is_elite_finish"))
     rows = rows.where(F.col("price").isNotNull())
     rows = rows.join(people_facts(t), "entity_id", "left")
-    surplus = pinned(surplus_board(t)).select("league_key", "season", "entity_id", "surplus_centered", "projected_surplus")
+    surplus = t.gold("surplus", lambda: surplus_board(t)).select("league_key", "season", "entity_id", "surplus_centered", "projected_surplus")
     rows = rows.join(surplus, ["league_key", "season", "entity_id"], "left")
     rows = rows.withColumn("seasons_of_experience", F.col("season") - F.col("first_season"))
     rows = rows.withColumn("age_at_season", F.col("season") - year_of(F.col("birth_date")))
@@ -316,7 +314,7 @@ def archetype_frame(t: Tables) -> DataFrame:
                   youth=2, veteran_experience=6, veteran_age=30),
     ).where(F.col("archetype").isNotNull())
     rows = pinned(rows)
-    return walk_forward_edge(rows, REFERENCE, min_rows=20, min_t=1.0)
+    return walk_forward_edge(rows, REFERENCE, min_rows=20, min_t=1.0, min_seasons=2)
 
 
 ARCHETYPE = f"""{FULL_VALUE}, {CHART}, {BUCKETS},
@@ -354,7 +352,7 @@ ARCHETYPE = f"""{FULL_VALUE}, {CHART}, {BUCKETS},
     FROM tgt t JOIN ar a ON a.season < t.season AND a.surplus_centered IS NOT NULL AND a.league_key = '{REFERENCE}'
     GROUP BY 1, 2, 3),
   af AS (
-    SELECT ar.*, CASE WHEN k >= 3 THEN COALESCE(edge, 0.0) END AS archetype_edge
+    SELECT ar.*, CASE WHEN k >= 2 THEN COALESCE(edge, 0.0) END AS archetype_edge
     FROM ar JOIN tgt ON tgt.season = ar.season LEFT JOIN ed ON ed.season = ar.season AND ed.position = ar.position AND ed.archetype = ar.archetype)"""
 
 
