@@ -7,7 +7,7 @@ each (group, bin) and add the number of rows in the earlier bins:
 
     position in group = position in (group, bin) + rows in earlier bins
 
-The bin table holds at most a few thousand rows per group whatever the data size.
+The bin table holds at most some ten thousand rows per group whatever the data size.
 Rank-like outputs first collapse the rows to (group, value, count), so a value
 shared by many rows is one row by then.
 
@@ -15,6 +15,8 @@ shared by many rows is one row by then.
 of exact sums); pass ``pin=True`` for a float sum or a random column, which
 checkpoints the input first. ``bounded=True`` states that the size of a group is
 limited by a fixed dimension (seasons, sources, teams) and uses the plain window.
+``source`` names a frame with the same (group, value) rows to count from: when one
+frame gets several ranks, counting from the first frame keeps the plan flat.
 """
 
 from __future__ import annotations
@@ -27,15 +29,19 @@ from pyspark.sql.window import Window as W
 from seasonlake.functions.stats import correlation
 from seasonlake.session import pinned
 
-_BINS_PER_OCTAVE = 64
+_BINS_PER_OCTAVE = 512
 _TIE_BINS_PER_OCTAVE = 8
+_SMALLEST = 1024.0
 _NULL_BIN = 2**31
 
 
 def order_bin(value: Column, per_octave: int = _BINS_PER_OCTAVE) -> Column:
-    """Monotone integer bin of a number: a log scale on both sides of zero."""
+    """Monotone integer bin of a number: a log scale on both sides of zero.
+
+    A bin is 1/``per_octave`` of a doubling wide; below 1/1024 the scale is linear.
+    """
     x = value.cast("double")
-    width = F.floor(F.log2(F.abs(x) + F.lit(1.0)) * per_octave).cast("long")
+    width = F.floor(F.log2(F.abs(x) * _SMALLEST + F.lit(1.0)) * per_octave).cast("long")
     return F.when(x < 0, -width).otherwise(width)
 
 
@@ -103,6 +109,7 @@ def with_rank(
     bounded: bool = False,
     pin: bool = False,
     keep_null: bool = False,
+    source: DataFrame | None = None,
     **out: str,
 ) -> DataFrame:
     """Add any of ``rank= percent_rank= percent_rank_desc= average_rank= total=`` (= output name).
@@ -114,9 +121,13 @@ def with_rank(
     if pin:
         df = pinned(df)
     if keep_null:
-        ranked = with_rank(
-            df.where(F.col(by).isNotNull()), keys, by, descending, bounded, False, False, **out
-        )
+        known = (df if source is None else source).where(F.col(by).isNotNull())
+        if not bounded:
+            table = value_table(known, keys, by, descending)
+            return df.join(_ranked_values(table, keys, by, out), *_on_value(keys, by), "left").select(
+                *df.columns, *out.values()
+            )
+        ranked = with_rank(df.where(F.col(by).isNotNull()), keys, by, descending, True, **out)
         return ranked.unionByName(df.where(F.col(by).isNull()), allowMissingColumns=True)
     if bounded:
         every = W.partitionBy(*keys)
@@ -130,14 +141,23 @@ def with_rank(
             ranked = ranked.withColumn("_peers", F.lit(1))
         columns = _rank_columns(F.col("_before"), F.col("_peers"), F.col("_total"), out)
         return ranked.select(*df.columns, *columns)
-    table = value_table(df, keys, by, descending)
-    right = table.select(
+    table = value_table(df if source is None else source, keys, by, descending)
+    right = _ranked_values(table, keys, by, out)
+    return df.join(right, *_on_value(keys, by)).select(*df.columns, *out.values())
+
+
+def _ranked_values(table: DataFrame, keys: list[str], by: str, out: dict[str, str]) -> DataFrame:
+    return table.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(by).alias("_v"),
         *_rank_columns(F.col("before"), F.col("n"), F.col("total"), out),
     )
-    on = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(by).eqNullSafe(F.col("_v"))]
-    return df.join(right, on).select(*df.columns, *out.values())
+
+
+def _on_value(keys: list[str], by: str) -> list:
+    return [
+        [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(by).eqNullSafe(F.col("_v"))]
+    ]
 
 
 def with_position(
@@ -150,6 +170,7 @@ def with_position(
     total: str | None = None,
     bounded: bool = False,
     pin: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """ROW_NUMBER by ``by`` then the unique numeric ``tie`` ascending; 1-based."""
     keys = list(group)
@@ -160,8 +181,10 @@ def with_position(
         every = W.partitionBy(*keys)
         out = df.withColumn(name, F.row_number().over(every.orderBy(*order)).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(every)) if total else out
-    rows = df.withColumn("_part", order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE))
-    table = value_table(rows, keys, by, descending, then=["_part"])
+    part = order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE)
+    rows = df.withColumn("_part", part)
+    counted = (df if source is None else source).withColumn("_part", part)
+    table = value_table(counted, keys, by, descending, then=["_part"])
     right = table.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(by).alias("_v"),
@@ -237,6 +260,7 @@ def spearman(
 ) -> DataFrame:
     """Rank correlation per group, ties at their average rank; NULL pairs dropped."""
     both = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*group, left, right)
+    pairs = both
     both = with_rank(both, group, left, bounded=bounded, average_rank="_left")
-    both = with_rank(both, group, right, bounded=bounded, average_rank="_right")
+    both = with_rank(both, group, right, bounded=bounded, source=pairs, average_rank="_right")
     return both.groupBy(*group).agg(correlation(F.col("_left"), F.col("_right")).alias(name))

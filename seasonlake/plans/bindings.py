@@ -64,6 +64,10 @@ class Tables:
             cents("o_totalprice").alias("points_c"),
         )
 
+    def newest_season(self) -> Column:
+        """Scalar subquery over one pruned column."""
+        return self.orders().agg(F.max("season").alias("m")).scalar()
+
     def entities(self) -> DataFrame:
         """entity_id, entity_name, position, team (nation name)."""
         customer = self.raw("customer").select(

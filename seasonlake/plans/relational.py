@@ -77,10 +77,13 @@ def rank_suite(t: Tables) -> DataFrame:
     """Rank, percentile, position, quintile and average rank in large groups."""
     keys = ["season", "position"]
     df = t.season_totals().select("entity_id", "season", "position", "points_c", "games")
-    df = with_rank(df, keys, "points_c", descending=True, rank="points_rank")
-    df = with_rank(df, keys, "points_c", percent_rank="points_percentile")
-    df = with_position(df, keys, "games", "entity_id", total="field")
-    df = with_rank(df, keys, "games", average_rank="games_average_rank")
+    base = df
+    # one count of the values serves the rank from the top and the percentile from below
+    df = with_rank(
+        df, keys, "points_c", descending=True, rank="points_rank", percent_rank_desc="points_percentile"
+    )
+    df = with_position(df, keys, "games", "entity_id", total="field", source=base)
+    df = with_rank(df, keys, "games", source=base, average_rank="games_average_rank")
     return df.withColumn("quintile", tile_of(F.col("position_rank"), F.col("field"), 5)).withColumn(
         "points_percentile", F.round("points_percentile", 8)
     )

@@ -31,7 +31,7 @@ def boards(t: Tables) -> DataFrame:
         t.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region")),
         "c_nationkey",
     ).select("entity_id", "region")
-    last = t.totals().agg(F.max("season").alias("m")).scalar()
+    last = t.newest_season()
     asked = asking_prices(t).where(F.col("position").isin(*POSITIONS) & (F.col("season") <= last))
     asked = asked.join(region, "entity_id").select("season", "region", "entity_id", "position", "price")
     return with_position(asked, ("season", "region"), "price", "entity_id", descending=False, name="pick")

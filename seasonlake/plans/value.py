@@ -35,9 +35,8 @@ def priced_board(t: Tables) -> DataFrame:
 
     An entity with no season at all is unresolved and dropped.
     """
-    totals = t.totals()
-    career = totals.select("entity_id").distinct()
-    last = totals.agg(F.max("season").alias("m")).scalar()
+    career = t.orders().select("entity_id").distinct()
+    last = t.newest_season()
     asked = asking_prices(t).where(F.col("position").isin(*POSITIONS) & (F.col("season") <= last))
     asked = asked.join(career, "entity_id", "left_semi")
     board = with_settings(asked, SETTINGS, ["league_key"])
@@ -80,7 +79,7 @@ def valued_board(t: Tables) -> DataFrame:
 
 def price_curves(t: Tables, valued: DataFrame) -> DataFrame:
     """Curve per (league, position, season), the live season included."""
-    last = asking_prices(t).agg(F.max("season").alias("m")).scalar()
+    last = t.newest_season() + 1
     return walk_forward_curve(valued, ("league_key", "position"), "slot", "actual_value", last)
 
 
@@ -205,7 +204,7 @@ def surplus_board(t: Tables) -> DataFrame:
     columns = ["league_key", "season", "entity_id", "position", "price", "slot",
                "actual_por", "actual_value", "never_played"]
     asked = asking_prices(t).where(F.col("position").isin(*POSITIONS))
-    last = t.totals().agg(F.max("season").alias("m")).scalar()
+    last = t.newest_season()
     live = with_settings(asked.where(F.col("season") > last), SETTINGS, ["league_key"])
     live = live.select(
         "league_key", "season", "entity_id", "position", "price", slot_of(F.col("price")).alias("slot"),
@@ -217,19 +216,22 @@ def surplus_board(t: Tables) -> DataFrame:
         "expected_value", F.round(curve_value(F.col("curve"), F.col("slot")), 2)
     )
     df = df.join(projected_values(t), ["league_key", "season", "entity_id"], "left")
-    df = pinned(df.drop("curve")).withColumn(
+    df = df.drop("curve").withColumn(
         "surplus_value", F.round(F.col("actual_value") - F.col("expected_value"), 2)
     ).withColumn(
         "projected_surplus", F.round(F.col("projected_value") - F.col("expected_value"), 2)
     )
+    df = pinned(df)
     means = df.groupBy("league_key", "season").agg(F.avg("surplus_value").alias("_mean"))
     df = df.join(means, ["league_key", "season"], "left").withColumn(
         "surplus_centered", F.round(F.col("surplus_value") - F.col("_mean"), 1)
     )
     keys = ("league_key", "season")
+    base = df
     df = with_rank(df, keys, "surplus_value", descending=True, keep_null=True, rank="surplus_rank")
     df = with_rank(
-        df, keys, "projected_surplus", descending=True, keep_null=True, rank="projected_surplus_rank"
+        df, keys, "projected_surplus", descending=True, keep_null=True, source=base,
+        rank="projected_surplus_rank",
     )
     return df.select(
         "league_key", "season", "entity_id", "position", "price", "never_played",
@@ -283,7 +285,7 @@ def percentile_gap(t: Tables) -> DataFrame:
 
 def people_facts(t: Tables) -> DataFrame:
     """First season and a birth date text, unreadable for some."""
-    first = t.totals().groupBy("entity_id").agg(F.min("season").alias("first_season"))
+    first = t.orders().groupBy("entity_id").agg(F.min("season").alias("first_season"))
     born = F.when(F.col("entity_id") % 37 == 0, F.lit("n/a")).otherwise(
         F.concat((1965 + F.col("entity_id") % 13).cast("string"), F.lit("-06-01"))
     )
@@ -295,7 +297,7 @@ def archetype_frame(t: Tables) -> DataFrame:
     results = t.gold("buckets", lambda: buckets(t)).select(
         "league_key", "season", "entity_id", "position", "price", "outcome_bucket", "is_elite_finish"
     )
-    last = t.totals().agg(F.max("season").alias("m")).scalar()
+    last = t.newest_season()
     live = with_settings(
         asking_prices(t).where(F.col("position").isin(*POSITIONS) & (F.col("season") > last)),
         SETTINGS, ["league_key"],
