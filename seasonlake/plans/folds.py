@@ -123,7 +123,7 @@ _RATE_SQL = ", ".join(
     }.items()
 )
 CELLS = f"""ce0 AS (
-    SELECT league_key, position, archetype, count(*) AS n, count(surplus_centered) AS n_scored, round(avg(price), 6) AS mean_price,
+    SELECT league_key, position, archetype, count(*) AS n, count(surplus_centered) AS n_scored, round(avg(price), 3) AS mean_price,
       round(avg(CAST(is_elite_finish AS DOUBLE)), 8) AS elite_finish_rate, avg(surplus_centered) AS mean_surplus,
       stddev_samp(surplus_centered) / sqrt(count(surplus_centered)) AS surplus_se,
       round(avg(CAST(surplus_centered > 0 AS DOUBLE)), 8) AS surplus_positive_rate, {_RATE_SQL}
@@ -152,7 +152,7 @@ def cell_table(t: Tables) -> DataFrame:
 )
 def archetype_rates(t: Tables) -> DataFrame:
     """Outcome rates and the gated edge per league, position and class."""
-    digits = {"mean_surplus": 2, "surplus_se": 2, "surplus_t": 6, "archetype_edge": 2, "mean_price": 6}
+    digits = {"mean_surplus": 2, "surplus_se": 2, "surplus_t": 6, "archetype_edge": 2, "mean_price": 3}
     df = cell_table(t)
     return df.select(*[
         F.round(c, digits.get(c, 8)).alias(c) if kind == "double" else c for c, kind in df.dtypes

@@ -118,7 +118,7 @@ def report_archetype_verdict(t: Tables) -> DataFrame:
     reliable, low = F.col("is_reliable"), F.col("mean_surplus") < 0
     verdict = F.when(reliable & low, "AVOID").when(reliable, "EDGE").otherwise("not distinguishable from zero")
     return cell_table(t).where(F.col("league_key") == REFERENCE).select(
-        "position", "archetype", "n_scored", F.round("mean_price", 6).alias("mean_price"),
+        "position", "archetype", "n_scored", F.round("mean_price", 3).alias("mean_price"),
         F.round("mean_surplus", 2).alias("mean_surplus"),
         F.round("surplus_positive_rate", 8).alias("surplus_positive_rate"),
         "seasons_positive", "seasons_measured", verdict.alias("verdict"),
