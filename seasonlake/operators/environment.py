@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seasonlake.functions.stats import share
-
 
 def residual_flag(flags: Sequence[Column]) -> Column:
     """1 unless any flag is set; a NULL flag counts as not set."""
@@ -53,35 +51,50 @@ def start_bin(start: Column, edges: Sequence[int], labels: Sequence[str], other:
     return chain.otherwise(other)
 
 
+def play_cells(plays: DataFrame, keys: Sequence[str], prices: dict[str, float],
+               forward_spot: int = 40, deep_spot: int = 20) -> DataFrame:
+    """Counts and sums per (keys): teams x opponents x seasons rows, read many times after."""
+    spot = F.col("own_yard")
+    return plays.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("plays"),
+        F.sum(spot).alias("own_yard"),
+        F.count_if(spot > forward_spot).alias("forward"),
+        F.count_if(spot <= deep_spot).alias("deep"),
+        F.sum("distance").alias("distance"),
+        *[F.sum(flag).alias(flag) for flag in prices],
+    )
+
+
+def _value_of(base: float, prices: dict[str, float]) -> Column:
+    total = F.lit(base)
+    for flag, price in prices.items():
+        total = total + price * (F.sum(flag) / F.sum("plays"))
+    return total
+
+
 def team_environment(
-    plays: DataFrame,
-    games: DataFrame,
-    base: float,
-    prices: dict[str, float],
-    forward_spot: int = 40,
-    deep_spot: int = 20,
+    cells: DataFrame, games: DataFrame, base: float, prices: dict[str, float]
 ) -> DataFrame:
     """(team, season): own volume, spot, rates and value, and the same allowed.
 
-    ``plays`` has team, opponent, season, own_yard, distance and the flags of
-    ``prices``; ``games`` is the unpivoted calendar, so teams without a play in a
-    game still count it. All four aggregates share one key and so one shuffle each.
+    ``cells`` comes from :func:`play_cells` with team, opponent and season among
+    its keys; ``games`` is the unpivoted calendar, so a team without a play in a
+    game still counts it.
     """
-    spot = F.col("own_yard")
-    value = per_play_points(base, prices)
-    offense = plays.groupBy("team", "season").agg(
-        F.count(F.lit(1)).alias("plays"),
-        F.avg(spot).alias("avg_spot"),
-        share(spot > forward_spot).alias("forward_share"),
-        share(spot <= deep_spot).alias("deep_share"),
-        F.avg("distance").alias("gross_average"),
-        *[F.avg(flag).alias(f"{flag}_rate") for flag in prices],
-        value.alias("points_per_play"),
+    n = F.sum("plays")
+    offense = cells.groupBy("team", "season").agg(
+        n.alias("plays"),
+        (F.sum("own_yard") / n).alias("avg_spot"),
+        (F.sum("forward") / n).alias("forward_share"),
+        (F.sum("deep") / n).alias("deep_share"),
+        (F.sum("distance") / n).alias("gross_average"),
+        *[(F.sum(flag) / n).alias(f"{flag}_rate") for flag in prices],
+        _value_of(base, prices).alias("points_per_play"),
     )
-    defense = plays.groupBy(F.col("opponent").alias("team"), "season").agg(
-        F.count(F.lit(1)).alias("_forced"),
-        F.avg(spot).alias("opp_avg_spot"),
-        value.alias("opp_points_per_play"),
+    defense = cells.groupBy(F.col("opponent").alias("team"), "season").agg(
+        n.alias("_forced"),
+        (F.sum("own_yard") / n).alias("opp_avg_spot"),
+        _value_of(base, prices).alias("opp_points_per_play"),
     )
     calendar = games.groupBy("team", "season").agg(
         F.count(F.lit(1)).alias("games"),

@@ -54,18 +54,26 @@ def _bin_of(value: Column, descending: bool, per_octave: int = _BINS_PER_OCTAVE)
     return F.coalesce(-bins if descending else bins, F.lit(_NULL_BIN).cast("long"))
 
 
+def _split_null(df: DataFrame, by: str) -> DataFrame:
+    """Plain equality columns for a nullable value: windows and joins on them share a shuffle."""
+    return df.withColumn("_isnull", F.col(by).isNull()).withColumn(
+        "_val", F.coalesce(F.col(by), F.lit(0))
+    )
+
+
 def value_table(
     df: DataFrame, group: Sequence[str], by: str, descending: bool = False, then: Sequence[str] = ()
 ) -> DataFrame:
-    """(group, value, n, before, total): how many rows precede each distinct value.
+    """(group, _isnull, _val, n, before, total): how many rows precede each distinct value.
 
     ``then`` names further ascending columns that split one value into ordered parts.
     """
     keys = list(group)
     values = (
-        df.groupBy(*keys, by, *then)
+        _split_null(df, by)
+        .groupBy(*keys, "_isnull", "_val", *then)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_bin", _bin_of(F.col(by), descending))
+        .withColumn("_bin", _bin_of(F.when(~F.col("_isnull"), F.col("_val")), descending))
     )
     bins = values.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n"))
     in_group = W.partitionBy(*keys)
@@ -76,15 +84,19 @@ def value_table(
         F.coalesce(F.sum("_bin_n").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_bin_n").over(in_group).alias("total"),
     )
+    value = F.col("_val").desc() if descending else F.col("_val").asc()
     inside = (
         W.partitionBy(*keys, "_bin")
-        .orderBy(_directed(F.col(by), descending), *then)
+        .orderBy("_isnull", value, *then)
         .rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         values.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(bins, [*keys, "_bin"])
-        .select(*keys, by, *then, "n", (F.col("_inside") + F.col("_offset")).alias("before"), "total")
+        .select(
+            *keys, "_isnull", "_val", *then, "n",
+            (F.col("_inside") + F.col("_offset")).alias("before"), "total",
+        )
     )
 
 
@@ -123,8 +135,8 @@ def with_rank(
     if keep_null:
         known = (df if source is None else source).where(F.col(by).isNotNull())
         if not bounded:
-            table = value_table(known, keys, by, descending)
-            return df.join(_ranked_values(table, keys, by, out), *_on_value(keys, by), "left").select(
+            table = _ranked_values(value_table(known, keys, by, descending), keys, out)
+            return _split_null(df, by).join(table, [*keys, "_isnull", "_val"], "left").select(
                 *df.columns, *out.values()
             )
         ranked = with_rank(df.where(F.col(by).isNotNull()), keys, by, descending, True, **out)
@@ -142,22 +154,15 @@ def with_rank(
         columns = _rank_columns(F.col("_before"), F.col("_peers"), F.col("_total"), out)
         return ranked.select(*df.columns, *columns)
     table = value_table(df if source is None else source, keys, by, descending)
-    right = _ranked_values(table, keys, by, out)
-    return df.join(right, *_on_value(keys, by)).select(*df.columns, *out.values())
-
-
-def _ranked_values(table: DataFrame, keys: list[str], by: str, out: dict[str, str]) -> DataFrame:
-    return table.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(by).alias("_v"),
-        *_rank_columns(F.col("before"), F.col("n"), F.col("total"), out),
+    ranks = _ranked_values(table, keys, out)
+    return _split_null(df, by).join(ranks, [*keys, "_isnull", "_val"]).select(
+        *df.columns, *out.values()
     )
 
 
-def _on_value(keys: list[str], by: str) -> list:
-    return [
-        [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(by).eqNullSafe(F.col("_v"))]
-    ]
+def _ranked_values(table: DataFrame, keys: list[str], out: dict[str, str]) -> DataFrame:
+    columns = _rank_columns(F.col("before"), F.col("n"), F.col("total"), out)
+    return table.select(*keys, "_isnull", "_val", *columns)
 
 
 def with_position(
@@ -182,25 +187,17 @@ def with_position(
         out = df.withColumn(name, F.row_number().over(every.orderBy(*order)).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(every)) if total else out
     part = order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE)
-    rows = df.withColumn("_part", part)
+    rows = _split_null(df, by).withColumn("_part", part)
     counted = (df if source is None else source).withColumn("_part", part)
-    table = value_table(counted, keys, by, descending, then=["_part"])
-    right = table.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(by).alias("_v"),
-        F.col("_part").alias("_k_part"),
-        "before",
-        F.col("total").alias("_total"),
-    )
+    table = value_table(counted, keys, by, descending, then=["_part"]).drop("n")
     # rows equal in value and tie part; a value shared by a third of all rows is still split
-    peers = W.partitionBy(*keys, by, "_part").orderBy(F.col(tie).asc())
-    rows = rows.withColumn("_inside", F.row_number().over(peers))
-    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
-    on += [F.col(by).eqNullSafe(F.col("_v")), F.col("_part") == F.col("_k_part")]
+    cell = [*keys, "_isnull", "_val", "_part"]
+    peers = W.partitionBy(*cell).orderBy(F.col(tie).asc())
+    rows = rows.withColumn("_inside", F.row_number().over(peers)).join(table, cell)
     made = [(F.col("_inside") + F.col("before")).cast("long").alias(name)]
     if total:
-        made.append(F.col("_total").cast("long").alias(total))
-    return rows.join(right, on).select(*df.columns, *made)
+        made.append(F.col("total").cast("long").alias(total))
+    return rows.select(*[F.col(c) for c in df.columns], *made)
 
 
 def tile_of(position: Column, total: Column, tiles: int) -> Column:
@@ -240,7 +237,7 @@ def group_percentiles(
         end = F.col("before") + F.col("n")
         for side, index in (("lo", low), ("hi", high)):
             hit = (F.col("before") <= index) & (index < end)
-            made.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
+            made.append(F.max(F.when(hit, F.col("_val"))).alias(f"_{name}_{side}"))
         made.append(F.max(at - low).alias(f"_{name}_f"))
     picked = table.groupBy(*keys).agg(*made) if keys else table.agg(*made)
     return picked.select(

@@ -10,6 +10,7 @@ from seasonlake.operators.rates import luck_neutral, rate_with_fallback
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.oracle_parts import BASE, ENT, L, O, ST, TOT
 from seasonlake.plans.registry import query
+from seasonlake.session import pinned
 
 MIN_GAMES = 2
 
@@ -104,7 +105,8 @@ def entity_lines(t: Tables) -> DataFrame:
 )
 def rate_fallback(t: Tables) -> DataFrame:
     """Return rate per season and position, pooled when thin; luck-neutral points."""
-    seasons = entity_lines(t).join(t.entities().select("entity_id", "position"), "entity_id")
+    # the lines are read once; the season table serves the rates and the rows
+    seasons = pinned(entity_lines(t).join(t.entities().select("entity_id", "position"), "entity_id"))
     rates = rate_with_fallback(
         seasons, ("season",), ("position",), {"return_rate": ("returned", "units")}, MIN_UNITS
     )

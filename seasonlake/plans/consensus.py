@@ -2,13 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from seasonlake.functions.stats import cap_at, floor_at, mean_of, one_hot
+from seasonlake.functions.stats import blend_two, cap_at, floor_at, mean_of, one_hot
 from seasonlake.functions.text import canonical_code, name_key
 from seasonlake.operators.blend import (
-    consensus, crosswalk, latest_shared_season, reject_ambiguous, two_source_blend, union_sources,
+    consensus, crosswalk, latest_shared_season, reject_ambiguous, two_source_blend,
 )
 from seasonlake.plans.bindings import Tables
-from seasonlake.plans.oracle_parts import BASE, ENT, O
+from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.registry import query
 
 SOURCES = {
@@ -57,11 +57,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 )
 def source_consensus(t: Tables) -> DataFrame:
     """Five sources of one season's number per entity."""
-    rows = source_rows(t)
-    latest = rows.agg(F.max("season").alias("season"))
-    rows = rows.join(latest, "season", "left_semi")
-    arms = {s: rows.where(F.col("source") == s).drop("source") for s in SOURCES}
-    blended = consensus(union_sources(arms), ("entity_id",), "points_c", list(SOURCES), scale=100.0)
+    rows = source_rows(t).where(F.col("season") == t.newest_season())
+    blended = consensus(rows, ("entity_id",), "points_c", list(SOURCES), scale=100.0)
     named = blended.join(t.entities().select("entity_id", "entity_name", "position"), "entity_id")
     return _rounded(named)
 
@@ -98,27 +95,42 @@ _PRICED = f"""{O},
     FROM a FULL OUTER JOIN b ON a.entity_id = b.entity_id AND a.season = b.season)"""
 
 
+FORMATS = {"high_price": "2-HIGH", "medium_price": "3-MEDIUM", "low_price": "5-LOW"}
+
+
+def _mean_of_source(source: str):
+    hit = F.col("source") == source
+    mean = F.sum(F.when(hit, F.col("points_c"))) / F.nullif(F.count_if(hit), F.lit(0))
+    return F.round(mean, 6)
+
+
 def priced(t: Tables) -> DataFrame:
-    """Price per (entity, season): two voting lists, two more kept as columns."""
-    o = t.orders().select("entity_id", "season", "source", "points_c")
-    a = o.where(F.col("source") == "1-URGENT").groupBy("entity_id", "season").agg(
-        F.round(F.sum("points_c") / F.count(F.lit(1)), 6).alias("urgent_price")
+    """Price per (entity, season): two voting lists, two more kept as columns.
+
+    All four lists come from one file here, so one aggregation reads it once; the
+    two-feed form of the same table is the ``two_source_blend`` query.
+    """
+    o = t.orders().where(F.col("source").isin("1-URGENT", *FORMATS.values()))
+    wide = o.groupBy("entity_id", "season").agg(
+        _mean_of_source("1-URGENT").alias("urgent_price"),
+        *[_mean_of_source(s).alias(n) for n, s in FORMATS.items()],
+    )
+    a, b = F.col("urgent_price"), F.col("high_price")
+    return wide.withColumn("price", blend_two(a, b)).withColumn(
+        "num_sources", a.isNotNull().cast("int") + b.isNotNull().cast("int")
     )
-    formats = {"high_price": "2-HIGH", "medium_price": "3-MEDIUM", "low_price": "5-LOW"}
-    means = [
-        F.round(
-            F.sum(F.when(F.col("source") == s, F.col("points_c")))
-            / F.nullif(F.count_if(F.col("source") == s), F.lit(0)), 6
-        ).alias(n)
-        for n, s in formats.items()
-    ]
-    b = o.where(F.col("source").isin(*formats.values())).groupBy("entity_id", "season").agg(*means)
-    return two_source_blend(a, b, ("entity_id", "season"), "urgent_price", "high_price", "price")
 
 
 @query("two_source_blend", f"WITH {_PRICED} SELECT * FROM priced")
 def two_source_blend_query(t: Tables) -> DataFrame:
-    return priced(t)
+    """Two feeds full-outer joined; formats that do not vote stay as columns."""
+    o = t.orders().select("entity_id", "season", "source", "points_c")
+    keys = ["entity_id", "season"]
+    a = o.where(F.col("source") == "1-URGENT").groupBy(*keys).agg(_mean_of_source("1-URGENT").alias("urgent_price"))
+    b = o.where(F.col("source").isin(*FORMATS.values())).groupBy(*keys).agg(
+        *[_mean_of_source(s).alias(n) for n, s in FORMATS.items()]
+    )
+    return two_source_blend(a, b, keys, "urgent_price", "high_price", "price")
 
 
 @query(

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.operators.environment import (
-    inside_flag, per_play_points, residual_flag, start_bin, team_environment, unpivot_sides,
+    inside_flag, per_play_points, play_cells, residual_flag, start_bin, team_environment, unpivot_sides,
 )
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.oracle_parts import ENT, L, O
@@ -38,12 +38,12 @@ def plays(t: Tables) -> DataFrame:
     )
 
 
-def calendar(t: Tables, p: DataFrame) -> DataFrame:
+def calendar(cells: DataFrame) -> DataFrame:
     """Meetings of two nations in a month, and the score of each."""
-    games = p.where(F.col("team") != F.col("opponent")).groupBy("season", "week", "team", "opponent").agg(
-        F.sum("own_yard").alias("home_score"), F.sum("distance").alias("away_score")
+    games = cells.where(F.col("team") != F.col("opponent")).select(
+        "season", "week", "team", "opponent", "own_yard", "distance"
     )
-    return unpivot_sides(games, ["season"], "team", "opponent", "home_score", "away_score")
+    return unpivot_sides(games, ["season"], "team", "opponent", "own_yard", "distance")
 
 
 PLAYS = """sel AS (SELECT s_suppkey AS supplier_id, n_name AS team FROM supplier JOIN nation ON n_nationkey = s_nationkey),
@@ -76,8 +76,8 @@ ENV = f"""{O}, {ENT}, {L}, {PLAYS},
 
 
 def environment(t: Tables) -> DataFrame:
-    p = plays(t)
-    return team_environment(p, calendar(t, p), 1.0, PRICES)
+    cells = t.gold("play_cells", lambda: play_cells(plays(t), ["team", "opponent", "season", "week"], PRICES))
+    return team_environment(cells, calendar(cells), 1.0, PRICES)
 
 
 @query(

@@ -2,12 +2,11 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from seasonlake.operators.grades import (
-    group_rate, paired_grades, percentile_grade, primary_team, weighted_rate,
-)
+from seasonlake.operators.grades import group_rate, paired_grades, percentile_grade, primary_team
 from seasonlake.plans.bindings import Tables
-from seasonlake.plans.oracle_parts import BASE, ENT, L, O
+from seasonlake.plans.oracle_parts import ENT, L, O
 from seasonlake.plans.registry import query
+from seasonlake.session import pinned
 
 
 def order_teams(t: Tables) -> DataFrame:
@@ -27,6 +26,7 @@ def team_grade_frame(t: Tables) -> DataFrame:
         F.sum("units").alias("units"),
         F.sum(net).alias("net"),
     )
+    sums = pinned(sums)  # one row per team and season, read by both sides
     back = sums.where(~F.col("team").isin("NATION_3", "NATION_4") & (F.col("units") > 0)).select(
         "season", "team",
         F.round(F.col("returned") / F.col("units"), 10).alias("return_share"),
@@ -125,12 +125,18 @@ def unit_grade_union(t: Tables) -> DataFrame:
         .join(part.where(F.col("position").isin("ECONOMY", "STANDARD", "PROMO")), "part_id")
         .join(order_teams(t), "order_id")
     )
-    a = weighted_rate(
-        lines.where(F.col("position").isin("ECONOMY", "STANDARD")),
-        ("season", "team", "position"), F.col("discount_pct"), F.col("units"), "discount_rate",
+    keys = ["season", "team", "position"]
+    sums = lines.groupBy(*keys).agg(
+        F.sum("units").alias("units"), F.sum("price_c").alias("price_c"),
+        F.sum(F.col("discount_pct") * F.col("units")).alias("discounted"),
+    )
+    sums = pinned(sums)  # a few hundred rows for both families
+    a = group_rate(
+        sums.where(F.col("position").isin("ECONOMY", "STANDARD")), keys,
+        F.col("discounted"), F.col("units"), "discount_rate",
     ).withColumn("discount_rate", F.round("discount_rate", 8))
     b = group_rate(
-        lines.where(F.col("position") == "PROMO"), ("season", "team"),
+        sums.where(F.col("position") == "PROMO"), ("season", "team"),
         F.col("price_c"), F.col("units"), "unit_price",
     ).withColumn("unit_price", F.round("unit_price", 6))
     a = percentile_grade(a, ("season", "position"), "discount_rate", "grade", bounded=True)

@@ -37,7 +37,7 @@ def stat_lines(t: Tables) -> DataFrame:
 
 def league_pool(t: Tables) -> DataFrame:
     """Stat lines priced under each league's settings."""
-    pool = with_settings(stat_lines(t), SETTINGS, FIELDS)
+    pool = with_settings(t.gold("stat_lines", lambda: stat_lines(t)), SETTINGS, FIELDS)
     points = linear_points(
         {"f_c": "f_pts", "o_c": "o_pts", "p_c": "p_pts"}, ("n_urgent", "n_high", "n_low"), "miss_pts"
     )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 from seasonlake.functions.fixed_values import RATE_GRID, TEAM_GRID
 from seasonlake.functions.stats import mean_of
 from seasonlake.operators.folds import fold_metrics, stack_predictions
-from seasonlake.operators.grades import primary_team
 from seasonlake.operators.history import evidence_totals, later_seasons, previous_season
 from seasonlake.operators.shrinkage import (
     best_k, games_by_label, incumbency, prior_rates, shrink, transitions, wide_fit,
@@ -38,18 +37,17 @@ def shipments(t: Tables) -> DataFrame:
     ).select("order_id", "team")
     lines = t.lines().select(
         "order_id", F.col("supplier_id").alias("entity_id"), "season", "week", "units",
-        "discount_pct", "return_flag",
+        "discount_pct", "return_flag", "ship_day",
     )
-    return lines.where(F.col("season") < UPCOMING).join(orders, "order_id")
+    return lines.where(F.col("ship_day") < F.lit(f"{UPCOMING}-01-01").cast("date")).join(orders, "order_id")
 
 
 def weekly(t: Tables) -> DataFrame:
     """(supplier, season, week): counts, the capped derived count and weekly points."""
-    ship = shipments(t)
-    team = primary_team(ship, ("entity_id", "season", "week"), "team", "week")
     gained = F.when(F.col("return_flag") == "R", 2)
     close = 50 - F.col("units") + F.coalesce(gained, F.lit(0)) < 10
-    stats = ship.groupBy("entity_id", "season", "week").agg(
+    week = ["entity_id", "season", "week"]
+    cells = shipments(t).groupBy(*week, "team").agg(
         F.count(F.lit(1)).alias("punts"),
         F.sum("units").alias("yards"),
         F.count_if(F.col("discount_pct") <= 2).alias("in20"),
@@ -57,15 +55,20 @@ def weekly(t: Tables) -> DataFrame:
         F.count_if(F.col("return_flag") == "R").alias("returned"),
         F.count_if(F.col("return_flag") == "A").alias("touchbacks"),
     )
+    # the week's team is the one shipped to most, taken in the same pass as the sums
+    sums = ("punts", "yards", "in20", "_in10", "returned", "touchbacks")
+    stats = cells.groupBy(*week).agg(
+        F.min_by("team", F.struct(-F.col("punts"), F.col("team"))).alias("team"),
+        *[F.sum(c).alias(c) for c in sums],
+    )
     stats = stats.withColumn("in10", F.least("_in10", "in20")).drop("_in10")
     average = F.col("yards") / F.col("punts")
     bonus = F.when(average >= 30, 3.0).when(average >= 27, 2.0).when(average >= 25, 1.0).otherwise(0.0)
-    stats = stats.withColumn("bonus", bonus).withColumn(
+    return stats.withColumn("bonus", bonus).withColumn(
         "points",
         F.col("punts") * 1.0 + F.col("in10") * 2.0 + F.col("in20") * 1.0
         + F.col("returned") * -1.0 + F.col("touchbacks") * -0.5 + F.col("bonus"),
     )
-    return stats.join(team, ["entity_id", "season", "week"])
 
 
 def supplier_seasons(t: Tables) -> DataFrame:
