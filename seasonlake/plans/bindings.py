@@ -27,6 +27,16 @@ def forget_gold() -> None:
     _GOLD.clear()
 
 
+def between_years(df: DataFrame, stamp: str, first: int | None, last: int | None) -> DataFrame:
+    """Season bounds as a range on the stored column, which the parquet scan can use."""
+    kind = df.schema[stamp].dataType
+    if first is not None:
+        df = df.where(F.col(stamp) >= F.lit(f"{first}-01-01").cast(kind))
+    if last is not None:
+        df = df.where(F.col(stamp) < F.lit(f"{last + 1}-01-01").cast(kind))
+    return df
+
+
 class Tables:
     """Lazy readers for one scale-factor folder."""
 
@@ -50,10 +60,10 @@ class Tables:
             _GOLD[key] = pinned(build())
         return _GOLD[key]
 
-    def orders(self) -> DataFrame:
+    def orders(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """One row per order: entity_id, season, week, day, source, status, points_c."""
         day = F.col("o_orderdate").cast("date")
-        return self.raw("orders").select(
+        return between_years(self.raw("orders"), "o_orderdate", first, last).select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("entity_id"),
             F.year(day).cast("long").alias("season"),
@@ -88,9 +98,9 @@ class Tables:
     def season_totals(self) -> DataFrame:
         return self.totals().join(self.entities(), "entity_id")
 
-    def lines(self) -> DataFrame:
+    def lines(self, first: int | None = None, last: int | None = None) -> DataFrame:
         """Line items with whole units, price in cents and discount in percent."""
-        return self.raw("lineitem").select(
+        return between_years(self.raw("lineitem"), "l_shipdate", first, last).select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("part_id"),
             F.col("l_suppkey").alias("supplier_id"),

@@ -35,11 +35,11 @@ def shipments(t: Tables) -> DataFrame:
     orders = t.orders().select("order_id", "entity_id").join(
         t.entities().select("entity_id", "team"), "entity_id"
     ).select("order_id", "team")
-    lines = t.lines().select(
+    lines = t.lines(last=UPCOMING - 1).select(
         "order_id", F.col("supplier_id").alias("entity_id"), "season", "week", "units",
-        "discount_pct", "return_flag", "ship_day",
+        "discount_pct", "return_flag",
     )
-    return lines.where(F.col("ship_day") < F.lit(f"{UPCOMING}-01-01").cast("date")).join(orders, "order_id")
+    return lines.join(orders, "order_id")
 
 
 def weekly(t: Tables) -> DataFrame:

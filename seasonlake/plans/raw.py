@@ -82,10 +82,9 @@ def scan_coerced(t: Tables) -> DataFrame:
 )
 def scan_guard(t: Tables) -> DataFrame:
     """Season floor, era split, exclusion list and a scalar bound."""
-    o = t.orders()
     newest = t.newest_season()
     # the same floor on the stored date reaches the scan
-    df = readers.since(o.where(F.col("day") >= F.lit("1996-01-01").cast("date")), 1996).withColumn("new_era", F.col("season") >= 1998)
+    df = readers.since(t.orders(first=1996), 1996).withColumn("new_era", F.col("season") >= 1998)
     df = df.where(~(F.col("status").isin("P") & (F.col("week") == 1)) & (F.col("season") < newest))
     return df.groupBy("season", "new_era").agg(F.count(F.lit(1)).alias("n"))
 

@@ -203,7 +203,7 @@ def top_value_column(t: Tables) -> DataFrame:
 )
 def semi_anti(t: Tables) -> DataFrame:
     """Semi and anti joins against a key set."""
-    keys = t.orders().where(F.col("season") == 2000).select("entity_id")
+    keys = t.orders(first=2000, last=2000).select("entity_id").distinct()
     people = t.entities().select("entity_id")
     active = people.join(keys, "entity_id", "left_semi").withColumn("cohort", F.lit("active"))
     absent = people.join(keys, "entity_id", "left_anti").withColumn("cohort", F.lit("absent"))

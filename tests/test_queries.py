@@ -53,6 +53,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["scan_pruned"](spark, FOLDER))
     assert "EqualTo(l_returnflag,R)" in plan
     assert "l_extendedprice" not in plan and "l_shipdate" not in plan
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in plan_of(QUERIES["scan_guard"](spark, FOLDER))
+
+
+def test_one_feed_and_two_feed_prices_agree(spark, as_rows):
+    from seasonlake.plans.bindings import Tables
+    from seasonlake.plans.consensus import priced
+
+    two = QUERIES["two_source_blend"](spark, FOLDER)
+    one = priced(Tables(spark, FOLDER)).select(*two.columns)
+    assert as_rows(one, "entity_id", "season") == as_rows(two, "entity_id", "season")
 
 
 def test_top_k_limits_before_the_shuffle(spark):
