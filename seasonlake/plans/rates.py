@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from seasonlake.functions.fixed_values import RATE_GRID, TEAM_GRID
 from seasonlake.functions.stats import mean_of
 from seasonlake.operators.folds import fold_metrics, stack_predictions
-from seasonlake.operators.history import evidence_totals, later_seasons, previous_season
-from seasonlake.operators.shrinkage import (
-    best_k, games_by_label, incumbency, prior_rates, shrink, transitions, wide_fit,
-)
+from seasonlake.operators import component
+from seasonlake.operators.shrinkage import games_by_label, incumbency
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.oracle_parts import ENT, L, O
 from seasonlake.plans.registry import query
@@ -29,6 +27,10 @@ RATES = {
 TEAM_RATES = {"team_volume": ("punts", "games")}
 PRICES = {"in10_rate": 2.0, "in20_rate": 1.0, "returned_rate": -1.0, "touchback_rate": -0.5}
 COUNTS = ("punts", "yards", "in10", "in20", "returned", "touchbacks", "games")
+MODEL = component.Model(
+    rates=RATES, prices=PRICES, flat_price=1.0, unit="punts", bonus="bonus", bonus_on="gross_average",
+    counts=COUNTS, last=UPCOMING, first_fold=FIRST_FOLD, back=BACK, min_games=MIN_GAMES,
+)
 
 
 def shipments(t: Tables) -> DataFrame:
@@ -134,32 +136,6 @@ def scored_weeks(t: Tables) -> DataFrame:
     )
 
 
-def team_seasons(seasons: DataFrame) -> DataFrame:
-    return seasons.groupBy("team", "season").agg(
-        F.sum("punts").alias("punts"), F.sum("games").alias("games")
-    )
-
-
-def first_transition(seasons: DataFrame):
-    """A transition needs a full look-back behind it."""
-    return seasons.agg((F.min("season") + BACK).alias("s")).scalar()
-
-
-def rate_fit(seasons: DataFrame) -> DataFrame:
-    """(metric, target): prior and k for every rate and for team volume."""
-    last = F.lit(UPCOMING)
-    qualified = seasons.where(F.col("games") >= MIN_GAMES)
-    start = first_transition(seasons)
-    history = evidence_totals(qualified, ["entity_id"], COUNTS, BACK)
-    pairs = transitions(history, qualified.where(F.col("season") >= start), ["entity_id"], RATES, "punts")
-    fit = best_k(pairs, prior_rates(seasons, RATES, last), last, RATE_GRID)
-    teams = team_seasons(seasons)
-    volume = evidence_totals(teams, ["team"], ("punts", "games"), BACK)
-    team_pairs = transitions(volume, teams.where(F.col("season") >= start), ["team"], TEAM_RATES, None)
-    team_fit = best_k(team_pairs, prior_rates(seasons, TEAM_RATES, last), last, TEAM_GRID)
-    return fit.unionByName(team_fit)
-
-
 _RATE_VALUES = ", ".join(f"('{m}')" for m in RATES)
 _ENTITY_PAIRS = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, S, w_{n} AS num, w_{d} AS den, {n} / {d} AS y, punts AS w FROM ep"
@@ -204,7 +180,7 @@ FIT = FIT.replace("(11 - (S - season))", "(11 - (tg.target - season))")
 )
 def shrink_grid(t: Tables) -> DataFrame:
     """The shrinkage strength that best predicted the next season, per fold."""
-    fit = rate_fit(seasons_table(t))
+    fit = component.rate_fit(seasons_table(t), MODEL)
     return fit.select(
         "metric", F.col("target_season").cast("long").alias("target_season"),
         F.round("prior", 8).alias("prior"), "k",
@@ -212,56 +188,18 @@ def shrink_grid(t: Tables) -> DataFrame:
 
 
 def projections(seasons: DataFrame) -> DataFrame:
-    """Expected games x team volume x shrunk rates, plus the per-game bonus line."""
-    last = F.lit(UPCOMING)
-    fit = wide_fit(rate_fit(seasons))
-    roster = seasons.select("entity_id", "season", F.col("first_team").alias("team"))
-    newest = seasons.agg(F.max("season").alias("m")).scalar()
-    upcoming = seasons.where(F.col("season") == newest).select(
-        "entity_id", F.lit(UPCOMING).cast("long").alias("season"), F.col("first_team").alias("team")
-    )
-    roster = roster.unionByName(upcoming)
-    labelled = incumbency(roster, seasons.select("entity_id", "season", "team"))
-    played = labelled.join(seasons.select("entity_id", "season", "games"), ["entity_id", "season"])
-    expected = games_by_label(played, last)
-    line = later_seasons(
-        seasons.where(F.col("games") >= MIN_GAMES), last, "season", "target_season"
-    ).groupBy("target_season").agg(
-        F.regr_slope(F.col("bonus") / F.col("games"), F.col("yards") / F.col("punts")).alias("slope"),
-        F.regr_intercept(F.col("bonus") / F.col("games"), F.col("yards") / F.col("punts")).alias("intercept"),
-    )
-    qualified = seasons.where(F.col("games") >= MIN_GAMES)
-    own = evidence_totals(qualified, ["entity_id"], COUNTS, BACK)
-    volume = evidence_totals(team_seasons(seasons), ["team"], ("punts", "games"), BACK).select(
-        "target_season", "team", F.col("w_punts").alias("t_punts"), F.col("w_games").alias("t_games")
-    )
-    df = labelled.withColumnRenamed("season", "target_season")
-    df = df.join(fit, "target_season").join(line, "target_season")
-    df = df.join(expected, ["target_season", "incumbency"])
-    df = df.join(own, ["target_season", "entity_id"], "left")
-    df = df.join(volume, ["target_season", "team"], "left")
-
-    def tenth(column):
-        return F.coalesce(F.col(column), F.lit(0)) / 10
+    """Every season on the roster and the upcoming one."""
+    return component.project(seasons, roster(seasons), MODEL)
 
-    def fitted(metric, num, den):
-        return shrink(num, den, F.col("priors")[metric], F.col("ks")[metric])
 
-    rates = {m: fitted(m, tenth(f"w_{n}"), tenth(f"w_{d}")) for m, (n, d) in RATES.items()}
-    df = df.withColumns(rates).withColumn(
-        "team_volume", fitted("team_volume", tenth("t_punts"), tenth("t_games"))
-    )
-    per_punt = F.lit(1.0)
-    for metric, price in PRICES.items():
-        per_punt = per_punt + F.col(metric) * price
-    df = df.withColumn("expected_punts", F.col("expected_games") * F.col("team_volume"))
-    df = df.withColumn("bonus_per_game", F.col("slope") * F.col("gross_average") + F.col("intercept"))
-    points = F.col("expected_punts") * per_punt + F.col("expected_games") * F.col("bonus_per_game")
-    return df.withColumn("projected_points", points).select(
-        "target_season", "entity_id", "team", "incumbency", "expected_games", "expected_punts",
-        "team_volume", *RATES, "bonus_per_game", "projected_points",
-        F.coalesce("seasons_used", F.lit(0).cast("long")).alias("seasons_used"),
+def roster(seasons: DataFrame) -> DataFrame:
+    """First team of a season; the newest one stands for the season ahead."""
+    known = seasons.select("entity_id", "season", F.col("first_team").alias("team"))
+    newest = seasons.agg(F.max("season").alias("m")).scalar()
+    ahead = seasons.where(F.col("season") == newest).select(
+        "entity_id", F.lit(UPCOMING).cast("long").alias("season"), F.col("first_team").alias("team")
     )
+    return known.unionByName(ahead)
 
 
 _SHRUNK = ", ".join(
@@ -354,39 +292,12 @@ def component_projection(t: Tables) -> DataFrame:
     )
 
 
-def backtest_folds(seasons: DataFrame) -> DataFrame:
-    """Model and three naive predictions for entities that played the fold season."""
-    model = projections(seasons).where(F.col("target_season") >= FIRST_FOLD).select(
-        F.col("target_season").alias("season"), "entity_id", F.col("projected_points").alias("model")
-    )
-    last = F.lit(UPCOMING)
-    mean = later_seasons(
-        seasons.where(F.col("games") >= MIN_GAMES), last, "season", "_t"
-    ).groupBy("_t").agg(F.avg("points").alias("league_mean")).withColumnRenamed("_t", "season")
-    roster = seasons.select("entity_id", "season", F.col("first_team").alias("team"), "games")
-    labels = games_by_label(incumbency(roster, seasons.select("entity_id", "season", "team")), last)
-    games = labels.groupBy(F.col("target_season").alias("season")).agg(
-        F.avg("expected_games").alias("mean_games")
-    )
-    df = model.join(mean, "season").join(games, "season")
-    rated = seasons.withColumn("ppg", F.col("points") / F.col("games"))
-    df = previous_season(df, rated, ["entity_id"], ["points", "ppg"])
-    actual = seasons.select("entity_id", "season", F.col("points").alias("actual"))
-    df = df.join(actual, ["entity_id", "season"])
-    return df.select(
-        F.col("season").alias("target_season"), "entity_id", "actual",
-        F.round("model", 6).alias("model"),
-        F.round("league_mean", 6).alias("league_mean"),
-        F.round(F.coalesce("points_prior", "league_mean"), 6).alias("prior_points"),
-        F.round(F.coalesce(F.col("ppg_prior") * F.col("mean_games"), F.col("league_mean")), 6).alias("prior_ppg"),
-    )
-
-
 PREDICTIONS = {p: p for p in ("model", "prior_points", "prior_ppg", "league_mean")}
 
 
 def backtest(t: Tables) -> DataFrame:
-    folds = pinned(backtest_folds(seasons_table(t)))
+    seasons = seasons_table(t)
+    folds = pinned(component.backtest_folds(seasons, roster(seasons), MODEL))
     long = stack_predictions(folds, ["target_season", "entity_id", "actual"], PREDICTIONS)
     return fold_metrics(long, ("target_season", "prediction"), "actual", "predicted", "entity_id")
 

@@ -282,7 +282,7 @@ def report_strategy_ranking(t: Tables) -> DataFrame:
 @query(
     "report_significant",
     f"""WITH {STRATEGY}
-    SELECT league_key, variant, count(*) AS strategies, round(0.05 * count(*), 1) AS by_chance, count(*) FILTER (WHERE abs(t_stat) > 2) AS beyond_two,
+    SELECT league_key, variant, count(*) AS strategies, round(CAST(0.05 * count(*) AS DOUBLE), 1) AS by_chance, count(*) FILTER (WHERE abs(t_stat) > 2) AS beyond_two,
       count(*) FILTER (WHERE t_stat > 2) AS good, count(*) FILTER (WHERE t_stat < -2) AS bad FROM ds GROUP BY ALL""",
 )
 def report_significant(t: Tables) -> DataFrame:
