@@ -177,22 +177,30 @@ def with_position(
     pin: bool = False,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """ROW_NUMBER by ``by`` then the unique numeric ``tie`` ascending; 1-based."""
+    """ROW_NUMBER by ``by`` then the unique ``tie`` ascending; 1-based.
+
+    A text ``tie`` is ordered by its hash first, which spreads ids that share a prefix.
+    """
     keys = list(group)
     if pin:
         df = pinned(df)
-    order = [_directed(F.col(by), descending), F.col(tie).asc()]
+    if dict(df.dtypes)[tie] == "string":
+        tied = [F.xxhash64(tie).asc(), F.col(tie).asc()]
+        part = F.shiftright(F.xxhash64(tie), 56)
+    else:
+        tied = [F.col(tie).asc()]
+        part = order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE)
+    order = [_directed(F.col(by), descending), *tied]
     if bounded:
         every = W.partitionBy(*keys)
         out = df.withColumn(name, F.row_number().over(every.orderBy(*order)).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(every)) if total else out
-    part = order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE)
     rows = _split_null(df, by).withColumn("_part", part)
     counted = (df if source is None else source).withColumn("_part", part)
     table = value_table(counted, keys, by, descending, then=["_part"]).drop("n")
     # rows equal in value and tie part; a value shared by a third of all rows is still split
     cell = [*keys, "_isnull", "_val", "_part"]
-    peers = W.partitionBy(*cell).orderBy(F.col(tie).asc())
+    peers = W.partitionBy(*cell).orderBy(*tied)
     rows = rows.withColumn("_inside", F.row_number().over(peers)).join(table, cell)
     made = [(F.col("_inside") + F.col("before")).cast("long").alias(name)]
     if total:

@@ -126,7 +126,7 @@ def games_by_label(labelled: DataFrame, last: Column, games: str = "games") -> D
 
 
 def wide_fit(fit: DataFrame) -> DataFrame:
-    """(target_season): one prior_<metric> and k_<metric> column per metric is left to pivot."""
+    """(target_season): priors and strengths as two small maps keyed by metric."""
     return fit.groupBy("target_season").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "prior"))).alias("priors"),
         F.map_from_entries(F.collect_list(F.struct("metric", "k"))).alias("ks"),

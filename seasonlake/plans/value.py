@@ -10,6 +10,7 @@ from seasonlake.operators.outcomes import archetype, archetype_outcomes, walk_fo
 from seasonlake.operators.ranking import with_rank
 from seasonlake.operators.replacement import replacement_levels
 from seasonlake.operators.settings import with_settings
+from seasonlake.operators.value import surplus_table
 from seasonlake.plans.baselines import BASELINE, baseline
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.consensus import _PRICED
@@ -211,28 +212,9 @@ def surplus_board(t: Tables) -> DataFrame:
         F.lit(None).cast("double").alias("actual_por"),
         F.lit(None).cast("double").alias("actual_value"), F.lit(False).alias("never_played"),
     )
-    df = valued.select(*columns).unionByName(live)
-    df = df.join(curves, list(CELL), "left").withColumn(
-        "expected_value", F.round(curve_value(F.col("curve"), F.col("slot")), 2)
-    )
-    df = df.join(projected_values(t), ["league_key", "season", "entity_id"], "left")
-    df = df.drop("curve").withColumn(
-        "surplus_value", F.round(F.col("actual_value") - F.col("expected_value"), 2)
-    ).withColumn(
-        "projected_surplus", F.round(F.col("projected_value") - F.col("expected_value"), 2)
-    )
-    df = pinned(df)
-    means = df.groupBy("league_key", "season").agg(F.avg("surplus_value").alias("_mean"))
-    df = df.join(means, ["league_key", "season"], "left").withColumn(
-        "surplus_centered", F.round(F.col("surplus_value") - F.col("_mean"), 1)
-    )
-    keys = ("league_key", "season")
-    base = df
-    df = with_rank(df, keys, "surplus_value", descending=True, keep_null=True, rank="surplus_rank")
-    df = with_rank(
-        df, keys, "projected_surplus", descending=True, keep_null=True, source=base,
-        rank="projected_surplus_rank",
-    )
+    board = valued.select(*columns).unionByName(live)
+    df = surplus_table(board, curves, projected_values(t), "slot", digits=2)
+    df = df.withColumn("surplus_centered", F.round("surplus_centered", 1))
     return df.select(
         "league_key", "season", "entity_id", "position", "price", "never_played",
         "curve_train_seasons", "expected_value", "actual_value", "surplus_value", "projected_value",
