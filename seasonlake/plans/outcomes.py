@@ -13,7 +13,6 @@ from seasonlake.plans.consensus import _PRICED, priced
 from seasonlake.plans.leagues import FIELDS, FLEX, FLEX_POSITIONS, LG, POSITIONS, SETTINGS, SLOTS
 from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.registry import query
-from seasonlake.session import pinned
 
 DEPTH = deepest_rank(SETTINGS, SLOTS, FLEX)
 
@@ -129,6 +128,10 @@ def points_over_replacement_query(t: Tables) -> DataFrame:
 
 
 def asking_prices(t: Tables) -> DataFrame:
+    return t.gold("asking_prices", lambda: build_asking_prices(t))
+
+
+def build_asking_prices(t: Tables) -> DataFrame:
     """What a season costs: last season's blended price, a low number being dear."""
     cost = priced(t).where(F.col("price").isNotNull()).select(
         "entity_id", (F.col("season") + 1).alias("season"),
@@ -185,7 +188,8 @@ def buckets(t: Tables) -> DataFrame:
     chart = orders.groupBy("entity_id", "season", "week").agg(starter.alias("is_starter"))
     played = orders.where(F.col("status") != "P").select("entity_id", "season", "week").distinct()
     return outcome_buckets(
-        pinned(over_replacement(t)), price_ranks(pinned(asking_prices(t))), played_role(chart, played),
+        t.gold("por", lambda: over_replacement(t)), price_ranks(asking_prices(t)),
+        played_role(chart, played),
         min_games=MIN_GAMES,
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: evaluated once, so every later reader sees the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once to the shared checkpoint folder and read it back.
+
+    The plan is evaluated once (``checkpoint()`` would run its last stage twice), later
+    readers see the same rows whatever executors are lost, and the stored columns can
+    be pruned and their size is known when joins are planned.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
