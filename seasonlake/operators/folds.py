@@ -57,6 +57,40 @@ def fold_metrics(
     )
 
 
+def benchmark_metrics(
+    scored: DataFrame,
+    group: Sequence[str],
+    pool: str,
+    actual: str,
+    predicted: str,
+    naive: str,
+    market: str,
+    entity: str,
+    min_rows: int = 20,
+) -> DataFrame:
+    """Model, carry-forward and market per group and pooled over ``pool`` as ``ALL``.
+
+    The market (low is better) is scored on the rows it covers, and the model once
+    more on those same rows; a group or a covered part below ``min_rows`` gets none.
+    """
+    keys = [*group, pool]
+    rows = scored.unionByName(scored.withColumn(pool, F.lit("ALL")))
+
+    def score(df: DataFrame, column: str) -> DataFrame:
+        return fold_metrics(df, keys, actual, column, entity, tops=())
+
+    model = score(rows, predicted).where((F.col("n") >= min_rows) | (F.col(pool) == "ALL"))
+    carried = score(rows, naive).select(
+        *keys, F.col("mae").alias("naive_mae"), F.col("spearman").alias("naive_spearman")
+    )
+    covered = rows.where(F.col(market).isNotNull()).withColumn("_market", -F.col(market))
+    said = score(covered, "_market").where(F.col("n") >= min_rows).select(
+        *keys, F.col("n").alias("market_n"), F.col("spearman").alias("market_spearman")
+    )
+    same = score(covered, predicted).select(*keys, F.col("spearman").alias("model_spearman_vs_market"))
+    return model.drop("rmse").join(carried, keys).join(said.join(same, keys), keys, "left")
+
+
 def quantile_bins(
     df: DataFrame, by: str, bins: int, group: Sequence[str] = ()
 ) -> DataFrame:
@@ -114,5 +148,5 @@ def clustered_test(
 
 
 __all__ = [
-    "clustered_test", "fold_metrics", "quantile_bins", "stack_predictions", "top_hits", "value_table",
+    "benchmark_metrics", "clustered_test", "fold_metrics", "quantile_bins", "stack_predictions", "top_hits", "value_table",
 ]

@@ -3,14 +3,16 @@
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions.stats import cap_at, coverage_metrics
-from seasonlake.operators.folds import quantile_bins, top_hits
+from seasonlake.operators.folds import benchmark_metrics, quantile_bins, top_hits
 from seasonlake.operators.history import later_seasons
 from seasonlake.operators.outcomes import archetype_outcomes
 from seasonlake.operators.ranking import group_percentiles, tile_of, with_position
 from seasonlake.plans.baselines import BASELINE, baseline, season_metrics
 from seasonlake.plans.bindings import Tables
+from seasonlake.plans.consensus import _PRICED
 from seasonlake.plans.leagues import REFERENCE
 from seasonlake.plans.oracle_parts import ENT, O
+from seasonlake.plans.outcomes import ASKING, asking_prices
 from seasonlake.plans.registry import query
 from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, surplus_board
 from seasonlake.session import pinned
@@ -76,6 +78,53 @@ def coverage(t: Tables) -> DataFrame:
     )
 
 
+def _ranks(*columns: str) -> str:
+    part = "PARTITION BY target_season, position"
+    return ", ".join(
+        f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER ({part}, {c}) - 1) / 2.0 AS r_{c}" for c in columns
+    )
+
+
+@query(
+    "benchmark_metrics",
+    f"""WITH {_PRICED}, {ENT}, {ASKING}, {BASELINE}, {PREDICTED},
+    sc0 AS (SELECT pq.entity_id, target_season, pq.position, actual, predicted, ask.price AS market, m.ppg AS naive
+            FROM pq LEFT JOIN ask ON ask.entity_id = pq.entity_id AND ask.season = pq.target_season
+            LEFT JOIN m ON m.entity_id = pq.entity_id AND m.season = pq.target_season - 1),
+    sc1 AS (SELECT * REPLACE (COALESCE(naive, predicted) AS naive) FROM sc0),
+    sc2 AS (SELECT * FROM sc1 UNION ALL SELECT * REPLACE ('ALL' AS position) FROM sc1),
+    ma AS (SELECT *, {_ranks("actual", "predicted", "naive")} FROM sc2),
+    mb AS (SELECT *, {_ranks("actual", "predicted", "market")} FROM sc2 WHERE market IS NOT NULL),
+    fa AS (SELECT target_season, position, count(*) AS n, avg(abs(actual - predicted)) AS mae,
+             1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(*)) AS r2, corr(r_predicted, r_actual) AS spearman,
+             avg(abs(actual - naive)) AS naive_mae, corr(r_naive, r_actual) AS naive_spearman FROM ma GROUP BY ALL),
+    fb AS (SELECT target_season, position, count(*) AS market_n, -corr(r_market, r_actual) AS market_spearman,
+             corr(r_predicted, r_actual) AS model_spearman_vs_market FROM mb GROUP BY ALL HAVING count(*) >= 20)
+    SELECT target_season, position, n, round(mae, 4) AS mae, round(r2, 6) AS r2, round(spearman, 6) AS spearman, round(naive_mae, 4) AS naive_mae,
+      round(naive_spearman, 6) AS naive_spearman, market_n, round(market_spearman, 6) AS market_spearman,
+      round(model_spearman_vs_market, 6) AS model_spearman_vs_market
+    FROM fa LEFT JOIN fb USING (target_season, position) WHERE n >= 20 OR position = 'ALL'""",
+)
+def benchmark_metrics_query(t: Tables) -> DataFrame:
+    """The baseline against carrying last season forward and against the market, fold by fold."""
+    market = asking_prices(t).select("entity_id", F.col("season").alias("target_season"), F.col("price").alias("market"))
+    carried = season_metrics(t).select(
+        "entity_id", (F.col("season") + 1).alias("target_season"), F.col("ppg").alias("naive")
+    )
+    key = ["entity_id", "target_season"]
+    df = t.gold("predicted", lambda: predicted_rates(t)).join(market, key, "left").join(carried, key, "left")
+    df = df.withColumn("naive", F.coalesce("naive", "predicted")).select(
+        *key, "position", "actual", "predicted", "naive", "market"
+    )
+    out = benchmark_metrics(
+        pinned(df), ["target_season"], "position", "actual", "predicted", "naive", "market", "entity_id"
+    )
+    digits = {"mae": 4, "naive_mae": 4}
+    return out.select(*[
+        F.round(c, digits.get(c, 6)).alias(c) if kind == "double" else c for c, kind in out.dtypes
+    ])
+
+
 @query(
     "top_n_hits",
     f"""WITH {O}, {ENT}, {BASELINE}, {PREDICTED},

@@ -549,20 +549,10 @@ def inhouse_backtest(projected: DataFrame, min_rows: int = 20) -> DataFrame:
     scored = pinned(scored.select(
         "target_season", "position", "player_id", "actual_ppg_ppr", "predicted_ppg_ppr", "weighted_ppg_ppr", "consensus_adp"
     ))
-    rows = scored.unionByName(scored.withColumn("position", F.lit("ALL")))
-    group = ["target_season", "position"]
-    model = folds.fold_metrics(rows, group, "actual_ppg_ppr", "predicted_ppg_ppr", "player_id", tops=())
-    naive = folds.fold_metrics(rows, group, "actual_ppg_ppr", "weighted_ppg_ppr", "player_id", tops=()).select(
-        *group, F.col("mae").alias("naive_mae"), F.col("spearman").alias("naive_spearman")
-    )
-    priced = rows.where(F.col("consensus_adp").isNotNull()).withColumn("_market", -F.col("consensus_adp"))
-    market = folds.fold_metrics(priced, group, "actual_ppg_ppr", "_market", "player_id", tops=())
-    again = folds.fold_metrics(priced, group, "actual_ppg_ppr", "predicted_ppg_ppr", "player_id", tops=())
-    market = market.where(F.col("n") >= min_rows).select(*group, F.col("n").alias("adp_n"), F.col("spearman").alias("adp_spearman")).join(
-        again.select(*group, F.col("spearman").alias("model_spearman_vs_adp")), group
-    )
-    out = model.where((F.col("n") >= min_rows) | (F.col("position") == "ALL"))
-    return out.join(naive, group).join(market, group, "left")
+    return folds.benchmark_metrics(
+        scored, ["target_season"], "position", "actual_ppg_ppr", "predicted_ppg_ppr", "weighted_ppg_ppr",
+        "consensus_adp", "player_id", min_rows,
+    )
 
 
 def build(
