@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions.stats import error_metrics, student_two_sided
-from seasonlake.operators.ranking import group_percentiles, spearman, top_k, value_table
+from seasonlake.operators.ranking import group_percentiles, spearman, top_k
 
 
 def stack_predictions(df: DataFrame, keep: Sequence[str], predictions: dict[str, str]) -> DataFrame:
@@ -17,16 +17,18 @@ def stack_predictions(df: DataFrame, keep: Sequence[str], predictions: dict[str,
 
 
 def top_hits(
-    df: DataFrame, group: Sequence[str], predicted: str, actual: str, entity: str, n: int, name: str
+    df: DataFrame, group: Sequence[str], predicted: str, actual: str, entity: str, tops: dict[str, int]
 ) -> DataFrame:
-    """How many of the predicted top n finished in the actual top n."""
-    said = top_k(df, group, [F.col(predicted).desc_nulls_last(), F.col(entity).asc()], n)
-    did = top_k(df, group, [F.col(actual).desc_nulls_last(), F.col(entity).asc()], n)
-    both = said.select(*group, entity).join(did.select(*group, entity), [*group, entity])
-    counted = both.groupBy(*group).agg(F.count(F.lit(1)).alias(name))
-    groups = df.select(*group).distinct()
-    return groups.join(counted, list(group), "left").select(
-        *group, F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    """How many of the predicted top n finished in the actual top n, for several n at once.
+
+    Groups without a single hit are absent.
+    """
+    keys, deepest = list(group), max(tops.values())
+    said = top_k(df, keys, [F.col(predicted).desc_nulls_last(), F.col(entity).asc()], deepest, "_said")
+    did = top_k(df, keys, [F.col(actual).desc_nulls_last(), F.col(entity).asc()], deepest, "_did")
+    both = said.select(*keys, entity, "_said").join(did.select(*keys, entity, "_did"), [*keys, entity])
+    return both.groupBy(*keys).agg(
+        *[F.count_if((F.col("_said") <= n) & (F.col("_did") <= n)).alias(name) for name, n in tops.items()]
     )
 
 
@@ -45,15 +47,14 @@ def fold_metrics(
         *made.values(), (F.max(predicted) > F.min(predicted)).alias("_ordered")
     )
     out = flat.join(spearman(folds, keys, predicted, actual), keys, "left")
-    names = []
-    for n in tops:
-        name = f"top{n}_hits"
-        names.append(name)
-        out = out.join(top_hits(folds, keys, predicted, actual, entity, n, name), keys, "left")
+    names = {f"top{n}_hits": n for n in tops}
+    if names:
+        out = out.join(top_hits(folds, keys, predicted, actual, entity, names), keys, "left")
+    hits = [F.coalesce(name, F.lit(0).cast("long")) for name in names]
     return out.select(
         *keys, *made,
         F.when(F.col("_ordered"), F.col("spearman")).alias("spearman"),
-        *[F.when(F.col("_ordered"), F.col(n)).alias(n) for n in names],
+        *[F.when(F.col("_ordered"), h).alias(n) for n, h in zip(names, hits)],
     )
 
 
@@ -148,5 +149,5 @@ def clustered_test(
 
 
 __all__ = [
-    "benchmark_metrics", "clustered_test", "fold_metrics", "quantile_bins", "stack_predictions", "top_hits", "value_table",
+    "benchmark_metrics", "clustered_test", "fold_metrics", "quantile_bins", "stack_predictions", "top_hits",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonlake.functions.fixed_values import RATE_GRID
-from seasonlake.operators.history import evidence_totals, later_seasons, previous_season
+from seasonlake.operators.history import later_seasons, previous_season
 
 INCUMBENT, NEW_TEAM, UNPROVEN = "incumbent", "new_team", "unproven"
 
@@ -132,8 +132,3 @@ def wide_fit(fit: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("metric", "k"))).alias("ks"),
     )
 
-
-__all__ = [
-    "best_k", "evidence_totals", "games_by_label", "incumbency", "prior_rates", "shrink",
-    "transitions", "wide_fit",
-]

@@ -8,7 +8,7 @@ from seasonlake.operators.history import (
 from seasonlake.operators.ranking import with_position
 from seasonlake.operators.rates import luck_neutral, rate_with_fallback
 from seasonlake.plans.bindings import Tables
-from seasonlake.plans.oracle_parts import BASE, ENT, L, O, ST, TOT
+from seasonlake.plans.oracle_parts import BASE, ENT, L, O, TOT
 from seasonlake.plans.registry import query
 from seasonlake.session import pinned
 

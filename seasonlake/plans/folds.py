@@ -134,7 +134,10 @@ def benchmark_metrics_query(t: Tables) -> DataFrame:
 )
 def top_n_hits(t: Tables) -> DataFrame:
     """Predicted top 25 that finished in the realised top 25, per season and position."""
-    return top_hits(predicted_rates(t), ["target_season", "position"], "predicted", "actual", "entity_id", 25, "hits")
+    df, cell = t.gold("predicted", lambda: predicted_rates(t)), ["target_season", "position"]
+    hits = top_hits(df, cell, "predicted", "actual", "entity_id", {"hits": 25})
+    groups = df.select(*cell).distinct()
+    return groups.join(hits, cell, "left").na.fill(0, ["hits"])
 
 
 _EDGES = ", ".join(f"quantile_cont(projected_surplus, {i / 10}) AS e{i}" for i in range(11))

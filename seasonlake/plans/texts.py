@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions import fixed_values as fixed, text
 from seasonlake.plans.bindings import Tables
-from seasonlake.plans.oracle_parts import BASE, O
+from seasonlake.plans.oracle_parts import O
 from seasonlake.plans.registry import query
 
 KEY_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[.''’]', '', 'g'),

@@ -6,7 +6,7 @@ from seasonlake.functions.stats import floor_at
 from seasonlake.functions.text import year_of
 from seasonlake.operators.curve import curve_value, origin_scale, walk_forward_curve
 from seasonlake.operators.history import prior_counters
-from seasonlake.operators.outcomes import archetype, archetype_outcomes, walk_forward_edge
+from seasonlake.operators.outcomes import archetype, walk_forward_edge
 from seasonlake.operators.ranking import with_rank
 from seasonlake.operators.replacement import replacement_levels
 from seasonlake.operators.settings import with_settings
