@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonlake.llm import bpe, html_text, max_score, packing, rotated_codes, url_filter
+from seasonlake.llm import bpe, html_text, max_score, packing, parity_join, rotated_codes, url_filter
 from seasonlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 @query("op8_max_score", PRODUCT_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score.search_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@query("op7_parity_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
