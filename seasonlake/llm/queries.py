@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonlake.llm import bpe, html_text, max_score, packing, parity_join, rotated_codes, url_filter
+from seasonlake.llm import bpe, html_text, line_dedup, max_score, packing, parity_join, rotated_codes, url_filter
 from seasonlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_parity_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
