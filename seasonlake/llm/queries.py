@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonlake.llm import bpe, html_text, line_dedup, max_score, packing, parity_join, rotated_codes, url_filter
+from seasonlake.llm import bpe, html_text, line_dedup, max_score, packing, parity_join, quality, rotated_codes, url_filter
 from seasonlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
+    )
+    return scored.select("row.doc_id", "expected_grade", "tail", "keep")
