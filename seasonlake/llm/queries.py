@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonlake.llm import bpe, html_text, line_dedup, max_score, packing, parity_join, quality, rotated_codes, url_filter
+from seasonlake.llm import bpe, html_text, line_dedup, max_score, packing, parity_join, pii, quality, rotated_codes, url_filter
 from seasonlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
     )
     return scored.select("row.doc_id", "expected_grade", "tail", "keep")
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
