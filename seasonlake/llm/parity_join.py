@@ -55,11 +55,10 @@ class Threshold:
         return self.base * shared >= self.top * (size + other - shared)
 
 
-def fingerprint(found: np.ndarray) -> tuple[int, int]:
-    """A set's 64-bit name and a check value: sums over its shingles."""
-    total = np.array([found.sum(dtype=U64), (found ^ (found >> U64(17))).sum(dtype=U64)], dtype=U64)
-    name = mix(total + U64(len(found)))
-    return int(name[0].astype(np.int64)), int(name[1].astype(np.int64))
+def fingerprint(found: np.ndarray) -> int:
+    """A set's 64-bit name: a mixed sum over its shingles."""
+    total = (mix(found ^ U64(0x5BF03635)).sum(dtype=U64, keepdims=True)) ^ U64(len(found))
+    return int(mix(total)[0].astype(np.int64))
 
 
 def part_keys(found: np.ndarray, band: int, offered: int) -> np.ndarray:
@@ -103,22 +102,22 @@ def fold(data: bytes, bits: int) -> np.ndarray:
 
 
 def described(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set, check): shingle count and name of each document's set."""
+    """(doc_id, row, n, set): shingle count and name of each document's set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for part in batches(whole, BATCH_BYTES, "text"):
                 sets = shingle_sets(part.column("text"), size)
-                names = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
+                        part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([fingerprint(s) for s in sets], pa.int64()),
                     ],
-                    ["doc_id", "n", "set", "check"],
+                    ["doc_id", "row", "n", "set"],
                 )
 
-    return documents.mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, set long, check long")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.mapInArrow(run, f"doc_id {kind}, row long, n long, set long")
 
 
 def offers(documents: DataFrame, size: int, t: Threshold, parts: int) -> DataFrame:
@@ -131,7 +130,7 @@ def offers(documents: DataFrame, size: int, t: Threshold, parts: int) -> DataFra
                 if not sets:
                     continue
                 offered = [offered_keys(s, t) for s in sets]
-                names = np.array([fingerprint(s)[0] for s in sets], dtype=np.int64)
+                names = np.array([fingerprint(s) for s in sets], dtype=np.int64)
                 owner = np.repeat(np.arange(len(sets)), [len(k) for k in offered])
                 keys = np.concatenate(offered)
                 home = (keys % U64(parts)).astype(np.int64)
@@ -216,7 +215,7 @@ def stored_sets(documents: DataFrame, size: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([fingerprint(s)[0] for s in sets], pa.int64()),
+                        pa.array([fingerprint(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([sketch(s) for s in sets], pa.binary()), pa.array(packed, pa.binary()),
                     ],
@@ -294,41 +293,70 @@ def rivals(crowds: DataFrame, roots: DataFrame, sets: DataFrame, t: Threshold, t
     return members.groupBy("crowd", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, top: int = 75, base: int = 100
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each document.
+def labelled_sets(narrow: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """(doc_id, row, n, root): each document's shingle count and the name of its component.
 
-    ``component_id`` is the smallest id reachable by links of Jaccard similarity at least
-    ``top / base``. Null and empty texts, or texts of white space, have no shingles and
-    link with nothing: their component is their own id. Equal sets link always; repeated
-    rows stay repeated. A null id takes part but names no component, unless nothing in
-    the component has an id. Texts are read whole; other columns are not read.
+    ``narrow`` has doc_id, text and row, a hash of both. Equal sets have one root; sets
+    without a link are their own.
     """
-    t = Threshold(top, base)
-    narrow = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     docs = pinned(described(narrow, size))
     shingles = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(24, shingles // 4_000_000)
     met = pinned(shared_parts(offers(narrow, size, t, parts)))
     pairs = met.where("crowd = 0").select("a", "b")
     crowds = met.where("crowd <> 0").select("crowd", "a")
-    # one document stands for each set that anything met
+    # one document stands for each set that met another
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(crowds.select("a")).distinct()
-    stand = docs.groupBy("set").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").join(needed, "set", "left_semi")
-    nameless = docs.groupBy("set").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NULL").join(needed, "set", "left_semi")
-    chosen = narrow.join(stand.select("doc_id"), "doc_id", "left_semi")
-    if nameless.limit(1).count():
-        chosen = chosen.union(narrow.where("doc_id IS NULL"))
+    stands = docs.groupBy("set").agg(F.min("row").alias("row")).join(needed, "set", "left_semi")
+    chosen = narrow.join(stands.select("row"), "row", "left_semi")
     sets = pinned(stored_sets(chosen, size).dropDuplicates(["set"]))
     links = pinned(verified(pairs, sets, t))
     if crowds.limit(1).count():
         more = pinned(rivals(crowds, components(links), sets, t))
         links = links.union(verified(more, sets, t))
     roots = components(links)
-    labelled = docs.join(roots.withColumnsRenamed({"node": "set"}), "set", "left").select(
-        "doc_id", "n", F.coalesce("root", "set").alias("root")
+    return docs.join(roots.withColumnsRenamed({"node": "set"}), "set", "left").select(
+        "doc_id", "row", "n", F.coalesce("root", "set").alias("root")
+    )
+
+
+def narrowed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(
+        F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")
     )
-    least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = labelled.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, top: int = 75, base: int = 100
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each document.
+
+    ``component_id`` is the smallest id reachable by links of Jaccard similarity at least
+    ``top / base``. Null and empty texts, or texts of white space, have no shingles and
+    link with nothing: their component is their own id. Equal sets link always; repeated
+    rows stay repeated. A null id takes part but names no component, unless nothing in
+    the component has an id. Texts are read whole; other columns are not read.
+    """
+    labelled = labelled_sets(narrowed(documents, key, text), size, Threshold(top, base))
+    shingled = labelled.where("n > 0")
+    least = shingled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = shingled.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(labelled.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, top: int = 75, base: int = 100
+) -> DataFrame:
+    """``documents`` with one row of each component: the smallest id (nulls last), then by hash.
+
+    Rows without a shingle link with nothing and all stay, but for rows equal in id and
+    text, of which one stays. All columns are kept; no name clashes.
+    """
+    labelled = labelled_sets(narrowed(documents, key, text), size, Threshold(top, base))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    kept = labelled.where("n > 0").groupBy("root").agg(F.min(rank).alias("first")).select("first.row")
+    kept = kept.union(labelled.where("n = 0").select("row")).distinct()
+    whole = documents.select(
+        F.xxhash64(F.col(key), F.col(text)).alias("row"), F.struct(*documents.columns).alias("d")
+    )
+    return whole.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("d.*")

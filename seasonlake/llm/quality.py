@@ -102,12 +102,12 @@ class OrdinalModel:
 
 
 def fit(
-    bins: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 20, batch: int = 128,
+    bins: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = 1250, batch: int = 128,
     rate: float = 0.5, shrink: float = 5e-4, start: float = 0.1, least_documents: int = 20, seed: int = 5,
 ) -> OrdinalModel:
     """Maximum likelihood by AdaGrad with soft-thresholded weights.
 
-    A feature of fewer than ``least_documents`` rated documents teaches nothing general
+    The number of steps is the same for every sample size. A feature of fewer than ``least_documents`` rated documents teaches nothing general
     and keeps the weight 0.
     Thresholds are kept in order as a first one and positive gaps. With one grade or no
     rows at all the model is that of the counts alone.
@@ -124,7 +124,7 @@ def fit(
     rng = np.random.default_rng(seed)
     free = np.append(thresholds[0], np.log(np.maximum(np.diff(thresholds), 1e-3)))
     free_squares = np.full(len(free), 1e-3)
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(grades))):
         order = rng.permutation(len(grades))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
