@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seasonlake.functions.fixed_values import SILVER_PREFIXES
@@ -32,10 +33,18 @@ def archive(df: DataFrame, path: str, kind: str = "parquet") -> str:
 
 
 def q(spark: SparkSession, sql: str, params: Sequence | None = None) -> DataFrame:
-    """Read-only query with ``?`` markers; anything but a SELECT is refused."""
-    if sql.lstrip().split(None, 1)[0].upper() not in ("SELECT", "WITH", "VALUES", "TABLE"):
-        raise ValueError("only queries are allowed")
-    return spark.sql(sql, args=list(params or []))
+    """Read-only query with ``?`` markers; anything but a query is refused.
+
+    The text is read as a subquery, where the grammar has no command: an insert behind a
+    WITH clause is a syntax error there and nothing of it runs.
+    """
+    text = sql.strip().rstrip(";")
+    if not text:
+        raise ValueError("the query is empty")
+    try:
+        return spark.sql(f"SELECT * FROM (\n{text}\n)", args=list(params or []))
+    except ParseException as error:
+        raise ValueError("only queries are allowed") from error
 
 
 def layer_of(name: str, prefixes: Sequence[str] = SILVER_PREFIXES) -> str:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonlake.functions.stats import through_origin
 from seasonlake.operators.history import later_seasons
-from seasonlake.operators.ranking import order_bin
 
 
 def _pool_blocks(keys: Sequence[str]):
@@ -39,33 +38,21 @@ def _pool_blocks(keys: Sequence[str]):
     return pool
 
 
-SPLIT_ABOVE = 50_000
-
-
 def monotone_blocks(points: DataFrame, keys: Sequence[str], x: str, total: str, weight: str) -> DataFrame:
     """Non-increasing isotonic blocks of pre-aggregated points, one row per block.
 
-    ``points`` has one row per (keys, x). A group with many points is first pooled
-    inside ordered ranges of x, in parallel, and only the surviving blocks meet.
+    ``points`` has one row per (keys, x), and x is a grid of fixed size, such as price
+    slots: a group holds as many rows as the grid has values, whatever the data's size.
     """
     keys = list(keys)
-    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points"))
-    split = F.when(F.col("_points") > SPLIT_ABOVE, order_bin(F.col(x))).otherwise(F.lit(0))
-    blocks = points.join(sizes, keys).select(
+    blocks = points.select(
         *keys,
-        split.cast("long").alias("_range"),
         F.col(x).cast("double").alias("x_lo"),
         F.col(x).cast("double").alias("x_hi"),
         F.col(total).cast("double").alias("total"),
         F.col(weight).cast("double").alias("weight"),
     )
-    schema = T.StructType(
-        [f for f in blocks.schema.fields if f.name != "_range"]
-    )
-    staged = T.StructType([f for f in blocks.schema.fields])
-    inner = [*keys, "_range"]
-    ordered = blocks.groupBy(*inner).applyInPandas(_pool_blocks(inner), staged)
-    return ordered.drop("_range").groupBy(*keys).applyInPandas(_pool_blocks(keys), schema)
+    return blocks.groupBy(*keys).applyInPandas(_pool_blocks(keys), blocks.schema)
 
 
 def curve_rows(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:

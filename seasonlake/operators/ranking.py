@@ -23,26 +23,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from seasonlake.functions.stats import correlation
 from seasonlake.session import pinned
 
 _BINS_PER_OCTAVE = 512
-_TIE_BINS_PER_OCTAVE = 8
+_TIE_BINS_PER_OCTAVE = 512
 _SMALLEST = 1024.0
-_NULL_BIN = 2**31
+_INFINITE_BIN = 2**40
+_NAN_BIN = 2**41
+_NULL_BIN = 2**62
 
 
 def order_bin(value: Column, per_octave: int = _BINS_PER_OCTAVE) -> Column:
     """Monotone integer bin of a number: a log scale on both sides of zero.
 
     A bin is 1/``per_octave`` of a doubling wide; below 1/1024 the scale is linear.
+    Infinities and NaN have bins of their own, NaN above all, as Spark orders them.
     """
     x = value.cast("double")
     width = F.floor(F.log2(F.abs(x) * _SMALLEST + F.lit(1.0)) * per_octave).cast("long")
-    return F.when(x < 0, -width).otherwise(width)
+    width = F.when(F.abs(x) == float("inf"), _INFINITE_BIN).otherwise(width)
+    return F.when(F.isnan(x), F.lit(_NAN_BIN)).when(x < 0, -width).otherwise(width)
+
+
+def _as_number(value: Column, kind: T.DataType) -> Column:
+    """A number that never falls where the value rises: days, microseconds, first bytes."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.StringType):
+        first = F.rpad(F.hex(F.encode(F.substring(value, 1, 6), "UTF-8")), 12, "0")
+        return F.conv(F.substring(first, 1, 12), 16, 10).cast("long")
+    return value
+
+
+def _default(kind: T.DataType) -> Column:
+    """Some value of the type, to stand in for NULL beside its flag."""
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(0)
 
 
 def _directed(value: Column, descending: bool) -> Column:
@@ -57,7 +82,7 @@ def _bin_of(value: Column, descending: bool, per_octave: int = _BINS_PER_OCTAVE)
 def _split_null(df: DataFrame, by: str) -> DataFrame:
     """Plain equality columns for a nullable value: windows and joins on them share a shuffle."""
     return df.withColumn("_isnull", F.col(by).isNull()).withColumn(
-        "_val", F.coalesce(F.col(by), F.lit(0))
+        "_val", F.coalesce(F.col(by), _default(df.schema[by].dataType))
     )
 
 
@@ -73,7 +98,10 @@ def value_table(
         _split_null(df, by)
         .groupBy(*keys, "_isnull", "_val", *then)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_bin", _bin_of(F.when(~F.col("_isnull"), F.col("_val")), descending))
+        .withColumn(
+            "_bin",
+            _bin_of(_as_number(F.when(~F.col("_isnull"), F.col("_val")), df.schema[by].dataType), descending),
+        )
     )
     bins = values.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n"))
     in_group = W.partitionBy(*keys)

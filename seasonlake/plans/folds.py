@@ -17,7 +17,6 @@ from seasonlake.plans.registry import query
 from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, surplus_board
 from seasonlake.session import pinned
 
-NEWEST = 2002
 
 
 def predicted_rates(t: Tables) -> DataFrame:

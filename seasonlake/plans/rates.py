@@ -3,7 +3,7 @@
 entity = supplier, week = ship month, team = nation the supplier shipped to most.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonlake.functions.fixed_values import RATE_GRID, TEAM_GRID
 from seasonlake.functions.stats import mean_of
@@ -17,8 +17,7 @@ from seasonlake.session import pinned
 
 BACK = 3
 MIN_GAMES = 6
-FIRST_FOLD = 1999
-UPCOMING = 2002
+FIRST_FOLD_AFTER = 4  # seasons of history before the first fold of the backtest
 RATES = {
     "in10_rate": ("in10", "punts"), "in20_rate": ("in20", "punts"),
     "returned_rate": ("returned", "punts"), "touchback_rate": ("touchbacks", "punts"),
@@ -27,17 +26,30 @@ RATES = {
 TEAM_RATES = {"team_volume": ("punts", "games")}
 PRICES = {"in10_rate": 2.0, "in20_rate": 1.0, "returned_rate": -1.0, "touchback_rate": -0.5}
 COUNTS = ("punts", "yards", "in10", "in20", "returned", "touchbacks", "games")
-MODEL = component.Model(
-    rates=RATES, prices=PRICES, flat_price=1.0, unit="punts", bonus="bonus", bonus_on="gross_average",
-    counts=COUNTS, last=UPCOMING, first_fold=FIRST_FOLD, back=BACK, min_games=MIN_GAMES,
-)
+# The season ahead and the first fold follow the data, here and in the oracle texts.
+UPCOMING = "(SELECT max(season) + 1 FROM ss)"
+FIRST_FOLD = f"(SELECT min(season) + {FIRST_FOLD_AFTER} FROM ss)"
+
+
+def model_of(seasons: DataFrame) -> component.Model:
+    """The projection model with its seasons taken from the season table."""
+    first, newest = seasons.agg(F.min("season"), F.max("season")).first()
+    return component.Model(
+        rates=RATES, prices=PRICES, flat_price=1.0, unit="punts", bonus="bonus", bonus_on="gross_average",
+        counts=COUNTS, last=(newest or 0) + 1, first_fold=(first or 0) + FIRST_FOLD_AFTER, back=BACK,
+        min_games=MIN_GAMES,
+    )
+
+
+def upcoming(seasons: DataFrame) -> Column:
+    return seasons.agg((F.max("season") + 1).alias("m")).scalar()
 
 
 def shipments(t: Tables) -> DataFrame:
     orders = t.orders().select("order_id", "entity_id").join(
         t.entities().select("entity_id", "team"), "entity_id"
     ).select("order_id", "team")
-    lines = t.lines(last=UPCOMING - 1).select(
+    lines = t.lines().select(
         "order_id", F.col("supplier_id").alias("entity_id"), "season", "week", "units",
         "discount_pct", "return_flag",
     )
@@ -90,7 +102,7 @@ def seasons_table(t: Tables) -> DataFrame:
 
 WEEKLY = """sh AS (
     SELECT supplier_id AS entity_id, l.season, l.week, units, discount_pct, return_flag, team
-    FROM l JOIN o USING (order_id) JOIN ent ON ent.entity_id = o.entity_id WHERE l.season < 2002),
+    FROM l JOIN o USING (order_id) JOIN ent ON ent.entity_id = o.entity_id),
   tw AS (SELECT entity_id, season, week, team FROM (SELECT entity_id, season, week, team, count(*) AS n FROM sh GROUP BY ALL)
          QUALIFY row_number() OVER (PARTITION BY entity_id, season, week ORDER BY n DESC, team) = 1),
   w0 AS (
@@ -146,10 +158,9 @@ _PRIORS = " UNION ALL ".join(
     for m, (n, d) in {**RATES, **TEAM_RATES}.items()
 )
 _WSUMS = ", ".join(f"sum({c} * (11 - (S - season))) / 10.0 AS w_{c}" for c in COUNTS)
-FIT = f"""tg AS (SELECT unnest(generate_series(min(season) + 1, {UPCOMING})) AS target FROM ss),
+FIT = f"""tg AS (SELECT unnest(generate_series(min(season) + 1, max(season) + 1)) AS target FROM ss),
   hist AS (SELECT h.entity_id, tg.target AS S, {_WSUMS}, count(*) AS seasons_used FROM tg JOIN ss h
            ON h.season < tg.target AND tg.target - h.season <= 3 WHERE games >= {MIN_GAMES} GROUP BY 1, 2),
-  hist2 AS (SELECT * FROM hist),
   tms AS (SELECT team, season, sum(punts) AS punts, sum(games) AS games FROM ss GROUP BY ALL),
   thist AS (SELECT h.team, tg.target AS S, sum(punts * (11 - (tg.target - season))) / 10.0 AS w_punts,
                    sum(games * (11 - (tg.target - season))) / 10.0 AS w_games FROM tg JOIN tms h
@@ -180,7 +191,8 @@ FIT = FIT.replace("(11 - (S - season))", "(11 - (tg.target - season))")
 )
 def shrink_grid(t: Tables) -> DataFrame:
     """The shrinkage strength that best predicted the next season, per fold."""
-    fit = component.rate_fit(seasons_table(t), MODEL)
+    seasons = seasons_table(t)
+    fit = component.rate_fit(seasons, model_of(seasons))
     return fit.select(
         "metric", F.col("target_season").cast("long").alias("target_season"),
         F.round("prior", 8).alias("prior"), "k",
@@ -189,7 +201,7 @@ def shrink_grid(t: Tables) -> DataFrame:
 
 def projections(seasons: DataFrame) -> DataFrame:
     """Every season on the roster and the upcoming one."""
-    return component.project(seasons, roster(seasons), MODEL)
+    return component.project(seasons, roster(seasons), model_of(seasons))
 
 
 def roster(seasons: DataFrame) -> DataFrame:
@@ -197,7 +209,7 @@ def roster(seasons: DataFrame) -> DataFrame:
     known = seasons.select("entity_id", "season", F.col("first_team").alias("team"))
     newest = seasons.agg(F.max("season").alias("m")).scalar()
     ahead = seasons.where(F.col("season") == newest).select(
-        "entity_id", F.lit(UPCOMING).cast("long").alias("season"), F.col("first_team").alias("team")
+        "entity_id", (F.col("season") + 1).alias("season"), F.col("first_team").alias("team")
     )
     return known.unionByName(ahead)
 
@@ -260,7 +272,7 @@ def incumbency_games(t: Tables) -> DataFrame:
     seasons = seasons_table(t)
     roster = seasons.select("entity_id", "season", F.col("first_team").alias("team"), "games")
     labelled = incumbency(roster, seasons.select("entity_id", "season", "team"))
-    out = games_by_label(labelled, F.lit(UPCOMING))
+    out = games_by_label(labelled, upcoming(seasons))
     return out.select(
         F.col("target_season").cast("long").alias("target_season"), "incumbency",
         F.round("expected_games", 8).alias("expected_games"),
@@ -278,7 +290,8 @@ def incumbency_games(t: Tables) -> DataFrame:
 )
 def component_projection(t: Tables) -> DataFrame:
     """The upcoming season from its components, beside an outside number where 0 means absent."""
-    df = projections(seasons_table(t)).where(F.col("target_season") == UPCOMING)
+    seasons = seasons_table(t)
+    df = projections(seasons).where(F.col("target_season") == upcoming(seasons))
     said = F.when(F.col("s_suppkey") % 5 == 0, 0.0).otherwise(F.col("s_acctbal"))
     feed = t.raw("supplier").select(
         F.col("s_suppkey").alias("entity_id"), F.nullif(said, F.lit(0.0)).alias("external")
@@ -297,7 +310,7 @@ PREDICTIONS = {p: p for p in ("model", "prior_points", "prior_ppg", "league_mean
 
 def backtest(t: Tables) -> DataFrame:
     seasons = seasons_table(t)
-    folds = pinned(component.backtest_folds(seasons, roster(seasons), MODEL))
+    folds = pinned(component.backtest_folds(seasons, roster(seasons), model_of(seasons)))
     long = stack_predictions(folds, ["target_season", "entity_id", "actual"], PREDICTIONS)
     return fold_metrics(long, ("target_season", "prediction"), "actual", "predicted", "entity_id")
 

@@ -12,7 +12,7 @@ from seasonlake.plans.leagues import REFERENCE
 from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.outcomes import ASKING, BUCKETS, CHART, POR, buckets, over_replacement
 from seasonlake.plans.rates import (
-    BACKTEST, FIT, PREDICTIONS, PROJ, SEASONS, UPCOMING, backtest, projections, seasons_table,
+    BACKTEST, FIT, PREDICTIONS, PROJ, SEASONS, UPCOMING, backtest, projections, seasons_table, upcoming,
 )
 from seasonlake.plans.registry import query
 from seasonlake.plans.strategy import (
@@ -406,5 +406,6 @@ def report_settings_sheet(t: Tables) -> DataFrame:
 )
 def report_by_incumbency(t: Tables) -> DataFrame:
     """Projections by how settled the job is."""
-    df = projections(seasons_table(t)).where(F.col("target_season") == UPCOMING)
+    seasons = seasons_table(t)
+    df = projections(seasons).where(F.col("target_season") == upcoming(seasons))
     return df.groupBy("incumbency").agg(F.count(F.lit(1)).alias("entities"), mean_of("projected_points", 6, "mean_projection"))

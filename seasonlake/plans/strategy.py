@@ -221,13 +221,13 @@ def ranking_agreement(t: Tables) -> DataFrame:
 
 @query(
     "in_all_groups",
-    f"""WITH {STRATEGY}, good AS (SELECT * FROM ds WHERE is_actual AND points_vs_field > 0)
+    f"""WITH {STRATEGY}, good AS (SELECT * FROM ds WHERE is_actual AND t_stat > 2)
     SELECT strategy FROM good GROUP BY strategy
     HAVING count(DISTINCT league_key) = (SELECT count(DISTINCT league_key) FROM good)""",
 )
 def in_all_groups(t: Tables) -> DataFrame:
-    """Openings better than the field in every league's real format."""
-    good = summary(t).where(F.col("is_actual") & (F.col("points_vs_field") > 0))
+    """Openings significantly better than the field in every league's real format."""
+    good = summary(t).where(F.col("is_actual") & (F.col("t_stat") > 2))
     return in_every_group(pinned(good.select("strategy", "league_key")), "strategy", "league_key")
 
 

@@ -160,16 +160,17 @@ def adp_consensus(ranked: DataFrame, mocked: DataFrame, ids: DataFrame) -> DataF
     return blend.two_source_blend(a, b, keys, "ranked_adp", "mock_adp_ppr", "consensus_adp")
 
 
-def _sources(arms: dict[str, DataFrame]) -> DataFrame:
-    return blend.union_sources({k: v.select("key", "projected_points") for k, v in arms.items()})
+def _sources(arms: dict[str, DataFrame], *labels: str) -> DataFrame:
+    return blend.union_sources({k: v.select("key", "projected_points", *labels) for k, v in arms.items()})
 
 
 def consensus_projections(feeds: dict[str, DataFrame], ids: DataFrame, inhouse: DataFrame) -> DataFrame:
     """consensus_projections: up to five sources per player.
 
     ``feeds`` maps a source to rows keyed by a column that the crosswalk knows
-    (espn_id, sleeper_id, cbs_id or merge_name), with season, position and points;
-    weekly feeds are summed first. The in-house arm counts only for the feeds' season.
+    (espn_id, sleeper_id, cbs_id or merge_name), with season, position and points. A feed
+    with a week is summed over its weeks; of one with several scorings only ``ppr``
+    counts. The in-house arm counts only for the feeds' season.
     """
     known = _crosswalk_ids(ids)
     current = blend.latest_shared_season([f.select("season") for f in feeds.values()])
@@ -178,16 +179,26 @@ def consensus_projections(feeds: dict[str, DataFrame], ids: DataFrame, inhouse:
     for source, feed in feeds.items():
         key = next(c for c in ("espn_id", "sleeper_id", "cbs_id", "merge_name") if c in feed.columns)
         text = key == "merge_name"
+        if "scoring" in feed.columns:
+            feed = feed.where(F.col("scoring") == "ppr")
         facts = feed.where(F.col("position").isin(*kept)).select(key, "position", "projected_points").withColumnRenamed(key, "_fact")
         left = F.col("_fact") if text else F.col("_fact").try_cast("double")
-        right = known.where(F.col("gsis_id").isNotNull()).select(F.col(key).alias("_id"), "position", "gsis_id")
+        right = known.where(F.col("gsis_id").isNotNull()).select(
+            F.col(key).alias("_id"), "position", "gsis_id", F.col("name").alias("player_name")
+        )
         joined = blend.crosswalk(facts, right, left, F.col("_id") if text else F.col("_id").cast("double"))
-        arms[source] = joined.groupBy(F.col("gsis_id").alias("key")).agg(F.sum("projected_points").alias("projected_points"))
+        points = F.sum("projected_points") if "week" in feed.columns else F.max("projected_points")
+        arms[source] = joined.groupBy(F.col("gsis_id").alias("key")).agg(
+            points.alias("projected_points"), F.min("player_name").alias("player_name"), F.min("position").alias("position")
+        )
     own = inhouse.where(F.col("position").isin(*kept)).select(
-        F.col("player_id").alias("key"), F.col("target_season").alias("season"), F.col("projected_points_full").alias("projected_points")
+        F.col("player_id").alias("key"), F.col("target_season").alias("season"),
+        F.col("projected_points_full").alias("projected_points"), "player_name", "position",
     )
     arms["inhouse"] = own.join(current, "season", "left_semi")
-    return blend.consensus(_sources(arms), ["key"], "projected_points", list(arms)).withColumnRenamed("key", "gsis_id")
+    labels = [F.min("player_name").alias("player_name"), F.min("position").alias("position")]
+    every = _sources(arms, "player_name", "position")
+    return blend.consensus(every, ["key"], "projected_points", list(arms), labels).withColumnRenamed("key", "gsis_id")
 
 
 def team_consensus(feeds: dict[str, DataFrame]) -> DataFrame:

@@ -194,9 +194,7 @@ def brute_isotonic(points):
     return [min(max(index[i, j] for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
 
 
-@pytest.mark.parametrize("split", [50_000, 3])
-def test_monotone_curve(spark, monkeypatch, split):
-    monkeypatch.setattr(curve, "SPLIT_ABOVE", split)
+def test_monotone_curve(spark):
     rng = random.Random(11)
     points = [(float(x), rng.uniform(0, 100) - x, float(rng.randrange(1, 5))) for x in range(1, 40)]
     points = [(x, y * w, w) for x, y, w in points]

@@ -1,5 +1,6 @@
 """Distributed ranks against a plain sort, on skewed and awkward values."""
 
+import datetime
 import random
 
 import pytest
@@ -101,3 +102,35 @@ def test_top_k_never_gathers_a_group(skewed):
     out = ranking.top_k(skewed, ["g"], [F.col("v").desc_nulls_last(), F.col("id")], 4)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     assert out.groupBy("g").count().where("count <> 4").count() == 0
+
+
+ODD = {
+    "double": [-2.0, 1.0, 5.0, float("nan"), float("inf"), float("-inf"), None, 1.0, 0.0, 1e-9, 1e300, -1e300],
+    "date": [None, *[datetime.date(1960 + 7 * i % 80, 1 + i % 12, 3) for i in range(30)]],
+    "timestamp": [None, *[datetime.datetime(1960 + 7 * i % 80, 1 + i % 12, 3, i % 24) for i in range(30)]],
+    "string": [None, "", "a", "ab", "abcdefghij", "abcdefghik", "b", "é", "zzz", "a", "~", " "],
+}
+
+
+@pytest.mark.parametrize("kind", list(ODD))
+@pytest.mark.parametrize("descending", [False, True])
+def test_odd_values_rank_as_the_window_does(spark, as_rows, kind, descending):
+    rows = [(i, "g", v) for i, v in enumerate(ODD[kind])]
+    df = spark.createDataFrame(rows, f"id long, g string, v {kind}")
+    got, want = (
+        as_rows(
+            ranking.with_position(
+                ranking.with_rank(df, ["g"], "v", descending, bounded=bounded, rank="r"), ["g"], "v", "id", descending,
+                name="p", bounded=bounded,
+            ).select("id", "r", "p"), "id",
+        )
+        for bounded in (False, True)
+    )
+    assert got == want
+
+
+def test_one_value_is_split_over_its_ids(spark):
+    """No part of a value shared by all rows holds more than a small share of them."""
+    part = ranking.order_bin(F.col("id"), ranking._TIE_BINS_PER_OCTAVE)
+    largest = spark.range(1, 1_000_001).groupBy(part.alias("b")).count().agg(F.max("count")).first()[0]
+    assert largest < 5_000

@@ -139,6 +139,11 @@ def test_catalog(spark, as_rows):
     assert catalog.q(spark, "SELECT * FROM board_x WHERE name = ?", ["Pat O'Donnell"]).count() == 2
     with pytest.raises(ValueError):
         catalog.q(spark, "DROP TABLE board_x")
+    for text in ("WITH x AS (SELECT 7L AS id, 'b' AS name) INSERT INTO board_x SELECT id, name FROM x", "", " ; "):
+        with pytest.raises(ValueError):
+            catalog.q(spark, text)
+    assert spark.table("board_x").count() == 2
+    assert catalog.q(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x -- one").count() == 1
     totals = as_rows(catalog.summarize(catalog.tables(spark).where(F.col("table").endswith("_x")), brief=True), "layer")
     assert totals == [{"layer": "gold", "tables": 1, "rows": 2}, {"layer": "silver", "tables": 1, "rows": 3}]
     assert catalog.replace_table(spark, "board_x", spark.createDataFrame([()], "struct<>")) is None

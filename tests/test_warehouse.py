@@ -106,13 +106,14 @@ def silver(spark):
 @pytest.fixture(scope="module")
 def gold(spark, silver):
     ids = silver["ids"]
-    feed = ids.select("espn_id", "position", F.lit(2024).alias("season"), (F.col("espn_id") * 2).alias("projected_points"))
-    text = ids.select(F.col("sleeper_id").cast("string").alias("sleeper_id"), "position", F.lit("2024").alias("season"), F.lit(4.0).alias("projected_points"))
+    feed = ids.select("espn_id", "position", F.lit(2024).alias("season"), (F.col("espn_id") * 2).alias("projected_points"), F.lit("ppr").alias("scoring"))
+    feed = feed.unionByName(feed.withColumn("scoring", F.lit("standard")).withColumn("projected_points", F.lit(9999.0)))
+    text = ids.select(F.col("sleeper_id").cast("string").alias("sleeper_id"), "position", F.lit("2024").alias("season"), F.lit(4.0).alias("projected_points"), F.lit(1).alias("week"))
     units = spark.createDataFrame([("Texans D/ST", "DST", 100.0), ("LAR", "DEF", 90.0), ("Rams", "DST", 80.0)], "team string, position string, projected_points double")
     outside = spark.createDataFrame([("00-9000000", 0.0), ("00-9000001", 120.0)], "entity_id string, projected_points double")
     return warehouse.build(
         silver, [league("alpha", 4, 0), league("beta", 3, 1)], "alpha", "alpha", 2024, [2022, 2023],
-        {"first": feed, "second": text.unionByName(text)}, {"first": units}, outside, punt_first_fold=2020, maxIter=2, minInstancesPerNode=5,
+        {"first": feed, "second": text.unionByName(text.withColumn("week", F.lit(2)))}, {"first": units}, outside, punt_first_fold=2020, maxIter=2, minInstancesPerNode=5,
     )
 
 
@@ -161,3 +162,6 @@ def test_relations_between_tables(gold):
     players = gold["consensus_projections"]
     wrong = players.where("num_sources <> int(first_points IS NOT NULL) + int(second_points IS NOT NULL) + int(inhouse_points IS NOT NULL)")
     assert wrong.count() == 0 and players.where("second_points <> 8.0").count() == 0
+    # one scoring counts, weeks are summed, and the labels come along
+    assert players.where("max_points >= 9999").count() == 0
+    assert players.where("player_name IS NULL OR position IS NULL").count() == 0
