@@ -263,8 +263,9 @@ class Tagger:
         return [lx, lh, rx, rh, dtop, dmoves / n]
 
 
-def train(codes: np.ndarray, tags: np.ndarray, hidden: int = 12, epochs: int = 16, batch: int = 96, seed: int = 3) -> Tagger:
-    """Adam over labelled windows; without any the model finds nothing."""
+def train(codes: np.ndarray, tags: np.ndarray, hidden: int = 12, steps: int = 800, batch: int = 32, seed: int = 3) -> Tagger:
+    """Adam over labelled windows, as many steps for any number of them; without any
+    window the model finds nothing."""
     tagger = Tagger.fresh(hidden, seed)
     if not len(codes):
         tagger.top[:] = 0
@@ -273,15 +274,14 @@ def train(codes: np.ndarray, tags: np.ndarray, hidden: int = 12, epochs: int = 1
     rng = np.random.default_rng(seed)
     parameters = tagger.parameters()
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    step = 0
-    for _ in range(epochs):
-        for some in np.array_split(rng.permutation(len(codes)), max(1, len(codes) // batch)):
-            step += 1
-            for p, g, m, v in zip(parameters, tagger.gradients(codes[some], tags[some]), first, second):
-                g = np.clip(g, -1, 1)
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    order = np.concatenate([rng.permutation(len(codes)) for _ in range(-(-steps * batch // len(codes)))])
+    for step in range(1, steps + 1):
+        some = order[(step - 1) * batch : step * batch]
+        for p, g, m, v in zip(parameters, tagger.gradients(codes[some], tags[some]), first, second):
+            g = np.clip(g, -1, 1)
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return tagger
 
 

@@ -42,6 +42,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class Level:
+    seed: int
     bits: int
     hashes: int
     words: tuple[int, ...]
@@ -52,25 +53,28 @@ class Level:
             lambda a, b: a & b,
             (
                 F.getbit(F.element_at(words, (at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
-                for at in positions(key, self.bits, self.hashes)
+                for at in positions(key, self.seed, self.bits, self.hashes)
             ),
         )
 
 
-def positions(key: Column, bits: int, hashes: int) -> list[Column]:
-    """Double hashing: the i-th place is h1 + i * h2, with h2 cut to 31 bits."""
-    first = F.xxhash64(key)
-    second = F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 33)
+def positions(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
+    """Double hashing: the i-th place is h1 + i * h2, with h2 cut to 31 bits.
+
+    Every level has its own seed: keys that collide in one level part in the next.
+    """
+    first = F.xxhash64(F.lit(seed), key)
+    second = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 33)
     return [F.pmod(F.shiftrightunsigned(first, 2) + i * second, F.lit(bits)) for i in range(hashes)]
 
 
-def build_level(keys: DataFrame, count: int, rate: float, max_bits: int) -> Level:
+def build_level(keys: DataFrame, seed: int, count: int, rate: float, max_bits: int) -> Level:
     """Bloom filter over column ``key``: bits are or-ed by word before anything moves."""
     hashes = max(1, round(-math.log2(rate)))
     bits = max(64, math.ceil(count * hashes / math.log(2) / 64) * 64)
     if bits > max_bits:
         raise ValueError(f"{bits} filter bits are over max_bits={max_bits}: shorten the list")
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes))).alias("at"))
+    at = keys.select(F.explode(F.array(*positions(F.col("key"), seed, bits, hashes))).alias("at"))
     words = [0] * (bits // 64)
     for row in (
         at.groupBy((F.col("at") / 64).cast("int").alias("word"))
@@ -78,7 +82,7 @@ def build_level(keys: DataFrame, count: int, rate: float, max_bits: int) -> Leve
         .collect()
     ):
         words[row.word] = row["mask"]
-    return Level(bits, hashes, tuple(words))
+    return Level(seed, bits, hashes, tuple(words))
 
 
 def build_cascade(
@@ -95,7 +99,7 @@ def build_cascade(
         return []
     universe = corpus_keys.select(F.approx_count_distinct("key")).first()[0]
     rate = min(0.5, members / max(universe, 1))
-    levels = [build_level(listed, members, rate, max_bits)]
+    levels = [build_level(listed, 1, members, rate, max_bits)]
     passing = corpus_keys.where(levels[0].passes(F.col("key"))).select("key", F.lit(0).alias("listed"))
     # a key of the list must not count as a false positive: its flag outlives the grouping
     false = (
@@ -107,7 +111,7 @@ def build_cascade(
         count = outside.count()
         if not count:
             return levels
-        levels.append(build_level(outside, count, 0.5, max_bits))
+        levels.append(build_level(outside, len(levels) + 1, count, 0.5, max_bits))
         inside, outside = outside, pinned(inside.where(levels[-1].passes(F.col("key"))))
     raise RuntimeError("the cascade does not end: two keys share all their hashes")
 
