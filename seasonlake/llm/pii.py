@@ -89,9 +89,11 @@ def written(spans: list[Span]) -> str:
 
 # --- the model -------------------------------------------------------------------------
 
-#: Character classes: a few signs stand for themselves.
+#: Character classes: a-z without case, digits and a few signs stand for themselves.
 SIGNS = "@.+-() \n:,;/_#%"
-CLASSES = 3 + len(SIGNS) + 10
+DIGIT = 3 + len(SIGNS)
+LETTER = DIGIT + 10
+CLASSES = LETTER + 26
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WINDOW, STRIDE, MARGIN = 96, 48, 32
 
@@ -101,9 +103,9 @@ def class_table() -> np.ndarray:
     table = np.full(128, 2, dtype=np.int64)
     for c in range(128):
         if chr(c).isalpha():
-            table[c] = 1
+            table[c] = LETTER + ord(chr(c).lower()) - ord("a")
         elif chr(c).isdigit():
-            table[c] = 3 + len(SIGNS) + int(chr(c))
+            table[c] = DIGIT + int(chr(c))
         elif chr(c) in SIGNS:
             table[c] = 3 + SIGNS.index(chr(c))
     return table
@@ -290,7 +292,7 @@ def window_starts(codes: np.ndarray) -> list[int]:
 
     Starts are multiples of the stride, so windows overlap by half and neighbours agree.
     """
-    marks = np.flatnonzero((codes == 3 + SIGNS.index("@")) | (codes >= 3 + len(SIGNS)))
+    marks = np.flatnonzero((codes == 3 + SIGNS.index("@")) | ((codes >= DIGIT) & (codes < LETTER)))
     if not len(marks):
         return []
     low = np.maximum(0, (marks - MARGIN) // STRIDE - 1)
@@ -406,7 +408,8 @@ def model_spans(texts: list[str], tagger: Tagger, most_windows: int = 4096) -> l
             piece = text[a:b].strip()
             a += len(text[a:b]) - len(text[a:b].lstrip())
             b = a + len(piece)
-            if not cut and plausible(kind, piece, text[a - 1 : a] if a else "", text[b : b + 1]) and all(b <= x or a >= y for x, y, _ in chosen):
+            whole = not cut and plausible(kind, piece, text[a - 1 : a] if a else "", text[b : b + 1])
+            if whole and all(b <= x or a >= y for x, y, _ in chosen):
                 chosen.append((a, b, kind))
         out.append(chosen)
     return out

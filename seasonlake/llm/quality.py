@@ -107,8 +107,8 @@ def fit(
 ) -> OrdinalModel:
     """Maximum likelihood by AdaGrad with soft-thresholded weights.
 
-    The number of steps is the same for every sample size. A feature of fewer than ``least_documents`` rated documents teaches nothing general
-    and keeps the weight 0.
+    The number of steps is the same for every sample size. A feature of fewer than
+    ``least_documents`` rated documents teaches nothing general and keeps the weight 0.
     Thresholds are kept in order as a first one and positive gaps. With one grade or no
     rows at all the model is that of the counts alone.
     """
