@@ -2,11 +2,10 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from seasonlake.functions.stats import cap_at, coverage_metrics
+from seasonlake.functions.stats import coverage_metrics
+from seasonlake.operators import learn
 from seasonlake.operators.folds import benchmark_metrics, quantile_bins, top_hits
-from seasonlake.operators.history import later_seasons
 from seasonlake.operators.outcomes import archetype_outcomes
-from seasonlake.operators.ranking import group_percentiles, tile_of, with_position
 from seasonlake.plans.baselines import BASELINE, baseline, season_metrics
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.consensus import _PRICED
@@ -20,15 +19,13 @@ from seasonlake.session import pinned
 
 
 def predicted_rates(t: Tables) -> DataFrame:
-    """Baseline rate beside the realised rate, with its prediction quintile."""
+    """Baseline rate beside the realised rate."""
     said = baseline(t).select("entity_id", "target_season", F.round("weighted_ppg", 0).cast("long").alias("predicted"))
     did = season_metrics(t).where(F.col("games") >= 2).select(
         "entity_id", F.col("season").alias("target_season"), F.col("ppg").alias("actual")
     )
     people = t.entities().select("entity_id", "position")
-    df = pinned(said.join(did, ["entity_id", "target_season"]).join(people, "entity_id"))
-    df = with_position(df, ["target_season"], "predicted", "entity_id", descending=False, name="_rn", total="_n")
-    return df.withColumn("quintile", tile_of(F.col("_rn"), F.col("_n"), 5)).drop("_rn", "_n")
+    return pinned(said.join(did, ["entity_id", "target_season"]).join(people, "entity_id"))
 
 
 PREDICTED = """pq AS (
@@ -45,18 +42,8 @@ PREDICTED = """pq AS (
 
 def intervals(t: Tables) -> DataFrame:
     """p10 and p90 from the residuals of earlier folds in the same cell."""
-    df = pinned(predicted_rates(t))
-    residuals = df.select(
-        "target_season", "position", "quintile", (F.col("actual") - F.col("predicted")).alias("residual")
-    )
-    # equal residuals collapse before they are repeated per later fold
-    last = df.agg(F.max("target_season").alias("m")).scalar()
-    seen = later_seasons(residuals, last, "target_season", "fold")
-    cut = group_percentiles(seen, ["fold", "position", "quintile"], "residual", {"q10": 0.1, "q90": 0.9})
-    out = df.join(cut.withColumnRenamed("fold", "target_season"), ["target_season", "position", "quintile"])
-    return out.withColumn("p10", F.col("predicted") + F.round("q10", 2)).withColumn(
-        "p90", F.col("predicted") + F.round("q90", 2)
-    )
+    made = learn.residual_intervals(predicted_rates(t), "actual", "predicted", "entity_id", digits=2)
+    return made.where(F.col("p10").isNotNull())
 
 
 @query(
@@ -231,12 +218,11 @@ def role_exposure(t: Tables) -> DataFrame:
     df = df.join(listed, ["entity_id", "target_season"], "left").withColumn(
         "is_starter", F.coalesce("is_starter", F.lit(0))
     )
-    reference = df.where(F.col("is_starter") == 1).groupBy("target_season", "position").agg(
-        F.avg("expected").alias("_ref")
+    out = learn.role_games(
+        df.withColumn("season_games", F.lit(12)), "expected", "is_starter", "season_games",
+        ["target_season", "position"],
     )
-    out = df.join(reference, ["target_season", "position"], "left")
-    ratio = cap_at(F.col("expected") / F.col("_ref"), 1.0)
     return out.select(
         "entity_id", "target_season", "position", "is_starter",
-        F.round(12 * F.coalesce(ratio, F.lit(1.0)), 6).alias("role_games"),
+        F.round("role_games", 6).alias("role_games"),
     )
