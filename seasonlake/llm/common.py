@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,26 @@ def batches(batch: pa.RecordBatch, most_bytes: int, column: str) -> Iterator[pa.
 
 def spread(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+BITMAP_BITS = 1 << 23
+
+
+def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """One bit for each value of the only column of ``hashes``, by its low bits.
+
+    A filter of fixed size: a set bit may be another value's, a clear one is proof. It
+    spares work where few values are wanted and lets everything pass where many are.
+    """
+    at = F.pmod(F.col(hashes.columns[0]), F.lit(bits))
+    words = hashes.select((at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit"))
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for row in words.groupBy("word").agg(mask.alias("mask")).collect():
+        out[row["word"]] = row["mask"]
+    return out
+
+
+def may_hold(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % (len(words) * 64)
+    return (words[at // 64] >> (at % 64)) & 1 == 1

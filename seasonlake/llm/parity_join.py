@@ -8,15 +8,17 @@ more parts than D: two sets within reach agree on a whole part. Parts are long (
 place has 64 bits), so they are kept as the XOR of the places set in them.
 
 Of the parts that are not empty a set needs to offer only its D + 1 first ones in a common
-random order: at most D of them can be wrong before the first one both sets share. A set
-close to the top of its band also offers parts of the next band, where its larger partners
-are. Parts meet by hash; sets that share one become candidates and are verified on their
+random order: at most D of them can be wrong before the first one both sets share. With
+``slack`` more, two sets within reach share that many more. A set close to the top of its
+band also offers parts of the next band, where its larger partners are. Parts meet by hash; sets that share one become candidates and are verified on their
 whole shingle sets, so every returned link is exact and, unless 64-bit hashes collide, no
 link is lost.
 
-Equal sets are one node. A part shared by few sets gives its pairs; one shared by many
-gives a star to its first set, and only sets that are still in different components after
-those are linked are compared by sketch, in tiles.
+Equal sets are one node. A part shared by few sets gives its pairs; one shared by many, a
+crowd, gives a star to its first set. A set with no more keys in crowds than the slack has
+met every partner outside them, so a passage that many documents share costs nothing more.
+Of the other sets only those that are still in different components after the links are
+compared by sketch, in tiles.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonlake.llm.common import batches, spread
+from seasonlake.llm.common import batches, bitmap, may_hold
 from seasonlake.llm.components import components
 from seasonlake.llm.words import mix, shingle_sets
 from seasonlake.session import pinned
@@ -69,20 +71,25 @@ def part_keys(found: np.ndarray, band: int, offered: int) -> np.ndarray:
         keys = mix(found ^ salt)
     else:
         # enough parts that more than D of a set's parts are filled, with a wide margin
-        parts = int(top * (0.36 + 1.6 / top**0.5))
+        parts = int(top * (0.5 + 1.6 / top**0.5))
         part = ((found >> U64(32)) * U64(parts)) >> U64(32)  # hashes are sorted, so parts are runs
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         keys = mix(np.bitwise_xor.reduceat(mix(found), begin) ^ mix(part[begin] + salt))
     return np.partition(keys, offered)[:offered] if offered < len(keys) else keys
 
 
+def slack(size: int) -> int:
+    return size // 8
+
+
 def offered_keys(found: np.ndarray, t: Threshold) -> np.ndarray:
     size = len(found)
+    more = 1 + slack(size)
     band = size.bit_length() - 1
     top, partner = 1 << (band + 1), t.largest_partner(size)
-    keys = part_keys(found, band, t.differences(size, min(partner, top - 1)) + 1)
+    keys = part_keys(found, band, t.differences(size, min(partner, top - 1)) + more)
     if partner >= top:
-        keys = np.append(keys, part_keys(found, band + 1, t.differences(size, partner) + 1))
+        keys = np.append(keys, part_keys(found, band + 1, t.differences(size, partner) + more))
     return keys
 
 
@@ -102,7 +109,7 @@ def fold(data: bytes, bits: int) -> np.ndarray:
 
 
 def described(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row, n, set): shingle count and name of each document's set."""
+    """(doc_id, row, n, set, bits): shingle count, name and sketch of each document's set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
@@ -112,12 +119,13 @@ def described(documents: DataFrame, size: int) -> DataFrame:
                     [
                         part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([fingerprint(s) for s in sets], pa.int64()),
+                        pa.array([sketch(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "row", "n", "set"],
+                    ["doc_id", "row", "n", "set", "bits"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"doc_id {kind}, row long, n long, set long")
+    return documents.mapInArrow(run, f"doc_id {kind}, row long, n long, set long, bits binary")
 
 
 def offers(documents: DataFrame, size: int, t: Threshold, parts: int) -> DataFrame:
@@ -159,10 +167,11 @@ FEW = 6
 
 
 def shared_parts(offered: DataFrame) -> DataFrame:
-    """(crowd, a, b): sets that share a key.
+    """(crowd, a, b, keys): sets that share a key.
 
-    Up to ``FEW`` sets give their pairs (crowd 0); more give pairs with their first set,
-    and a row (crowd, a = b = set) for each of them, where equal crowds have one name.
+    Up to ``FEW`` sets give their pairs (crowd 0). More are a crowd: pairs with their first
+    set, a row (crowd, set, set) for each, where equal crowds have one name, and for each
+    set the number of its keys in crowds (crowd -1).
     """
 
     def run(part: pa.Table) -> pa.Table:
@@ -197,16 +206,28 @@ def shared_parts(offered: DataFrame) -> DataFrame:
         found = np.concatenate(out)
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
         found = found[np.append(True, (found[1:] != found[:-1]).any(axis=1))] if len(found) else found
-        return pa.table({"crowd": found[:, 0], "a": found[:, 1], "b": found[:, 2]})
+        busy, times = np.unique(names[np.repeat(sizes > FEW, sizes)], return_counts=True)
+        rows = np.concatenate([found, np.stack([np.full(len(busy), -1), busy, busy], axis=1)])
+        counts = np.append(np.zeros(len(found), np.int64), times)
+        return pa.table({"crowd": rows[:, 0], "a": rows[:, 1], "b": rows[:, 2], "keys": counts})
 
-    return offered.groupBy("part").applyInArrow(run, "crowd long, a long, b long").distinct()
+    met = offered.groupBy("part").applyInArrow(run, "crowd long, a long, b long, keys long")
+    return met.groupBy("crowd", "a", "b").agg(F.sum("keys").alias("keys"))
 
 
-def stored_sets(documents: DataFrame, size: int) -> DataFrame:
-    """(set, n, bits, members): the sketch and the 6-byte shingle hashes of each set."""
+def stored_sets(documents: DataFrame, one: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(set, n, members): the 6-byte shingle hashes of each needed set.
+
+    ``one`` has the row of a document for each set. A bitmap of the needed rows spares
+    most other texts; what slips through leaves at the join.
+    """
+    rows = one.join(needed, "set", "left_semi").select("row")
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap(rows))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
+            hit = may_hold(sent.value, whole.column("row").to_numpy())
+            whole = whole.filter(pa.array(hit))
             for part in batches(whole, BATCH_BYTES, "text"):
                 sets = [s for s in shingle_sets(part.column("text"), size) if len(s)]
                 packed = [
@@ -216,17 +237,37 @@ def stored_sets(documents: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([fingerprint(s) for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([sketch(s) for s in sets], pa.binary()), pa.array(packed, pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()),
                     ],
-                    ["set", "n", "bits", "members"],
+                    ["set", "n", "members"],
                 )
 
-    return documents.select("text").mapInArrow(run, "set long, n long, bits binary, members binary")
+    found = documents.select("row", "text").mapInArrow(run, "set long, n long, members binary")
+    return pinned(found.join(needed, "set", "left_semi"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def within_sketch(pairs: DataFrame, one: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keep = []
+            for x, y, most in zip(*(part.column(c).to_pylist() for c in ("left", "right", "most"))):
+                bits = 8 * min(len(x), len(y))
+                keep.append(int(np.bitwise_count(fold(x, bits) ^ fold(y, bits)).sum()) <= most)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sized = pairs.join(one.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("bits").alias("left")), "a")
+    sized = sized.join(one.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("right")), "b")
+    sized = sized.where((F.col("na") * t.base >= F.col("nb") * t.top) & (F.col("nb") * t.base >= F.col("na") * t.top))
+    most = F.floor((F.col("na") + F.col("nb")) * F.lit(t.base - t.top) / F.lit(t.base + t.top) + F.lit(1e-9))
+    return sized.select("a", "b", "left", "right", most.cast("long").alias("most")).mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, documents: DataFrame, one: DataFrame, size: int, t: Threshold) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    sets = stored_sets(documents, one, needed, size)
 
     def wide(data: bytes) -> np.ndarray:
         out = np.zeros((len(data) // 6, 8), np.uint8)
@@ -242,14 +283,13 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 keep.append(t.reached(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sized = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("members").alias("left")), "a")
-    sized = sized.join(
-        sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("members").alias("right")), "b"
-    ).where((F.col("na") * t.base >= F.col("nb") * t.top) & (F.col("nb") * t.base >= F.col("na") * t.top))
-    return sized.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("members").alias("left")), "a").join(
+        sets.select(F.col("set").alias("b"), F.col("members").alias("right")), "b"
+    )
+    return pinned(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
 
 
-def rivals(crowds: DataFrame, roots: DataFrame, sets: DataFrame, t: Threshold, tile: int = 1024) -> DataFrame:
+def rivals(crowds: DataFrame, roots: DataFrame, one: DataFrame, t: Threshold, tile: int = 1024) -> DataFrame:
     """Pairs of one crowd that are in different components and close enough by sketch.
 
     A crowd of one component has nothing left to find. The others are cut into tiles, and
@@ -264,7 +304,7 @@ def rivals(crowds: DataFrame, roots: DataFrame, sets: DataFrame, t: Threshold, t
     tiles = F.ceil(F.col("size") / tile).cast("int")
     members = (
         rows.join(open_.select("crowd", tiles.alias("tiles")), "crowd")
-        .join(sets.select(F.col("set").alias("a"), "n", "bits"), "a")
+        .join(one.select(F.col("set").alias("a"), "n", "bits"), "a")
         .withColumn("own", F.pmod(F.xxhash64("a"), "tiles").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
@@ -275,18 +315,22 @@ def rivals(crowds: DataFrame, roots: DataFrame, sets: DataFrame, t: Threshold, t
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
-        part = part.sort_values("a", ignore_index=True)
+        part = part.sort_values(["n", "a"], ignore_index=True)
         bits = 8 * min(map(len, part["bits"]))
         words = np.stack([fold(b, bits) for b in part["bits"]])
-        name, root, n = (part[c].to_numpy() for c in ("a", "root", "n"))
-        left = np.flatnonzero(part["own"] == i)
-        right = np.flatnonzero(part["own"] == j)
+        name, root, n, own = (part[c].to_numpy() for c in ("a", "root", "n", "own"))
+        upto = np.searchsorted(n * t.top, n * t.base, side="right")  # largest partner in reach
         out = []
-        for x in left.tolist():
-            rest = right[right > x] if i == j else right
-            rest = rest[(root[rest] != root[x]) & (n[rest] * t.base >= n[x] * t.top) & (n[x] * t.base >= n[rest] * t.top)]
-            apart = np.bitwise_count(words[rest] ^ words[x]).sum(axis=1)
-            near = rest[apart <= (n[rest] + n[x]) * (t.base - t.top) // (t.base + t.top)]
+        for x in range(len(part)):
+            rest = slice(x + 1, upto[x])
+            far = root[rest] != root[x]
+            if i != j:
+                far &= own[rest] != own[x]
+            pick = np.flatnonzero(far) + x + 1
+            if not len(pick):
+                continue
+            apart = np.bitwise_count(words[pick] ^ words[x]).sum(axis=1)
+            near = pick[apart <= (n[pick] + n[x]) * (t.base - t.top) // (t.base + t.top)]
             out += [(min(name[x], name[y]), max(name[x], name[y])) for y in near.tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -302,18 +346,18 @@ def labelled_sets(narrow: DataFrame, size: int, t: Threshold) -> DataFrame:
     docs = pinned(described(narrow, size))
     shingles = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(24, shingles // 4_000_000)
+    one = pinned(docs.where("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     met = pinned(shared_parts(offers(narrow, size, t, parts)))
-    pairs = met.where("crowd = 0").select("a", "b")
-    crowds = met.where("crowd <> 0").select("crowd", "a")
-    # one document stands for each set that met another
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(crowds.select("a")).distinct()
-    stands = docs.groupBy("set").agg(F.min("row").alias("row")).join(needed, "set", "left_semi")
-    chosen = narrow.join(stands.select("row"), "row", "left_semi")
-    sets = pinned(stored_sets(chosen, size).dropDuplicates(["set"]))
-    links = pinned(verified(pairs, sets, t))
+    pairs = pinned(within_sketch(met.where("crowd = 0").select("a", "b"), one, t))
+    links = verified(pairs, narrow, one, size, t)
+    # a partner has at least top / base of a set's size, so at least that slack
+    least = F.floor(F.floor(F.col("n") * t.top / t.base) / 8)
+    busy = met.where("crowd = -1").join(one.select(F.col("set").alias("a"), "n"), "a").where(F.col("keys") > least)
+    crowds = met.where("crowd > 0").select("crowd", "a").join(busy.select("a"), "a", "left_semi")
     if crowds.limit(1).count():
-        more = pinned(rivals(crowds, components(links), sets, t))
-        links = links.union(verified(more, sets, t))
+        more = pinned(rivals(crowds, components(links), one, t))
+        if more.limit(1).count():
+            links = links.union(verified(more, narrow, one, size, t))
     roots = components(links)
     return docs.join(roots.withColumnsRenamed({"node": "set"}), "set", "left").select(
         "doc_id", "row", "n", F.coalesce("root", "set").alias("root")
