@@ -24,7 +24,7 @@ from seasonlake.llm.common import batches
 from seasonlake.llm.words import BASE, BYTE, SPACE, mix, utf8
 
 BITS = 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 U64 = np.uint64
 _SALTS = mix(np.arange(1, 16, dtype=U64))
 SHARES = 6
