@@ -422,12 +422,13 @@ def all_spans(text: str, base: list[Span], added: list[Span]) -> list[Span]:
 
 
 def fitted(documents: DataFrame, train_rows: int = 200) -> Tagger:
-    """Train on the ``train_rows`` texts with a digit or at sign that come first by hash."""
-    rows = (
-        documents.where(F.col("text").rlike("[0-9@]"))
-        .select("text").orderBy(F.xxhash64("text"), F.length("text")).limit(train_rows)
-    )
-    texts = sorted({r["text"] for r in rows.collect()})
+    """Train on the ``train_rows`` texts with a digit or at sign that come first by hash.
+
+    The sample is chosen by hashes alone; only its own texts come to the driver.
+    """
+    hot = documents.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("hash"))
+    first = [r["hash"] for r in hot.select("hash").distinct().orderBy("hash").limit(train_rows).collect()]
+    texts = sorted({r["text"] for r in hot.where(F.col("hash").isin(first)).select("text").distinct().collect()})
     return train(*labelled_windows(texts))
 
 
