@@ -264,6 +264,35 @@ def test_line_dedup(spark):
     assert Counter(r.text for r in line_dedup.dedup_lines(repeated).collect()) == {"a b\nc d": 2, "": 1, None: 1}
 
 
+def fives(line):
+    return {line[i : i + 5] for i in range(len(line) - 4)} or {line}
+
+
+def same(a, b):
+    return len(fives(a) & fives(b)) / len(fives(a) | fives(b))
+
+
+def test_line_dedup_of_short_lines(spark):
+    """One changed or added letter in lines of 5 to 15 words, and in lines without a blank."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghinorst", k=rng.randint(3, 9)))
+    texts, near = [], {}
+    while len(near) < 150:
+        line = (" " if len(near) % 5 else "").join(word() for _ in range(rng.randint(5, 15)))
+        at = rng.randrange(len(line))
+        other = line[:at] + "é" + line[at + rng.randint(0, 1) :]
+        if same(line, other) >= 0.8:
+            near[len(texts) + 1] = other
+        elif rng.random() < 0.5:
+            continue
+        texts += [line, other]
+    texts += ["ab", "abc", "abcd", "abce", "\U0001f600\U0001f601", "\U0001f600\U0001f602"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_removed}
+    assert gone <= set(near)
+    assert len(gone) >= 0.96 * len(near)
+
+
 def rated(rng, n):
     rows, labels = [], []
     common = [f"word{i}" for i in range(300)]
