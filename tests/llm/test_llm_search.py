@@ -293,6 +293,36 @@ def test_line_dedup_of_short_lines(spark):
     assert len(gone) >= 0.96 * len(near)
 
 
+def test_line_dedup_of_crowded_buckets(spark):
+    """Near twins among lines of one template, which share buckets without being near."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghinorst", k=rng.randint(3, 9)))
+    shared = " ".join(word() for _ in range(30))
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(12)]
+        texts.append(f"{shared} {' '.join(own)}")
+        own[rng.randrange(12)] = word()
+        texts.append(f"{shared} {' '.join(own)}")
+    sets = [fives(t) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert all(near(i, i + 1) for i in range(0, len(texts), 2))
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = documents.withColumn("row", F.xxhash64("doc_id", "text"))
+    distinct = line_dedup.pinned(line_dedup.distinct_lines(line_dedup.lines_of(documents), 6, 3))
+    roots = {r.node: r.root for r in line_dedup.linked(distinct, documents, 6, 0.8).collect()}
+    buckets, doc = {}, {}
+    for r in distinct.collect():
+        doc[r.id] = r.doc_id
+        for b in range(6):
+            buckets.setdefault(r[f"b{b}"], []).append(r.id)
+    assert max(map(len, buckets.values())) > 20
+    for ids in buckets.values():
+        for i, a in enumerate(ids):
+            for b in ids[:i]:
+                assert not near(doc[a], doc[b]) or roots.get(a, a) == roots.get(b, b)
+
+
 def rated(rng, n):
     rows, labels = [], []
     common = [f"word{i}" for i in range(300)]
