@@ -12,6 +12,7 @@ from seasonlake.operators import (
     asof, blend, curve, environment, folds, grades, history, learn, lineup, outcomes, rates,
     replacement, settings, shrinkage, strategy,
 )
+from seasonlake.plans import learned
 
 
 def frame(spark, rows, schema):
@@ -318,3 +319,16 @@ def test_walk_forward_learner_has_no_leak_and_ranks_features(spark):
     drop = {r["feature"]: r["importance"] for r in learn.permutation_importance(
         model, df.where("target_season = 2004"), ["x", "noise"], "y", "id", repeats=4).collect()}
     assert drop["x"] > 0.5 > abs(drop["noise"])
+
+
+def test_folds_come_from_the_data(spark):
+    """Any seasons: each one with labels before it is predicted, and none without."""
+    rows = [(i, 1900 + y, float(i % 3), None if y == 4 else float(i % 7)) for y in range(5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, target_season int, x double, y double")
+    folds = learn.fold_seasons(df, ["y"])
+    assert folds == [1901, 1902, 1903, 1904]
+    assert learn.fold_seasons(df.where("y IS NULL"), ["y"]) == []
+    out = learn.walk_forward(df, folds, {"p": ("y", ["x"])}, maxIter=2)
+    assert sorted({r.target_season for r in out.collect()}) == folds and out.where("p IS NULL").count() == 0
+    assert learn.walk_forward(df, [], {"p": ("y", ["x"])}).count() == 0
+    assert not hasattr(learned, "FOLDS") and not hasattr(learned, "ROUNDS")
