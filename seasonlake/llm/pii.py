@@ -5,8 +5,8 @@ trained in numpy. Its labelled spans are the pattern matches of a bounded sample
 with the same matches written another way (a phone without its plus, an address with its
 at sign spelled out), so that it learns the surroundings and shapes the patterns miss.
 
-A text is read in overlapping windows around the characters every span must hold, a digit
-or an at sign; elsewhere no span can be. Windows are decoded together, and their spans are
+A text is read in overlapping windows around what every span must hold by its kind's shape:
+a digit, an at sign or a spelled at; elsewhere no span can be. Windows are decoded together, and their spans are
 reconciled over the whole text: a span cut by its window's edge gives way, then of two that
 overlap the one deeper inside its window stays. Pattern spans always stay.
 """
@@ -287,12 +287,22 @@ def train(codes: np.ndarray, tags: np.ndarray, hidden: int = 12, steps: int = 80
     return tagger
 
 
+#: What stands for the signs of an address that is spelled out.
+SPELLED = (" at ", " dot ")
+
+
 def window_starts(codes: np.ndarray) -> list[int]:
-    """Starts of the windows that cover every digit and at sign with a margin.
+    """Starts of the windows that cover every digit and at sign, and at and dot where they
+    are spelled out, with a margin.
 
     Starts are multiples of the stride, so windows overlap by half and neighbours agree.
     """
-    marks = np.flatnonzero((codes == 3 + SIGNS.index("@")) | ((codes >= DIGIT) & (codes < LETTER)))
+    hot = (codes == 3 + SIGNS.index("@")) | ((codes >= DIGIT) & (codes < LETTER))
+    for word in SPELLED:
+        n = len(codes) - len(word) + 1
+        if n > 0:
+            hot[:n] |= np.logical_and.reduce([codes[i : i + n] == c for i, c in enumerate(classes(word))])
+    marks = np.flatnonzero(hot)
     if not len(marks):
         return []
     low = np.maximum(0, (marks - MARGIN) // STRIDE - 1)
@@ -333,8 +343,7 @@ def other_spellings(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
             piece = piece.replace("@", " at ").replace(".", " dot ")
         out.append(text[at:a])
         size += a - at
-        if any(c.isdigit() or c == "@" for c in piece):
-            moved.append((size, size + len(piece), kind))
+        moved.append((size, size + len(piece), kind))
         out.append(piece)
         size += len(piece)
         at = b
@@ -377,7 +386,7 @@ def plausible(kind: str, text: str, before: str, behind: str) -> bool:
         return False
     digits = len(DIGITS.findall(text))
     least, most = {"email": (0, len(text)), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}[kind]
-    return least <= digits <= most and (digits > 0 or "@" in text)
+    return least <= digits <= most
 
 
 def model_spans(texts: list[str], tagger: Tagger, most_windows: int = 4096) -> list[list[Span]]:
@@ -455,10 +464,7 @@ def find_pii(
             given = part.column("text").to_pylist()
             texts = [t or "" for t in given]
             base = [base_spans(t) for t in texts]
-            hot = [i for i, t in enumerate(texts) if "@" in t or DIGITS.search(t)]
-            every = list(base)
-            for i, added in zip(hot, model_spans([texts[i] for i in hot], model)):
-                every[i] = all_spans(texts[i], base[i], added)
+            every = [all_spans(*found) for found in zip(texts, base, model_spans(texts, model))]
             lists = [
                 pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in found] for found in column], span)
                 for column in (base, every)

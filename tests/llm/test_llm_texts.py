@@ -219,3 +219,25 @@ def test_model_finds_other_spellings():
         wanted, found = wanted + len(spans), found + len(set(spans) & set(got))
     assert found >= 0.8 * wanted
     assert pii.model_spans(["no digits here at all"], tagger) == [[]]
+
+
+def test_model_finds_spelled_addresses_without_a_digit():
+    rng = random.Random(6)
+    words = "the heon of and or thing ented was is at that with onst".split()
+
+    def text():
+        said = lambda: " ".join(rng.choices(words, k=rng.randint(4, 14)))
+        name, host = ("".join(rng.choices("abcdeghinorst", k=rng.randint(4, 8))) for _ in range(2))
+        return f"{said()} write to {name}@{host}.org {said()}"
+
+    t = "write to jane@example.org now"
+    assert pii.other_spellings(t, pii.base_spans(t)) == ("write to jane at example dot org now", [(9, 32, "email")])
+    assert pii.plausible("email", "jane at example dot org", " ", " ")
+    tagger = pii.train(*pii.labelled_windows([text() for _ in range(120)])).single()
+    wanted = found = 0
+    for _ in range(60):
+        t = text()
+        changed, spans = pii.other_spellings(t, pii.base_spans(t))
+        got = pii.model_spans([changed], tagger)[0]
+        wanted, found = wanted + len(spans), found + len(set(spans) & set(got))
+    assert wanted == 60 and found >= 0.8 * wanted
