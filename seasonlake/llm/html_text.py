@@ -5,7 +5,8 @@ linked characters and linked tags; a node's sum is that of its block children's
 The node with the largest sum is the main part. The least density on its path up to body
 is the page's threshold: other parts join it only if they reach that density with
 text-bearing blocks of their own. A main part inside an article or main element stands for
-that element. Page furniture is taken out before anything is counted.
+that element. Page furniture is taken out before anything is counted; a class name or id
+alone takes nothing out that holds most of the page's unlinked text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 RAW = frozenset("script style template noscript iframe textarea title xmp noembed noframes".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset(
     "head nav footer aside form script style template noscript iframe object embed applet "
@@ -50,6 +52,12 @@ NOISE = frozenset(
     "recommended newsletter subscribe subscription signup widget widgets pagination pager "
     "toolbar skip hidden".split()
 )
+COMPOUNDS = frozenset(
+    "ad-banner ad-slot ad-container ad-wrapper cookie-banner cookie-notice cookie-consent "
+    "related-posts related-articles share-buttons social-share social-links comment-list "
+    "comments-area newsletter-signup widget-area sidebar-widget site-footer page-footer "
+    "site-navigation main-navigation site-nav main-nav nav-menu".split()
+)
 HEADS = frozenset("header site-header page-header main-header top-header".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: What an opening tag closes if it is open inside the nearest scope.
@@ -80,10 +88,18 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id"):
-            words = value.split()
-            if HEADS.intersection(words) or NOISE.intersection(re.split(r"[\s_-]+", value)):
-                return True
+    return False
+
+
+def sounds_like_noise(tag: str, attributes: str) -> bool:
+    """Whether a whole class name or id is one that furniture has."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for word in (a or b or c).lower().split():
+                if word in HEADS or word in NOISE or word.replace("_", "-") in COMPOUNDS:
+                    return True
     return False
 
 
@@ -91,10 +107,14 @@ class Tree:
     """Nodes in page order, with the texts and block borders between them."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.gone = ["body"], [-1], [False]
+        self.tag, self.parent, self.gone, self.noise = ["body"], [-1], [False], [False]
         self.events: list[tuple[int, str]] = []
+        self.read(page)
+        if any(self.noise):
+            self.drop_noise()
+
+    def read(self, page: str) -> None:
         open_, at = [0], 0
-        low: str | None = None
         while True:
             m = TOKEN.search(page, at)
             self.text(open_[-1], page[at : m.start() if m else len(page)])
@@ -120,11 +140,28 @@ class Tree:
             self.tag.append(tag)
             self.parent.append(above)
             self.gone.append(self.gone[above] or is_furniture(tag, inside, in_article))
+            self.noise.append(sounds_like_noise(tag, inside))
             open_.append(len(self.tag) - 1)
             if tag in RAW:
-                low = page.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
+
+    def drop_noise(self) -> None:
+        """Take out what sounds like noise, unless it holds most of the unlinked text."""
+        n = len(self.tag)
+        linked = [False] * n
+        plain = [0] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] in ("a", "button", "select")
+        for node, text in self.events:
+            if not linked[node]:
+                plain[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+        for i in range(1, n):
+            noise = self.noise[i] and 2 * plain[i] <= plain[0]
+            self.gone[i] = self.gone[i] or self.gone[self.parent[i]] or noise
+        self.events = [(node, text) for node, text in self.events if not self.gone[node]]
 
     def text(self, node: int, raw: str) -> None:
         if raw and not self.gone[node]:

@@ -47,6 +47,22 @@ def test_main_text(spark):
     assert html_text.main_text(deep) == "deep"
 
 
+def test_wrappers_with_noisy_names_stay():
+    text = "<p>The article goes on and on here.</p><p>It has a second part.</p>"
+    want = "The article goes on and on here. It has a second part."
+    names = ["site has-sidebar", "content no-comments", "with-banner", "social-science", "entry related-topics", "site widget"]
+    for name in names:
+        for key in ("class", "id"):
+            assert html_text.main_text(f"<body><div {key}='{name}'>{text}<div class=ad>Buy</div></div></body>") == want
+    for name in ("comments", "cookie-banner", "cookie_notice", "x sidebar"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>Short noise</p></div><div>{text}</div></body>") == want
+
+
+def test_raw_elements_end_where_the_page_says():
+    page = "<main><p>" + "\u0130" * 9 + "</p><SCRIPT>var a = '<p>no</p>'</Script><p>after the script</p></main>"
+    assert html_text.main_text(page) == "\u0130" * 9 + " after the script"
+
+
 def test_densities_prefer_text_over_links():
     tree = html_text.Tree("<div><p>plain words that go on and on here</p></div><div><a href=x>linked words that go on</a></div>")
     density, _ = html_text.densities(tree)
