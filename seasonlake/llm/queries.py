@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonlake.llm import bpe, html_text, line_dedup, max_score, packing, parity_join, pii, quality, rotated_codes, url_filter
+from seasonlake.llm import bpe, filter_audit, html_text, line_dedup, max_score, packing, parity_join, pii, quality, rotated_codes, url_filter
 from seasonlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+AUDIT_SQL = """
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+        min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+    FROM documents
+), known AS (
+    SELECT doc_id AS id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), failed AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * len(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+    FROM texts LEFT JOIN known ON doc_id = id
+), cells AS (
+    SELECT part, fails, good, toxic, count(*) AS n FROM failed GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), walked AS (
+    SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, good, toxic, n,
+        strpos(fails, substr(filter_order, step, 1)) > 0 AS failing,
+        fails = substr(filter_order, step, 1) AS only_this,
+        len(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS gone
+    FROM cells, orders, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)
+), counted AS (
+    SELECT part, filter_order, step, f,
+        sum(n * (NOT gone AND NOT failing)::INT)::BIGINT AS kept,
+        sum(n * (NOT gone AND failing)::INT)::BIGINT AS removed,
+        sum(n * (gone AND failing)::INT)::BIGINT AS redundant,
+        sum(n * only_this::INT)::BIGINT AS unique_fails,
+        sum(n * (NOT gone AND failing AND good = 1)::INT)::BIGINT AS good_lost,
+        sum(n * (NOT gone AND failing AND toxic = 1)::INT)::BIGINT AS toxic_lost
+    FROM walked GROUP BY ALL
+)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(
+        table(spark, sf_dir, "documents", "doc_id", "text", "source"),
+        table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
+    )
