@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonlake.llm import bpe, filter_audit, html_text, line_dedup, max_score, packing, parity_join, pii, quality, rotated_codes, url_filter
+from seasonlake.llm import alignment, bpe, filter_audit, html_text, line_dedup, max_score, packing, parity_join, pii, quality, rotated_codes, token_counts, url_filter
 from seasonlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,18 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text", "source"),
         table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"),
     )
+
+
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")
+    )
