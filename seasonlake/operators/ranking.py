@@ -1,22 +1,24 @@
 """Ranks, positions, tiles and exact percentiles inside groups of any size.
 
-``rank() OVER (PARTITION BY g ORDER BY v)`` sorts a whole group in one task. A
-group may hold a third of all rows, so the functions here cut every group into
-ordered bins with a data-independent monotone function of the value, order inside
-each (group, bin) and add the number of rows in the earlier bins:
-
-    position in group = position in (group, bin) + rows in earlier bins
-
-The bin table holds at most some ten thousand rows per group whatever the data size.
-Rank-like outputs first collapse the rows to (group, value, count), so a value
-shared by many rows is one row by then.
-
-``by`` must evaluate to the same value every time (integers, exact sums, ratios
-of exact sums); pass ``pin=True`` for a float sum or a random column, which
-checkpoints the input first. ``bounded=True`` states that the size of a group is
-limited by a fixed dimension (seasons, sources, teams) and uses the plain window.
-``source`` names a frame with the same (group, value) rows to count from: when one
-frame gets several ranks, counting from the first frame keeps the plan flat.
+``rank() OVER (PARTITION BY g ORDER BY v)`` sorts a whole group in one task. A group may
+hold a third of all rows, so the functions here sort the whole frame by (group, value)
+into ranges that Spark draws from a sample of the data, number the rows inside each
+(group, range) and add the rows of the group's earlier ranges:
+
+    position in group = position in (group, range) + rows in earlier ranges
+
+A range holds about the same number of rows wherever the values lie and however they
+crowd; a group has at most as many ranges as there are partitions. The ranges are stored
+before they are counted, so every reader sees one and the same cut. Rank-like outputs
+first collapse the rows to (group, value, count), so a value shared by many rows is one
+row by then; positions are ranged by value and tie, so it is split over its ties.
+
+``by`` of a rank must evaluate to the same value every time (integers, exact sums, ratios
+of exact sums), since the ranks are joined back on it; pass ``pin=True`` for a float sum
+or a random column, which stores the input first. ``bounded=True`` states that the size
+of a group is limited by a fixed dimension (seasons, sources, teams) and uses the plain
+window. ``source`` names a frame with the same (group, value) rows to count from: when
+one frame gets several ranks, counting from the first frame keeps the plan flat.
 """
 
 from __future__ import annotations
@@ -29,38 +31,6 @@ from pyspark.sql.window import Window as W
 from seasonlake.functions.stats import correlation
 from seasonlake.session import pinned
 
-_BINS_PER_OCTAVE = 512
-_TIE_BINS_PER_OCTAVE = 512
-_SMALLEST = 1024.0
-_INFINITE_BIN = 2**40
-_NAN_BIN = 2**41
-_NULL_BIN = 2**62
-
-
-def order_bin(value: Column, per_octave: int = _BINS_PER_OCTAVE) -> Column:
-    """Monotone integer bin of a number: a log scale on both sides of zero.
-
-    A bin is 1/``per_octave`` of a doubling wide; below 1/1024 the scale is linear.
-    Infinities and NaN have bins of their own, NaN above all, as Spark orders them.
-    """
-    x = value.cast("double")
-    width = F.floor(F.log2(F.abs(x) * _SMALLEST + F.lit(1.0)) * per_octave).cast("long")
-    width = F.when(F.abs(x) == float("inf"), _INFINITE_BIN).otherwise(width)
-    return F.when(F.isnan(x), F.lit(_NAN_BIN)).when(x < 0, -width).otherwise(width)
-
-
-def _as_number(value: Column, kind: T.DataType) -> Column:
-    """A number that never falls where the value rises: days, microseconds, first bytes."""
-    if isinstance(kind, T.DateType):
-        return F.unix_date(value)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value)
-    if isinstance(kind, T.StringType):
-        first = F.rpad(F.hex(F.encode(F.substring(value, 1, 6), "UTF-8")), 12, "0")
-        return F.conv(F.substring(first, 1, 12), 16, 10).cast("long")
-    return value
-
-
 def _default(kind: T.DataType) -> Column:
     """Some value of the type, to stand in for NULL beside its flag."""
     if isinstance(kind, T.StringType):
@@ -74,11 +44,6 @@ def _directed(value: Column, descending: bool) -> Column:
     return value.desc_nulls_last() if descending else value.asc_nulls_last()
 
 
-def _bin_of(value: Column, descending: bool, per_octave: int = _BINS_PER_OCTAVE) -> Column:
-    bins = order_bin(value, per_octave)
-    return F.coalesce(-bins if descending else bins, F.lit(_NULL_BIN).cast("long"))
-
-
 def _split_null(df: DataFrame, by: str) -> DataFrame:
     """Plain equality columns for a nullable value: windows and joins on them share a shuffle."""
     return df.withColumn("_isnull", F.col(by).isNull()).withColumn(
@@ -86,45 +51,38 @@ def _split_null(df: DataFrame, by: str) -> DataFrame:
     )
 
 
-def value_table(
-    df: DataFrame, group: Sequence[str], by: str, descending: bool = False, then: Sequence[str] = ()
-) -> DataFrame:
-    """(group, _isnull, _val, n, before, total): how many rows precede each distinct value.
+def ranged(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Rows cut into consecutive ranges of the order and stored, numbered by ``_range``.
 
-    ``then`` names further ascending columns that split one value into ordered parts.
+    Spark samples the rows to place the cuts, so ranges hold about equal shares whatever
+    the values are, and adaptive execution joins neighbours that are small.
     """
-    keys = list(group)
-    values = (
-        _split_null(df, by)
-        .groupBy(*keys, "_isnull", "_val", *then)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(
-            "_bin",
-            _bin_of(_as_number(F.when(~F.col("_isnull"), F.col("_val")), df.schema[by].dataType), descending),
-        )
-    )
-    bins = values.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n"))
-    in_group = W.partitionBy(*keys)
-    earlier = in_group.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.select(
-        *keys,
-        "_bin",
-        F.coalesce(F.sum("_bin_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_bin_n").over(in_group).alias("total"),
-    )
-    value = F.col("_val").desc() if descending else F.col("_val").asc()
-    inside = (
-        W.partitionBy(*keys, "_bin")
-        .orderBy("_isnull", value, *then)
-        .rowsBetween(W.unboundedPreceding, -1)
+    return pinned(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def range_offsets(stored: DataFrame, keys: Sequence[str], size: Column) -> DataFrame:
+    """(keys, _range, _offset, total): a group's rows before each of its ranges."""
+    cells = stored.groupBy(*keys, "_range").agg(size.alias("_size"))
+    group = W.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return cells.select(
+        *keys, "_range",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_size").over(group).alias("total"),
     )
+
+
+def value_table(df: DataFrame, group: Sequence[str], by: str, descending: bool = False) -> DataFrame:
+    """(group, _isnull, _val, n, before, total): how many rows precede each distinct value."""
+    keys = list(group)
+    values = _split_null(df, by).groupBy(*keys, "_isnull", "_val").agg(F.count(F.lit(1)).alias("n"))
+    order = ["_isnull", F.col("_val").desc() if descending else F.col("_val").asc()]
+    stored = ranged(values, [*keys, *order])
+    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        values.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(bins, [*keys, "_bin"])
-        .select(
-            *keys, "_isnull", "_val", *then, "n",
-            (F.col("_inside") + F.col("_offset")).alias("before"), "total",
-        )
+        stored.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .join(range_offsets(stored, keys, F.sum("n")), [*keys, "_range"])
+        .select(*keys, "_isnull", "_val", "n", (F.col("_inside") + F.col("_offset")).alias("before"), "total")
     )
 
 
@@ -202,37 +160,24 @@ def with_position(
     name: str = "position_rank",
     total: str | None = None,
     bounded: bool = False,
-    pin: bool = False,
-    source: DataFrame | None = None,
 ) -> DataFrame:
     """ROW_NUMBER by ``by`` then the unique ``tie`` ascending; 1-based.
 
-    A text ``tie`` is ordered by its hash first, which spreads ids that share a prefix.
+    The rows are stored once, so ``by`` may be any column, a random one included.
     """
     keys = list(group)
-    if pin:
-        df = pinned(df)
-    if dict(df.dtypes)[tie] == "string":
-        tied = [F.xxhash64(tie).asc(), F.col(tie).asc()]
-        part = F.shiftright(F.xxhash64(tie), 56)
-    else:
-        tied = [F.col(tie).asc()]
-        part = order_bin(F.col(tie), _TIE_BINS_PER_OCTAVE)
-    order = [_directed(F.col(by), descending), *tied]
+    order = [_directed(F.col(by), descending), F.col(tie).asc()]
     if bounded:
         every = W.partitionBy(*keys)
         out = df.withColumn(name, F.row_number().over(every.orderBy(*order)).cast("long"))
         return out.withColumn(total, F.count(F.lit(1)).over(every)) if total else out
-    rows = _split_null(df, by).withColumn("_part", part)
-    counted = (df if source is None else source).withColumn("_part", part)
-    table = value_table(counted, keys, by, descending, then=["_part"]).drop("n")
-    # rows equal in value and tie part; a value shared by a third of all rows is still split
-    cell = [*keys, "_isnull", "_val", "_part"]
-    peers = W.partitionBy(*cell).orderBy(*tied)
-    rows = rows.withColumn("_inside", F.row_number().over(peers)).join(table, cell)
-    made = [(F.col("_inside") + F.col("before")).cast("long").alias(name)]
+    stored = ranged(df, [*keys, *order])
+    offsets = range_offsets(stored, keys, F.count(F.lit(1))).withColumnRenamed("total", "_total")
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    rows = stored.withColumn("_inside", inside).join(offsets, [*keys, "_range"])
+    made = [(F.col("_inside") + F.col("_offset")).cast("long").alias(name)]
     if total:
-        made.append(F.col("total").cast("long").alias(total))
+        made.append(F.col("_total").cast("long").alias(total))
     return rows.select(*[F.col(c) for c in df.columns], *made)
 
 

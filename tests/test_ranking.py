@@ -27,13 +27,6 @@ def skewed(spark):
     return spark.createDataFrame(data, "id long, g string, v double").cache()
 
 
-def test_bins_are_monotone(spark):
-    values = sorted(random.Random(3).uniform(-1, 1) * 10 ** random.Random(i).uniform(-6, 15) for i in range(3000))
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
-    bins = [r[0] for r in df.orderBy("i").select(ranking.order_bin(F.col("v"))).collect()]
-    assert bins == sorted(bins)
-
-
 @pytest.mark.parametrize("descending", [False, True])
 def test_rank_family(skewed, as_rows, descending):
     v = F.col("v")
@@ -129,8 +122,25 @@ def test_odd_values_rank_as_the_window_does(spark, as_rows, kind, descending):
     assert got == want
 
 
-def test_one_value_is_split_over_its_ids(spark):
-    """No part of a value shared by all rows holds more than a small share of them."""
-    part = ranking.order_bin(F.col("id"), ranking._TIE_BINS_PER_OCTAVE)
-    largest = spark.range(1, 1_000_001).groupBy(part.alias("b")).count().agg(F.max("count")).first()[0]
-    assert largest < 5_000
+@pytest.mark.parametrize("kind", ["narrow", "one value", "one far value"])
+def test_ranges_hold_even_shares(spark, kind):
+    """No range holds more than three times its share, wherever the values crowd."""
+    value = {
+        "narrow": F.lit(1000.0) + F.col("id") * F.lit(1e-9),
+        "one value": F.lit(7.0),
+        "one far value": F.when(F.col("id") == 5, 1e12).otherwise(1000.0 + (F.col("id") % 100_000) * 1e-8),
+    }[kind]
+    rows = spark.range(1_000_000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"), value.alias("v"))
+    with_conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in ranking.ranged(rows, ["g", F.col("v").desc(), "id"]).groupBy("_range").count().collect()]
+        assert sum(sizes) == 1_000_000 and len(sizes) == 16 and max(sizes) < 3 * 1_000_000 / 16
+        # the numbering over those ranges is whole
+        placed = ranking.with_position(rows, ["g"], "v", "id", name="p", total="n").where("g = 'hot'")
+        assert placed.agg(F.count_distinct("p"), F.min("p"), F.max("p"), F.max("n")).first() == (666_666, 1, 666_666, 666_666)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
