@@ -4,86 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from seasonlake.functions.stats import through_origin
 from seasonlake.operators.history import later_seasons
+from seasonlake.session import pinned
 
+#: Corner points of all curves of one fit; the fitted model is one object on the driver.
+MOST_POINTS = 5_000_000
 
-def _pool_blocks(keys: Sequence[str]):
-    """Grouped-map function: pool adjacent violators of a non-increasing fit.
 
-    Input rows are blocks (x_lo, x_hi, total, weight) in any order; the result is
-    the blocks left after pooling. Pooling parts first and then their blocks gives
-    the fit of the whole.
-    """
-    names = list(keys)
-
-    def pool(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("x_lo", kind="stable")
-        stack: list[list[float]] = []
-        for lo, hi, total, weight in zip(pdf["x_lo"], pdf["x_hi"], pdf["total"], pdf["weight"]):
-            block = [lo, hi, total, weight]
-            while stack and stack[-1][2] * block[3] <= block[2] * stack[-1][3]:
-                before = stack.pop()
-                block = [before[0], block[1], before[2] + block[2], before[3] + block[3]]
-            stack.append(block)
-        out = pd.DataFrame(stack, columns=["x_lo", "x_hi", "total", "weight"])
-        for position, name in enumerate(names):
-            out.insert(position, name, pdf[name].iloc[0])
-        return out
-
-    return pool
+def monotone_points(points: DataFrame, keys: Sequence[str], x: str, total: str, weight: str) -> DataFrame:
+    """(keys, x, y): the non-increasing isotonic fit at every point of every group.
 
-
-def monotone_blocks(points: DataFrame, keys: Sequence[str], x: str, total: str, weight: str) -> DataFrame:
-    """Non-increasing isotonic blocks of pre-aggregated points, one row per block.
-
-    ``points`` has one row per (keys, x), and x is a grid of fixed size, such as price
-    slots: a group holds as many rows as the grid has values, whatever the data's size.
+    ``points`` has one row per (keys, x) with pre-aggregated sums. All groups are one
+    distributed fit: each is shifted to its own stretch of x, below the group before it
+    by more than the values range, so no block of the fit reaches over two groups. The
+    fit decides which points are pooled; their level is then summed from the points
+    themselves. More than ``MOST_POINTS`` points are refused: bin x first.
     """
     keys = list(keys)
-    blocks = points.select(
-        *keys,
-        F.col(x).cast("double").alias("x_lo"),
-        F.col(x).cast("double").alias("x_hi"),
-        F.col(total).cast("double").alias("total"),
-        F.col(weight).cast("double").alias("weight"),
+    points = pinned(
+        points.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (total, "total"), (weight, "weight"))])
     )
-    return blocks.groupBy(*keys).applyInPandas(_pool_blocks(keys), blocks.schema)
-
-
-def curve_rows(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per group with the curve's corner points as sorted arrays."""
     level = F.col("total") / F.col("weight")
-    corners = F.explode(
-        F.array_distinct(
-            F.array(
-                F.struct(F.col("x_lo").alias("x"), level.alias("y")),
-                F.struct(F.col("x_hi").alias("x"), level.alias("y")),
-            )
-        )
+    size, low, high, least, most = points.agg(
+        F.count(F.lit(1)), F.min("x"), F.max("x"), F.min(level), F.max(level)
+    ).first()
+    if not size:
+        return points.select(*keys, "x", F.col("total").alias("y"))
+    if size > MOST_POINTS:
+        raise ValueError(f"{size} curve points; bin {x} so that at most {MOST_POINTS} are left")
+    groups = points.select(*keys).distinct().withColumn("_g", F.row_number().over(W.orderBy(*keys)))
+    placed = points.join(groups, keys).withColumns(
+        {
+            "_at": F.col("_g") * (high - low + 1.0) + (F.col("x") - low),
+            "_level": level - F.col("_g") * (most - least + 1.0),
+        }
+    )
+    fit = IsotonicRegression(
+        isotonic=False, featuresCol="_at", labelCol="_level", weightCol="weight", predictionCol="_block"
+    ).fit(placed)
+    block = W.partitionBy(*keys, "_block")
+    return fit.transform(placed).select(
+        *keys, "x", (F.sum("total").over(block) / F.sum("weight").over(block)).alias("y")
     )
-    points = blocks.select(*keys, corners.alias("p"))
-    return points.groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("curve"))
-
-
-def curve_value(curve: Column, at: Column) -> Column:
-    """Linear interpolation between corners, clipped outside the fitted range."""
-    at = at.cast("double")
-    below = F.size(F.filter(curve, lambda p: p["x"] <= at))
-    first, last = F.element_at(curve, 1), F.element_at(curve, -1)
-    left = F.try_element_at(curve, F.greatest(below, F.lit(1)))
-    right = F.try_element_at(curve, below + 1)
-    slope = (right["y"] - left["y"]) / (right["x"] - left["x"])
-    return (
-        F.when(at.isNull() | curve.isNull(), F.lit(None).cast("double"))
-        .when(below == 0, first["y"])
-        .when(below == F.size(curve), last["y"])
-        .otherwise(left["y"] + slope * (at - left["x"]))
+
+
+def curve_at(curves: DataFrame, wanted: DataFrame, keys: Sequence[str], x: str, name: str = "expected_value") -> DataFrame:
+    """(keys, x, name): the curves read at the distinct ``x`` of ``wanted``.
+
+    Linear between neighbouring points, clipped outside the fitted range, NULL where the
+    group has no curve. Only distinct places are looked up, in order beside the points
+    of their group; rows join the result on (keys, x), no row carries a curve.
+    """
+    keys = list(keys)
+    at = F.col(x).cast("double").alias("_x")
+    asked = wanted.where(F.col(x).isNotNull()).select(*keys, x, at).distinct()
+    known = curves.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    places = asked.select(*keys, "_x").unionByName(known, allowMissingColumns=True)
+    places = places.groupBy(*keys, "_x").agg(F.max("_y").alias("_y"))
+    point = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
+    group = W.partitionBy(*keys)
+    behind = group.orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    ahead = group.orderBy(F.col("_x").desc()).rowsBetween(W.unboundedPreceding, 0)
+    places = places.withColumn("_l", F.last(point, ignorenulls=True).over(behind))
+    places = places.withColumn("_r", F.last(point, ignorenulls=True).over(ahead))
+    left, right = F.col("_l"), F.col("_r")
+    slope = (right["_y"] - left["_y"]) / F.nullif(right["_x"] - left["_x"], F.lit(0.0))
+    value = (
+        F.when(left.isNull(), right["_y"])
+        .when(right.isNull() | (left["_x"] == right["_x"]), left["_y"])
+        .otherwise(left["_y"] + slope * (F.col("_x") - left["_x"]))
     )
+    return asked.join(places.select(*keys, "_x", value.alias(name)), [*keys, "_x"]).drop("_x")
 
 
 def walk_forward_curve(
@@ -96,10 +92,11 @@ def walk_forward_curve(
     min_rows: int = 60,
     season: str = "season",
 ) -> DataFrame:
-    """(keys, season): curve fitted on strictly earlier seasons only.
+    """(keys, season, curve_train_seasons, x, y): curves fitted on strictly earlier seasons.
 
     ``last`` is the newest season to predict. Rows shrink to (keys, season, x) sums
-    before they are repeated per target, so the repetition is of the grid only.
+    before they are repeated per target, so the repetition is of the grid only. A curve
+    is its points, one row each, for ``curve_at``.
     """
     keys = list(keys)
     grid = played.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, season, x).agg(
@@ -116,7 +113,7 @@ def walk_forward_curve(
     ).drop("rows")
     train = grid.groupBy(*cell, x).agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
     train = train.join(enough.select(*cell), cell, "left_semi")
-    curves = curve_rows(monotone_blocks(train, cell, x, "total", "weight"), cell)
+    curves = monotone_points(train, cell, x, "total", "weight")
     return curves.join(enough, cell).withColumnRenamed("_target", season)
 
 

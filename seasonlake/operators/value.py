@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seasonlake.operators.curve import curve_value
+from seasonlake.operators.curve import curve_at
 from seasonlake.operators.ranking import with_rank
 from seasonlake.session import pinned
 
@@ -20,14 +20,17 @@ def surplus_table(
     """Expected value from the curve, realised and projected surplus, ranks and centring.
 
     ``board`` holds played rows with actual_value and live rows without; ``curves``
-    one curve per (league, position, season). Surpluses are rounded to ``digits`` so
+    the points of one curve per (league, position, season). Surpluses are rounded to ``digits`` so
     that equal ones tie; ranks run across positions inside (league, season).
     """
     keys = ["league_key", "season"]
-    df = board.join(curves, [*keys, "position"], "left").withColumn(
-        "expected_value", F.round(curve_value(F.col("curve"), F.col(x)), digits)
-    )
-    df = df.drop("curve").join(projected, [*keys, entity], "left")
+    cell = [*keys, "position"]
+    curves = pinned(curves)
+    trained = curves.groupBy(*cell).agg(F.max("curve_train_seasons").alias("curve_train_seasons"))
+    expected = curve_at(curves, board, cell, x)
+    df = board.join(trained, cell, "left").join(expected, [*cell, x], "left")
+    df = df.withColumn("expected_value", F.round("expected_value", digits))
+    df = df.join(projected, [*keys, entity], "left")
     df = df.withColumn(
         "surplus_value", F.round(F.col("actual_value") - F.col("expected_value"), digits)
     ).withColumn(

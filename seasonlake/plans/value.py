@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions.stats import floor_at
 from seasonlake.functions.text import year_of
-from seasonlake.operators.curve import curve_value, origin_scale, walk_forward_curve
+from seasonlake.operators.curve import curve_at, origin_scale, walk_forward_curve
 from seasonlake.operators.history import prior_counters
 from seasonlake.operators.outcomes import archetype, walk_forward_edge
 from seasonlake.operators.ranking import with_rank
@@ -135,11 +135,13 @@ CURVE = """grid AS (
 def isotonic_curve(t: Tables) -> DataFrame:
     """Non-increasing value on price per league and position, earlier seasons only."""
     valued = valued_board(t)
-    curves = price_curves(t, valued)
+    curves = pinned(price_curves(t, valued))
+    cell = ["league_key", "position", "season"]
+    trained = curves.select(*cell, "curve_train_seasons").distinct()
     want = asking_prices(t).select("position", "season", slot_of(F.col("price")).alias("slot")).distinct()
-    return want.join(curves, ["position", "season"]).select(
-        "league_key", "position", "season", "slot", "curve_train_seasons",
-        F.round(curve_value(F.col("curve"), F.col("slot")), 2).alias("expected_value"),
+    want = want.join(trained, ["position", "season"])
+    return want.join(curve_at(curves, want, cell, "slot"), [*cell, "slot"]).select(
+        *cell, "slot", "curve_train_seasons", F.round("expected_value", 2).alias("expected_value")
     )
 
 

@@ -200,9 +200,11 @@ def test_monotone_curve(spark):
     points = [(float(x), rng.uniform(0, 100) - x, float(rng.randrange(1, 5))) for x in range(1, 40)]
     points = [(x, y * w, w) for x, y, w in points]
     df = frame(spark, [("g", *p) for p in points], "g string, x double, total double, weight double")
-    curves = curve.curve_rows(curve.monotone_blocks(df, ["g"], "x", "total", "weight"), ["g"])
-    at = frame(spark, [("g", p[0]) for p in points] + [("g", 0.0), ("g", 99.0), ("g", 7.5)], "g string, at double")
-    got = {r["at"]: r["y"] for r in at.join(curves, "g").select("at", curve.curve_value(F.col("curve"), F.col("at")).alias("y")).collect()}
+    curves = curve.monotone_points(df, ["g"], "x", "total", "weight")
+    at = frame(spark, [("g", p[0]) for p in points] + [("g", 0.0), ("g", 99.0), ("g", 7.5), ("g", None), ("none", 3.0)], "g string, at double")
+    found = curve.curve_at(curves, at, ["g"], "at", "y").collect()
+    assert [r["y"] for r in found if r["g"] == "none"] == [None] and len(found) == 43
+    got = {r["at"]: r["y"] for r in found if r["g"] == "g"}
     want = dict(zip((p[0] for p in points), brute_isotonic(points)))
     for x, y in want.items():
         assert got[x] == pytest.approx(y, rel=1e-9)
@@ -210,13 +212,37 @@ def test_monotone_curve(spark):
     assert got[7.5] == pytest.approx((want[7.0] + want[8.0]) / 2)
 
 
+def test_curves_of_many_groups_are_one_fit(spark, monkeypatch):
+    """Groups of very different level and size, one of a single point, against brute force."""
+    rng = random.Random(5)
+    data = {
+        f"g{k}": [(float(x), (rng.uniform(0, 50) - x + 10 ** (k % 5)) * w, w) for x, w in
+                  ((x, float(rng.randrange(1, 9))) for x in range(-3, rng.randrange(0, 30)))]
+        for k in range(12)
+    }
+    data["one"] = [(4.0, 8.0, 2.0)]
+    df = frame(spark, [(g, *p) for g, points in data.items() for p in points], "g string, x double, total double, weight double")
+    found = curve.monotone_points(df, ["g"], "x", "total", "weight").collect()
+    assert len(found) == sum(map(len, data.values()))
+    want = {(g, p[0]): y for g, points in data.items() for p, y in zip(points, brute_isotonic(points))}
+    for r in found:
+        assert r["y"] == pytest.approx(want[r["g"], r["x"]], rel=1e-9, abs=1e-9)
+    assert curve.monotone_points(df.limit(0), ["g"], "x", "total", "weight").collect() == []
+    monkeypatch.setattr(curve, "MOST_POINTS", 5)
+    with pytest.raises(ValueError, match="bin x"):
+        curve.monotone_points(df, ["g"], "x", "total", "weight")
+
+
 def test_curve_never_sees_its_own_season(spark):
     rng = random.Random(2)
     rows = [("g", s, x, rng.uniform(0, 50) - x) for s in range(2010, 2016) for x in range(30)]
     def fit(data):
         df = frame(spark, data, "g string, season long, x long, y double")
         out = curve.walk_forward_curve(df, ["g"], "x", "y", F.lit(2016).cast("long"))
-        return {r["season"]: (r["curve_train_seasons"], [tuple(p) for p in r["curve"]]) for r in out.collect()}
+        made = {}
+        for r in out.orderBy("season", "x").collect():
+            made.setdefault(r["season"], (r["curve_train_seasons"], []))[1].append((r["x"], r["y"]))
+        return made
     before = fit(rows)
     after = fit([(g, s, x, 1e6 if s >= 2014 else y) for g, s, x, y in rows])
     assert sorted(before) == [2013, 2014, 2015, 2016] and before[2013][0] == 3
