@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
+
+from seasonlake.operators.ranking import ranged
 
 
 def forward_asof(
@@ -17,15 +20,28 @@ def forward_asof(
 ) -> DataFrame:
     """First boundary on or after each snapshot in the same group; none drops the row.
 
-    A group's boundaries are calendar days, so they fit one sorted array whatever
-    the number of rows behind them; snapshots are never gathered per group.
+    Snapshots and boundaries lie in one order of (group, time), cut into ranges that are
+    drawn from the data: inside a range a snapshot takes the next boundary behind it, and
+    a range's last snapshots take the first boundary of the group's later ranges. So a
+    group of any size is spread, with dates or timestamps on either side, and neither
+    rows nor boundaries are gathered. A snapshot without a time has no boundary.
     """
-    days = boundaries.groupBy(*group, F.col(boundary).alias("_at")).agg(F.min(label).alias("_label"))
-    days = days.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_at", "_label"))).alias("_days"))
-    joined = snapshots.join(days, list(group))
-    ahead = F.try_element_at(F.filter("_days", lambda d: d["_at"] >= F.col(stamp)), F.lit(1))
-    out = joined.withColumn(label, ahead["_label"])
-    return out.where(F.col(label).isNotNull()).drop("_days")
+    keys = list(group)
+    days = boundaries.where(F.col(boundary).isNotNull()).groupBy(*keys, F.col(boundary).alias("_at"))
+    days = days.agg(F.struct(F.min(label).alias("label")).alias("_next"))
+    rows = snapshots.where(F.col(stamp).isNotNull()).withColumn("_at", F.col(stamp))
+    both = rows.unionByName(days, allowMissingColumns=True)
+    both = both.withColumn("_mark", F.col("_next").isNotNull())
+    stored = ranged(both, [*keys, "_at", "_mark"])
+    behind = W.partitionBy(*keys, "_range").orderBy(F.col("_at").desc(), F.col("_mark").desc())
+    behind = behind.rowsBetween(W.unboundedPreceding, 0)
+    first = stored.groupBy(*keys, "_range").agg(F.min_by("_next", F.when(F.col("_mark"), F.col("_at"))).alias("_first"))
+    later = W.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    first = first.select(*keys, "_range", F.last("_first", ignorenulls=True).over(later).alias("_carry"))
+    found = stored.withColumn("_found", F.last("_next", ignorenulls=True).over(behind)).where(~F.col("_mark"))
+    found = found.join(first, [*keys, "_range"])
+    label_of = F.coalesce("_found", "_carry")["label"].alias(label)
+    return found.select(*snapshots.columns, label_of).where(F.col(label).isNotNull())
 
 
 def latest_per_label(

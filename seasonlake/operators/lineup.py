@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from seasonlake.functions.fixed_values import OPENING_CAPS, SUPERFLEX_QB_CAP
@@ -76,21 +75,45 @@ def format_variants(df: DataFrame, slots: Sequence[str], qb_cap: int = 2) -> Dat
     return out.withColumn("rounds", rounds).withColumn("qb_cap", cap).drop("_delta", "_flex")
 
 
-def compositions(caps: dict[str, int] = OPENING_CAPS, picks: int = 5) -> list[dict[str, int]]:
-    """Every count vector over the positions that fills ``picks`` within the caps."""
-    names = list(caps)
-    spans = [range(min(caps[n], picks) + 1) for n in names]
-    return [dict(zip(names, v)) for v in product(*spans) if sum(v) == picks]
+def _named(caps: dict[str, int]) -> str:
+    """An inline table of (place, name, most), the positions in their order."""
+    rows = ", ".join(f"({i}, '{name}', {most})" for i, (name, most) in enumerate(caps.items()))
+    return f"(VALUES {rows}) AS v(place, name, most)"
 
 
-def orderings(counts: dict[str, int]) -> list[tuple[str, ...]]:
-    """Every distinct sequence that uses each position the given number of times."""
-    wanted = {n: c for n, c in counts.items() if c}
-    total = sum(wanted.values())
-    return [
-        s for s in product(wanted, repeat=total) if all(s.count(n) == c for n, c in wanted.items())
-    ]
-
+def compositions(spark: SparkSession, caps: dict[str, int] = OPENING_CAPS, picks: int = 5) -> DataFrame:
+    """(label, counts): every count vector over the positions that fills ``picks`` within the caps.
 
-def composition_label(counts: dict[str, int]) -> str:
-    return "".join(f"{n}{name}" for name, n in counts.items() if n)
+    A recursion over the positions: each step gives the next position each count that
+    its cap and the picks left allow. ``counts`` maps the positions taken to their counts.
+    """
+    return spark.sql(f"""
+        WITH RECURSIVE names AS (SELECT * FROM {_named(caps)}), grown(place, left_over, label, counts) AS (
+            SELECT 0, {picks}, '', CAST(map() AS MAP<STRING, INT>)
+            UNION ALL
+            SELECT grown.place + 1, left_over - n,
+                concat(label, if(n > 0, concat(n, name), '')), if(n > 0, map_concat(counts, map(name, n)), counts)
+            FROM grown JOIN names ON names.place = grown.place
+            LATERAL VIEW explode(sequence(0, least(most, left_over))) AS n
+        )
+        SELECT label, counts FROM grown WHERE place = {len(caps)} AND left_over = 0
+    """)
+
+
+def orderings(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """(sequence): every distinct order that uses each position the given number of times.
+
+    A recursion over the remaining counts: each step picks a position that is not used up.
+    """
+    wanted = {n: c for n, c in counts.items() if c}
+    left = "map(" + ", ".join(f"'{n}', {c}" for n, c in wanted.items()) + ")"
+    return spark.sql(f"""
+        WITH RECURSIVE grown(taken, sequence, remaining) AS (
+            SELECT 0, CAST(array() AS ARRAY<STRING>), {left}
+            UNION ALL
+            SELECT taken + 1, concat(sequence, array(name)),
+                transform_values(remaining, (k, v) -> if(k = name, v - 1, v))
+            FROM grown LATERAL VIEW explode(map_keys(map_filter(remaining, (k, v) -> v > 0))) AS name
+        )
+        SELECT array_join(sequence, '-') AS sequence FROM grown WHERE taken = {sum(wanted.values())}
+    """)

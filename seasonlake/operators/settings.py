@@ -1,4 +1,4 @@
-"""Settings rows: a bounded handful of leagues attached to facts without a join."""
+"""Settings rows attached to facts: a literal for a handful, a join for a table."""
 
 from __future__ import annotations
 
@@ -6,26 +6,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_SETTINGS = 1000
+#: Settings rows that are sent to every task; more of them are joined by shuffle.
+BROADCAST_SETTINGS = 1000
 
 
-def settings_rows(df: DataFrame, limit: int = MAX_SETTINGS) -> list[dict]:
-    """Settings table as Python rows; refuses a table that is not settings-sized."""
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} settings rows; join the table instead")
-    return [r.asDict(recursive=True) for r in rows]
-
-
-def with_settings(df: DataFrame, settings: Sequence[dict], fields: Sequence[str]) -> DataFrame:
+def with_settings(df: DataFrame, settings: Sequence[dict] | DataFrame, fields: Sequence[str]) -> DataFrame:
     """Every row once per settings row, with the named fields attached.
 
-    An exploded literal array: no join and no shuffle, output grows by the fixed
-    number of leagues only.
+    A list of settings is an exploded literal: no join and no shuffle. A table is
+    counted: up to ``BROADCAST_SETTINGS`` rows are broadcast, more are dealt into chunks
+    of that many. Facts then meet every chunk in one of several shards, settings are
+    copied to every shard, and each (chunk, shard) is a part of its own, so neither side
+    is gathered and the output is made where both meet.
     """
-    rows = [F.struct(*[F.lit(s[f]).alias(f) for f in fields]) for s in settings]
-    exploded = df.withColumn("_settings", F.explode(F.array(*rows)))
-    return exploded.select(*df.columns, *[F.col(f"_settings.{f}").alias(f) for f in fields])
+    if not isinstance(settings, DataFrame):
+        rows = [F.struct(*[F.lit(s[f]).alias(f) for f in fields]) for s in settings]
+        exploded = df.withColumn("_settings", F.explode(F.array(*rows)))
+        return exploded.select(*df.columns, *[F.col(f"_settings.{f}").alias(f) for f in fields])
+    table = settings.select(F.struct(*fields).alias("_settings"))
+    many = table.count()
+    chunks = max(1, -(-many // BROADCAST_SETTINGS))
+    shards = 1 if chunks == 1 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame, parts: int, own: str) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+
+    def copied(rows: DataFrame, parts: int, other: str) -> DataFrame:
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    facts = copied(dealt(df, shards, "_shard"), chunks, "_chunk")
+    table = copied(dealt(table, chunks, "_chunk"), shards, "_shard")
+    joined = facts.join(F.broadcast(table) if chunks == 1 else table, ["_shard", "_chunk"])
+    return joined.select(*df.columns, *[F.col(f"_settings.{f}").alias(f) for f in fields])
 
 
 def by_position(position: Column, values: dict[str, Column]) -> Column:

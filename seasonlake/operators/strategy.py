@@ -50,8 +50,11 @@ def strategy_summary(
     return flat.join(tests, list(keys))
 
 
-def in_every_group(df: DataFrame, key: str, group: str) -> DataFrame:
-    """Keys present in every group that occurs in ``df``."""
-    groups = df.agg(F.countDistinct(group).alias("n")).scalar()
+def in_every_group(df: DataFrame, key: str, group: str, every: DataFrame | None = None) -> DataFrame:
+    """Keys present in every group of ``every``, or of ``df`` itself.
+
+    A group of ``every`` that has no row in ``df`` leaves no key: nothing is in all of them.
+    """
+    groups = (df if every is None else every).agg(F.countDistinct(group).alias("n")).scalar()
     counted = df.groupBy(key).agg(F.countDistinct(group).alias("_n"))
     return counted.where(F.col("_n") == groups).select(key)

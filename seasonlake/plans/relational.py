@@ -6,11 +6,11 @@ from seasonlake.operators.asof import depth_chart, forward_asof, latest_per_labe
 from seasonlake.operators.ranking import (
     group_percentiles, tile_of, top_k, with_position, with_rank,
 )
-from seasonlake.plans.bindings import Tables
+from seasonlake.operators.settings import linear_points, with_settings
+from seasonlake.plans.bindings import Tables, cents
 from seasonlake.plans.leagues import LG, SETTINGS
 from seasonlake.plans.oracle_parts import BASE, ENT, O, ST, TOT
 from seasonlake.plans.registry import query
-from seasonlake.operators.settings import with_settings
 
 
 @query(
@@ -33,6 +33,21 @@ def asof_snapshot(t: Tables) -> DataFrame:
     return kept.select("event_id", "user_id", F.col("day").cast("string").alias("day"), F.col("target").cast("string").alias("target"))
 
 
+@query(
+    "asof_timestamps",
+    """WITH e AS (SELECT event_id, month(ts) AS month, ts, event_type FROM events),
+    s AS (SELECT event_id, month, ts FROM e WHERE event_type = 'signup'),
+    p AS (SELECT month, ts AS at, min(event_id) AS purchase_id FROM e WHERE event_type = 'purchase' GROUP BY ALL)
+    SELECT s.event_id, s.month, purchase_id FROM s ASOF JOIN p ON s.month = p.month AND s.ts <= p.at""",
+)
+def asof_timestamps(t: Tables) -> DataFrame:
+    """Each signup to the first purchase of its month, by the moment, in groups of a month's events."""
+    e = t.raw("events").select("event_id", F.month("ts").alias("month"), "ts", "event_type")
+    signups = e.where(F.col("event_type") == "signup").drop("event_type")
+    buys = e.where(F.col("event_type") == "purchase").select("month", F.col("ts").alias("at"), F.col("event_id").alias("purchase_id"))
+    return forward_asof(signups, buys, ["month"], "ts", "at", "purchase_id").drop("ts")
+
+
 STARTERS = {"AUTOMOBILE": 1, "BUILDING": 1, "FURNITURE": 3, "HOUSEHOLD": 1}
 _SLOT = "CASE position " + " ".join(f"WHEN '{p}' THEN {n}" for p, n in STARTERS.items()) + " END"
 CHARTS = f"""x AS (SELECT o.*, team, position, CAST(substr(source, 1, 1) AS BIGINT) AS digit FROM o JOIN ent USING (entity_id)
@@ -210,6 +225,25 @@ def semi_anti(t: Tables) -> DataFrame:
     return active.unionByName(absent)
 
 
+@query(
+    "settings_table",
+    f"""{BASE}, pool AS (SELECT season, position, sum(games) AS games, sum(points_c) AS points_c FROM st GROUP BY ALL)
+    SELECT p_partkey AS league_key, season, position,
+      CAST(games * p_size + points_c * CAST(round(p_retailprice * 100) AS BIGINT) AS BIGINT) AS league_points
+    FROM pool CROSS JOIN part""",
+)
+def settings_table(t: Tables) -> DataFrame:
+    """Position totals priced by a whole table of settings, one row of it per part."""
+    pool = t.season_totals().groupBy("season", "position").agg(F.sum("games").alias("games"), F.sum("points_c").alias("points_c"))
+    prices = t.raw("part").select(
+        F.col("p_partkey").alias("league_key"), F.col("p_size").cast("long").alias("game_price"), cents("p_retailprice").alias("point_price")
+    )
+    priced = with_settings(pool, prices, ["league_key", "game_price", "point_price"])
+    return priced.select(
+        "league_key", "season", "position", linear_points({"games": "game_price", "points_c": "point_price"}).cast("long").alias("league_points")
+    )
+
+
 @query(
     "feature_star",
     f"""WITH {O}, {ENT}, {TOT},

@@ -16,7 +16,7 @@ from seasonlake.plans.rates import (
 )
 from seasonlake.plans.registry import query
 from seasonlake.plans.strategy import (
-    OPENING, ROSTERS, STRATEGY, TRIAL, results, rosters, summary,
+    OPENING, ROSTERS, STRATEGY, opening_sequences, results, summary,
 )
 from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, surplus_board
 
@@ -319,13 +319,7 @@ def report_opening_order(t: Tables) -> DataFrame:
 
 def order_values(t: Tables) -> DataFrame:
     """Mean edge of every opening pick sequence, in each league's real format."""
-    seat = [*TRIAL, "draft_slot"]
-    picks = t.gold("rosters", lambda: rosters(t)).where(F.col("round") <= OPENING)
-    short = F.substring("position", 1, 1)
-    turns = picks.groupBy(*seat).agg(F.sort_array(F.collect_list(F.struct("round", short.alias("p")))).alias("o"))
-    turns = turns.select(*seat, F.array_join("o.p", "-").alias("sequence"))
-    actual = results(t).where("is_actual").select(*seat, "points_vs_field")
-    return actual.join(turns, seat).groupBy("league_key", "sequence").agg(F.avg("points_vs_field").alias("v"))
+    return opening_sequences(t).groupBy("league_key", "sequence").agg(F.avg("points_vs_field").alias("v"))
 
 
 @query(

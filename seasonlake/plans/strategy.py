@@ -223,12 +223,13 @@ def ranking_agreement(t: Tables) -> DataFrame:
     "in_all_groups",
     f"""WITH {STRATEGY}, good AS (SELECT * FROM ds WHERE is_actual AND t_stat > 2)
     SELECT strategy FROM good GROUP BY strategy
-    HAVING count(DISTINCT league_key) = (SELECT count(DISTINCT league_key) FROM good)""",
+    HAVING count(DISTINCT league_key) = (SELECT count(DISTINCT league_key) FROM ds)""",
 )
 def in_all_groups(t: Tables) -> DataFrame:
     """Openings significantly better than the field in every league's real format."""
-    good = summary(t).where(F.col("is_actual") & (F.col("t_stat") > 2))
-    return in_every_group(pinned(good.select("strategy", "league_key")), "strategy", "league_key")
+    every = pinned(summary(t).select("strategy", "league_key", "is_actual", "t_stat"))
+    good = every.where(F.col("is_actual") & (F.col("t_stat") > 2))
+    return in_every_group(good, "strategy", "league_key", every)
 
 
 @query(
@@ -268,7 +269,8 @@ def slope_test(t: Tables) -> DataFrame:
     )
 
 
-_CAPS = {"AUTOMOBILE": 2, "BUILDING": 5, "FURNITURE": 5, "HOUSEHOLD": 2}
+OPENING_CAPS = {"A": 2, "B": 5, "F": 5, "H": 2}
+HEADLINES = ({"B": 3, "F": 2}, {"B": 2, "F": 3})
 
 
 @query(
@@ -294,16 +296,63 @@ def composition_value(t: Tables) -> DataFrame:
     best = top_k(league_pool(t), cell, order, OPENING, "n")
     running = W.partitionBy(*cell).orderBy("n")
     best = best.select(*cell, "n", F.sum("league_points").over(running).alias("total"))
-    plans = [
-        F.struct(
-            F.lit("".join(f"{n}{SHORT[p]}" for p, n in c.items() if n)).alias("strategy"),
-            F.create_map(*[F.lit(x) for p, n in c.items() for x in (p, n)]).alias("counts"),
-        )
-        for c in lineup.compositions(_CAPS, OPENING)
-    ]
-    # 36 fixed plans against five rows per cell
-    wide = best.withColumn("plan", F.explode(F.array(*plans)))
-    wide = wide.where(F.col("n") == F.try_element_at(F.col("plan.counts"), F.col("position")))
-    return wide.groupBy("league_key", "season", F.col("plan.strategy").alias("strategy")).agg(
+    plans = lineup.compositions(t.spark, OPENING_CAPS, OPENING).select("label", F.explode("counts").alias("short", "n"))
+    wide = best.withColumn("short", F.substring("position", 1, 1)).join(plans, ["short", "n"])
+    return wide.groupBy("league_key", "season", F.col("label").alias("strategy")).agg(
         F.round(F.sum("total"), 2).alias("opening_points")
     )
+
+
+_SHORT_LABEL = " || ".join(f"CASE WHEN {x} > 0 THEN CAST({x} AS VARCHAR) || '{x.upper()}' ELSE '' END" for x in "abfh")
+
+
+@query(
+    "opening_strategies",
+    f"""WITH {_PRICED}, {ENT}, {ROSTERS},
+    sq AS (SELECT league_key, variant, season, region, draft_slot, string_agg(upper(substr(position, 1, 1)), '-' ORDER BY round) AS sequence
+           FROM dealt WHERE round <= {OPENING} GROUP BY ALL),
+    seats AS (SELECT res.league_key, res.strategy, sequence, points_vs_field FROM res JOIN sq USING (league_key, variant, season, region, draft_slot)
+              WHERE is_actual),
+    comp AS (SELECT a.n AS a, b.n AS b, f.n AS f, h.n AS h FROM range(0, 3) a(n), range(0, 6) b(n), range(0, 6) f(n), range(0, 3) h(n)
+             WHERE a.n + b.n + f.n + h.n = 5),
+    two AS (SELECT unnest(['B', 'F']) AS x),
+    orders AS (SELECT a.x || '-' || b.x || '-' || c.x || '-' || d.x || '-' || e.x AS strategy FROM two a, two b, two c, two d, two e),
+    plans AS (
+      SELECT 'ADP' AS strategy, 'control' AS kind
+      UNION ALL SELECT {_SHORT_LABEL}, 'composition' FROM comp
+      UNION ALL SELECT strategy, 'ordering' FROM orders WHERE len(regexp_extract_all(strategy, 'B')) IN (2, 3)),
+    hits AS (
+      SELECT league_key, 'ADP' AS strategy, points_vs_field FROM seats
+      UNION ALL SELECT league_key, strategy, points_vs_field FROM seats
+      UNION ALL SELECT league_key, sequence, points_vs_field FROM seats)
+    SELECT lg.league_key, plans.strategy, kind, count(points_vs_field) AS seats, round(avg(points_vs_field), 2) AS points_vs_field
+    FROM plans CROSS JOIN lg LEFT JOIN hits ON hits.league_key = lg.league_key AND hits.strategy = plans.strategy GROUP BY ALL""",
+)
+def opening_strategies(t: Tables) -> DataFrame:
+    """The control, the 36 openings and the 20 orders of the two headline openings, as drafted.
+
+    A plan nobody drafted stays with no seats, so every league has the same 57 rows.
+    """
+    made = lineup.compositions(t.spark, OPENING_CAPS, OPENING).select(F.col("label").alias("strategy"), F.lit("composition").alias("kind"))
+    for counts in HEADLINES:
+        ordered = lineup.orderings(t.spark, counts)
+        made = made.unionByName(ordered.select(F.col("sequence").alias("strategy"), F.lit("ordering").alias("kind")))
+    control = t.spark.range(1).select(F.lit("ADP").alias("strategy"), F.lit("control").alias("kind"))
+    plans = with_settings(made.unionByName(control), SETTINGS, ["league_key"])
+    seats = opening_sequences(t)
+    names = F.explode(F.array(F.lit("ADP"), "strategy", "sequence")).alias("strategy")
+    hits = seats.select("league_key", names, "points_vs_field").groupBy("league_key", "strategy").agg(
+        F.count("points_vs_field").alias("seats"), F.round(F.avg("points_vs_field"), 2).alias("points_vs_field")
+    )
+    return plans.join(hits, ["league_key", "strategy"], "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
+
+
+def opening_sequences(t: Tables) -> DataFrame:
+    """Label, pick sequence and edge of every seat in each league's real format."""
+    seat = [*TRIAL, "draft_slot"]
+    picks = t.gold("rosters", lambda: rosters(t)).where(F.col("round") <= OPENING)
+    short = F.substring("position", 1, 1)
+    turns = picks.groupBy(*seat).agg(F.sort_array(F.collect_list(F.struct("round", short.alias("p")))).alias("o"))
+    turns = turns.select(*seat, F.array_join("o.p", "-").alias("sequence"))
+    actual = results(t).where("is_actual").select(*seat, "strategy", "points_vs_field")
+    return actual.join(turns, seat).select("league_key", "strategy", "sequence", "points_vs_field")

@@ -121,6 +121,37 @@ def test_forward_asof_edges(spark, as_rows):
     assert [r["id"] for r in kept] == [2, 3]
 
 
+def test_forward_asof_over_ranges(spark):
+    """A hot group of timestamps over many ranges, ties and empty stretches, against bisection."""
+    rng = random.Random(8)
+    groups = ["hot"] * 6 + ["a", "b", None, "lonely"]
+    snaps = [(i, rng.choice(groups), None if i % 97 == 0 else rng.randrange(100_000)) for i in range(6000)]
+    bounds = [(g, rng.randrange(20_000, 90_000), rng.randrange(1000)) for _ in range(300) for g in ("hot", "a", "b")] + [("hot", 95_000, 5), ("hot", 95_000, 3)]
+    df = frame(spark, snaps, "id long, g string, s long").withColumn("s", F.timestamp_seconds("s"))
+    days = frame(spark, bounds, "g string, b long, label int").withColumn("b", F.timestamp_seconds("b"))
+    ordered = {}
+    for g, b, label in bounds:
+        old = ordered.setdefault(g, {})
+        old[b] = min(label, old.get(b, label))
+    want = {}
+    for i, g, s in snaps:
+        later = [b for b in ordered.get(g, {}) if s is not None and b >= s]
+        if later:
+            want[i] = ordered[g][min(later)]
+    conf = {"spark.sql.shuffle.partitions": "11", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = asof.forward_asof(df, days, ["g"], "s", "b", "label")
+        assert out.columns == ["id", "g", "s", "label"]
+        assert {r["id"]: r["label"] for r in out.collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert asof.forward_asof(df.limit(0), days, ["g"], "s", "b", "label").count() == 0
+
+
 # --- replacement, lineup -------------------------------------------------------------
 
 
@@ -179,10 +210,40 @@ def test_snake_and_variants(spark, as_rows):
     assert pick[("b", "1qb")] == (1, 0, 6, 8, 2, False) and pick[("c", "superflex")] == (0, 1, 5, 7, 4, False)
 
 
-def test_openings():
-    grid = lineup.compositions()
-    assert len(grid) == 36 and all(sum(c.values()) == 5 for c in grid)
-    assert len(lineup.orderings({"RB": 3, "WR": 2})) == 10 == len(lineup.orderings({"RB": 2, "WR": 3}))
+def test_openings(spark):
+    """Recursive queries against itertools, the label and the counts included."""
+    caps = {"QB": 2, "RB": 5, "WR": 5, "TE": 2}
+    want = set()
+    for combo in itertools.combinations_with_replacement(caps, 5):
+        counts = {n: combo.count(n) for n in caps if n in combo}
+        if all(c <= caps[n] for n, c in counts.items()):
+            want.add(("".join(f"{c}{n}" for n, c in counts.items()), tuple(sorted(counts.items()))))
+    found = {(r["label"], tuple(sorted(r["counts"].items()))) for r in lineup.compositions(spark).collect()}
+    assert found == want and len(found) == 36
+    for counts in ({"RB": 3, "WR": 2}, {"RB": 2, "WR": 3, "TE": 0}, {"QB": 1}):
+        picks = [n for n, c in counts.items() for _ in range(c)]
+        got = [r["sequence"] for r in lineup.orderings(spark, counts).collect()]
+        assert sorted(got) == sorted({"-".join(p) for p in itertools.permutations(picks)})
+
+
+def test_settings_table_of_any_size(spark, monkeypatch):
+    """5000 settings rows in chunks, a handful broadcast, none at all: the same product."""
+    facts = spark.range(7).withColumn("x", F.col("id") * 2)
+    table = spark.range(5000).select(F.col("id").alias("league_key"), (F.col("id") % 9).alias("price"), F.lit("extra").alias("x"))
+    out = settings.with_settings(facts, table, ["league_key", "price"])
+    assert out.columns == ["id", "x", "league_key", "price"]
+    assert "BroadcastNestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 35_000 == out.distinct().count() and out.where("price <> league_key % 9").count() == 0
+    few = settings.with_settings(facts, table.where("league_key < 3"), ["league_key", "price"])
+    assert few.count() == 21 == few.distinct().count()
+    assert settings.with_settings(facts, table.limit(0), ["league_key"]).count() == 0
+
+
+def test_in_every_group_counts_groups_without_a_hit(spark):
+    every = frame(spark, [("a", "x"), ("a", "y"), ("b", "x")], "strategy string, league string")
+    good = every.where("league = 'x'")
+    assert [r[0] for r in strategy.in_every_group(good, "strategy", "league", every).collect()] == []
+    assert sorted(r[0] for r in strategy.in_every_group(good, "strategy", "league").collect()) == ["a", "b"]
 
 
 # --- curve, shrinkage ----------------------------------------------------------------
