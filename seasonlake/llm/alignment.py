@@ -15,8 +15,8 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,8 @@ class Aligner:
 
     MEMORY = 300_000
     LONGEST = 64
+    WIDE = 4096
+    TWO_31 = 1 << 31
     ODD = re.compile(r" (?:\s|\Z)")
     CUT = re.compile(r"(?<=[^ ])(?= \S)")
 
@@ -62,11 +64,8 @@ class Aligner:
         self.first = Tokenizer.from_str(vocabulary)
         self.first.encode_special_tokens = True
         letters = byte_letters()
-        self.first_bytes = {
-            i: bytes(letters[c] for c in token)
-            for token, i in self.first.get_vocab(with_added_tokens=True).items()
-            if all(c in letters for c in token)
-        }
+        first = {i: bytes(letters[c] for c in token) for token, i in self.first.get_vocab(with_added_tokens=False).items()}
+        self.first_bytes = [first.get(i, b"") for i in range(max(first) + 1)]
         self.second = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
@@ -76,11 +75,17 @@ class Aligner:
             bytes([int(p[1:-1], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.first_sizes, self.second_sizes = (
+            np.array([len(b) for b in table], np.int64) for table in (self.first_bytes, self.second_bytes)
+        )
+        many = max(len(self.first_bytes), self.width)
+        self.shown = {end: np.array([f"{i}{end}" for i in range(many)], object) for end in ",|;"}
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.groups: list[str | None] = []
+        self.groups: list[str] = []  # of each unit, a semicolon behind every group
+        self.odd: set[int] = set()  # units that their tokens do not spell
         self.counts = array("q")  # MEASURES of each unit in turn
         self.pairs, self.links, self.ends = array("q"), array("q"), array("q", [0])
 
@@ -90,40 +95,86 @@ class Aligner:
             return [u[1:] for u in self.CUT.split(spaced)]
         return text.split(" ")
 
+    def spelled(self, data: list[bytes], flat: np.ndarray, sizes: np.ndarray, table: list[bytes], widths: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each unit, ``sizes`` of them at a time, join to its bytes."""
+        ends = np.concatenate([[0], np.cumsum(widths[flat])])[np.cumsum(sizes)]
+        right = np.diff(ends, prepend=0) == np.fromiter(map(len, data), np.int64, len(data))
+        tokens = list(map(table.__getitem__, flat.tolist()))
+        if right.all() and b"".join(tokens) == b"".join(data):
+            return right
+        stops = np.cumsum(sizes).tolist()
+        return np.array([b"".join(tokens[x:y]) == d for x, y, d in zip([0, *stops], stops, data)])
+
     def learn(self, new: list[str]) -> None:
-        first = self.first.encode_batch_fast([" " + u for u in new], add_special_tokens=False)
-        for unit, a, b in zip(new, first, self.second.encode(new, num_threads=1)):
-            self.at[unit] = len(self.groups)
-            self.remember((" " + unit).encode(), a.ids, b)
-
-    def remember(self, data: bytes, a: list[int], b: list[int]) -> None:
-        """One unit's groups, counts and linked pairs; None where the bytes differ."""
-        first, second = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b]
-        same = b"".join(first) == data == b"".join(second)
-        shown: list[str] = []
-        links: Counter = Counter()
-        i = j = end_a = end_b = total = 0
-        while same and i < len(a):
-            from_a, from_b = i, j
-            end_a, end_b = end_a + len(first[i]), end_b + len(second[j])
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a, i = end_a + len(first[i]), i + 1
-                else:
-                    end_b, j = end_b + len(second[j]), j + 1
-            left, right = a[from_a:i], b[from_b:j]
-            shown.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-            total += len(left) * len(right)
-            times = Counter(right).items()
-            for x, n in Counter(left).items():
-                for y, m in times:
-                    links[x * self.width + y] += n * m
-        self.groups.append(";".join(shown) if same else None)
-        self.counts.extend((len(a), len(b), len(shown), total) if same else (0, 0, 0, 0))
-        self.pairs.extend(links.keys())
-        self.links.extend(links.values())
-        self.ends.append(len(self.pairs))
+        """Groups, counts and linked pairs of new units, all at once."""
+        spaced = [" " + u for u in new]
+        data = list(map(str.encode, spaced))
+        first = [e.ids for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
+        second = self.second.encode(new, num_threads=1)
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(new)) for ids in (first, second))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((first, n_a), (second, n_b)))
+        right = self.spelled(data, a, n_a, self.first_bytes, self.first_sizes)
+        right &= self.spelled(data, b, n_b, self.second_bytes, self.second_sizes)
+        start = len(self.groups)
+        self.at.update(zip(new, range(start, start + len(new))))
+        if not right.all():
+            self.odd.update((start + np.flatnonzero(~right)).tolist())
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b = n_a * right, n_b * right
+        # all units in a row: both token sequences spell the same bytes
+        ends_a, ends_b = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
+        cut_a, cut_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        many = int(cut_a.sum())
+        size_a, size_b = np.bincount(group_a, minlength=many), np.bincount(group_b, minlength=many)
+        unit = np.repeat(np.arange(len(new)), n_a)[cut_a]
+
+        before_a, before_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + before_b[group_a]] = np.where(cut_a, self.shown["|"][a], self.shown[","][a])
+        out[np.arange(len(b)) + (before_a + size_a)[group_b]] = np.where(cut_b, self.shown[";"][b], self.shown[","][b])
+        out, ends = out.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.groups.extend("".join(out[x:y]) for x, y in zip([0, *ends], ends))
+
+        def per_unit(values: np.ndarray) -> np.ndarray:
+            return np.bincount(unit, values, len(new)).astype(np.int64)
+
+        counts = np.stack([n_a, n_b, np.bincount(unit, minlength=len(new)), per_unit(size_a * size_b)], axis=1)
+        self.counts.frombytes(counts.tobytes())
+        owner, pairs, links = self.linked(a, b, size_a, size_b, unit)
+        self.pairs.frombytes(pairs.tobytes())
+        self.links.frombytes(links.tobytes())
+        self.ends.frombytes((self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))).tobytes())
+
+    def linked(self, a, b, size_a, size_b, unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, pair, links) of the groups; a pair is ``a * width + b``.
+
+        A group of many tokens is counted by distinct ids first.
+        """
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        owners, pairs, links = [], [], []
+        wide = size_a * size_b > self.WIDE
+        for g in np.flatnonzero(wide):
+            left, times = np.unique(a[ends_a[g] - size_a[g] : ends_a[g]], return_counts=True)
+            right, more = np.unique(b[ends_b[g] - size_b[g] : ends_b[g]], return_counts=True)
+            pairs.append((left[:, None] * self.width + right).ravel())
+            links.append(np.outer(times, more).ravel())
+            owners.append(np.full(len(pairs[-1]), unit[g]))
+        group_a = np.repeat(np.arange(len(size_a)), size_a)
+        sizes = np.where(wide, 0, size_b)[group_a]
+        row = np.repeat(np.arange(len(a)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        group = group_a[row]
+        pairs.append(a[row] * self.width + b[(ends_b - size_b)[group] + place])
+        links.append(np.ones(len(row), np.int64))
+        owners.append(unit[group])
+        owner, pair, count = map(np.concatenate, (owners, pairs, links))
+        key = owner * self.TWO_31 + pair
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        total = np.add.reduceat(count, heads) if len(heads) else count
+        return key[heads] // self.TWO_31, key[heads] % self.TWO_31, total
 
     def block(self, texts: list[str]) -> dict[str, np.ndarray | list[str]]:
         """Measures of each text, and its distinct pairs as places in the block's pairs.
@@ -133,33 +184,37 @@ class Aligner:
         if len(self.at) > self.MEMORY:
             self.forget()
         cuts = [self.units(t) if t else [] for t in texts]
-        new = sorted({u for cut in cuts for u in cut if u not in self.at}, key=len)
-        self.learn(new)
+        new = sorted(set().union(*cuts).difference(self.at), key=len)
+        if new:
+            self.learn(new)
         found = [list(map(self.at.__getitem__, cut)) for cut in cuts]
-        shown = [[self.groups[u] for u in cut] for cut in found]
-        for i, groups in enumerate(shown):
-            if None in groups:
-                found[i], shown[i] = [], []
-        sums = [hashlib.sha256(";".join(g).encode()).hexdigest() if g else "" for g in shown]
-        owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-        unit = np.fromiter((u for f in found for u in f), np.int64, len(owner))
+        if self.odd:
+            found = [ids if self.odd.isdisjoint(ids) else [] for ids in found]
+        shown = ("".join(map(self.groups.__getitem__, ids))[:-1] for ids in found)
+        sums = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in shown]
+        sizes = np.fromiter(map(len, found), np.int64, len(texts))
+        unit = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum())
+        owner = np.repeat(np.arange(len(texts)), sizes)
         counts = np.array(self.counts, np.int64).reshape(-1, len(MEASURES))
-        measures = np.zeros((len(texts), len(MEASURES)), np.int64)
-        np.add.at(measures, owner, counts[unit])
+        running = np.zeros((len(unit) + 1, len(MEASURES)), np.int64)
+        np.cumsum(counts[unit], axis=0, out=running[1:])
+        ends = np.cumsum(sizes)
+        measures = running[ends] - running[ends - sizes]
 
-        key, times = np.unique(owner * len(self.groups) + unit, return_counts=True)
+        key, times = np.unique(owner * max(1, len(self.groups)) + unit, return_counts=True)
         owner, unit = np.divmod(key, max(1, len(self.groups)))
         ends = np.array(self.ends, np.int64)
         sizes = ends[unit + 1] - ends[unit]
         row = np.repeat(np.arange(len(unit)), sizes)
         at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + ends[unit][row]
         pairs, place = np.unique(np.array(self.pairs, np.int64)[at], return_inverse=True)
-        key, place = np.unique(owner[row] * len(pairs) + place, return_inverse=True)
-        links = np.zeros(len(key), np.int64)
-        np.add.at(links, place, np.array(self.links, np.int64)[at] * times[row])
-        owner, spots = np.divmod(key, max(1, len(pairs)))
-        long = sum(len(u) > self.LONGEST for u in new)
-        self.drop(new[len(new) - long :])
+        key = owner[row] * max(1, len(pairs)) + place
+        order = np.argsort(key, kind="stable")
+        key, links = key[order], (np.array(self.links, np.int64)[at] * times[row])[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        links = np.add.reduceat(links, heads) if len(heads) else links
+        owner, spots = np.divmod(key[heads], max(1, len(pairs)))
+        self.drop(new[len(new) - sum(len(u) > self.LONGEST for u in new) :])
         return {
             "measures": measures, "sums": sums, "a": pairs // self.width, "b": pairs % self.width,
             "owner": owner, "spots": spots, "links": links,
@@ -172,6 +227,7 @@ class Aligner:
         for u in last:
             del self.at[u]
         keep = len(self.groups) - len(last)
+        self.odd = {i for i in self.odd if i < keep}
         del self.groups[keep:], self.counts[keep * len(MEASURES) :], self.ends[keep + 1 :]
         del self.pairs[self.ends[-1] :], self.links[self.ends[-1] :]
 
@@ -221,8 +277,9 @@ def aligned_rows(aligner: Aligner, texts: list[str], copies: np.ndarray) -> Iter
         len(texts),
     )
     size = len(found["a"])
-    holding = np.zeros(size, np.int64)
-    np.add.at(holding, found["spots"], copies[found["owner"]])
+    order = np.argsort(found["spots"], kind="stable")
+    heads = np.searchsorted(found["spots"][order], np.arange(size))
+    holding = np.add.reduceat(copies[found["owner"]][order], heads) if size else copies[:0]
     yield rows_of(
         {"block": [digests[0]] * size, "spot": np.arange(size), "a": found["a"], "b": found["b"], "holding": holding}, size
     )
