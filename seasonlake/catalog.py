@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from seasonlake.functions.fixed_values import SILVER_PREFIXES
 
@@ -14,16 +15,56 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+_VERSION = "__v_"
+
+
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    return [t.name for t in spark.catalog.listTables() if t.name.startswith(name.lower() + _VERSION)]
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    kind = "VIEW" if spark.catalog.getTable(_quoted(name)).tableType == "VIEW" else "TABLE"
+    spark.sql(f"DROP {kind} {_quoted(name)}")
+
+
 def replace_table(spark: SparkSession, name: str, df: DataFrame) -> int | None:
     """Create or replace a table and return its row count.
 
-    An empty source without columns drops the table instead and returns None.
+    The rows are written aside as a version of their own and counted by the write itself;
+    then one catalog call points the name, a view, at the new version. A reader sees the
+    old rows or the new ones, whenever the write ends or fails. The version before stays
+    for readers that have begun with it until the next replacement. An empty source without columns drops the name and
+    its versions instead and returns None.
     """
+    exists = spark.catalog.tableExists(_quoted(name))
     if not df.columns:
-        spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
+        if exists:
+            _drop(spark, name)
+        for version in _versions(spark, name):
+            _drop(spark, version)
         return None
-    df.write.mode("overwrite").saveAsTable(_quoted(name))
-    return spark.table(_quoted(name)).count()
+    version, before = f"{name.lower()}{_VERSION}{uuid.uuid4().hex}", None
+    if exists and spark.catalog.getTable(_quoted(name)).tableType != "VIEW":
+        # a plain table becomes the version before
+        before = f"{name.lower()}{_VERSION}{uuid.uuid4().hex}"
+        spark.sql(f"ALTER TABLE {_quoted(name)} RENAME TO {_quoted(before)}")
+        _point(spark, name, before)
+    elif exists:
+        found = spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)} ('version')").first()
+        before = found["value"]
+    written = Observation(version)
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.saveAsTable(_quoted(version))
+    _point(spark, name, version)
+    for old in _versions(spark, name):
+        if old not in (version, before):
+            _drop(spark, old)
+    return written.get["rows"]
+
+
+def _point(spark: SparkSession, name: str, version: str) -> None:
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {_quoted(name)} TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {_quoted(version)}"
+    )
 
 
 def archive(df: DataFrame, path: str, kind: str = "parquet") -> str:
@@ -54,8 +95,8 @@ def layer_of(name: str, prefixes: Sequence[str] = SILVER_PREFIXES) -> str:
 def tables(
     spark: SparkSession, layer: str | None = None, prefixes: Sequence[str] = SILVER_PREFIXES
 ) -> DataFrame:
-    """table, layer and exact row count of every table or view."""
-    names = sorted(t.name for t in spark.catalog.listTables())
+    """table, layer and exact row count of every table or view, versions of them left out."""
+    names = sorted(t.name for t in spark.catalog.listTables() if _VERSION not in t.name)
     wanted = [n for n in names if layer is None or layer_of(n, prefixes) == layer]
     if not wanted:
         return spark.createDataFrame([], "table string, layer string, rows bigint")

@@ -2,15 +2,16 @@
 
 import uuid
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonlake import catalog
 from seasonlake.functions import nested, text
-from seasonlake.operators.rosters import settings_from_ids
+from seasonlake.operators.rosters import settings_from_ids, settings_from_lists
 from seasonlake.plans.bindings import Tables, cents
 from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.registry import query
-from seasonlake.session import ensure_checkpoint_dir
+from seasonlake.session import ensure_checkpoint_dir, pinned
 from seasonlake.sources import pages as page_ops, readers
 
 
@@ -350,20 +351,173 @@ def page_metadata(t: Tables) -> DataFrame:
         F.sum("points_c").alias("adp")
     ).join(t.entities(), "entity_id")
     tag = F.when(F.col("source") == "1-URGENT", "standard").otherwise("half-ppr")
-    # one document per record keeps the archive splittable
-    out = rows.select(
-        F.concat(F.lit("adp_"), tag, F.lit("_"), "season").alias("feed"),
-        F.array(F.struct(F.col("entity_name").alias("name"), "position", "adp")).alias("players"),
+    # many small documents keep the archive splittable
+    feed = F.concat(F.lit("adp_"), tag, F.lit("_"), "season").alias("feed")
+    out = rows.groupBy(feed, (F.col("entity_id") / 2000).cast("long").alias("part")).agg(
+        F.collect_list(F.struct(F.col("entity_name").alias("name"), "position", "adp")).alias("players")
+    ).drop("part")
+    out.write.partitionBy("feed").option("maxRecordsPerFile", 1).json(root)
+    # an error reply and a file that breaks off stand among them
+    for name, document in (("adp_ppr_1990", '{"status": "Error"}'), ("adp_ppr_1991", '{"players": [{"name": "x"')):
+        t.spark.range(1).select(F.lit(document)).write.text(f"{root}/feed={name}")
+    return readers.tagged_json(t.spark, f"{root}/*", "adp", "struct<name:string,position:string,adp:bigint>")
+
+
+@query(
+    "file_json",
+    """SELECT c_custkey AS id, c_name AS name, n_name AS "home.team", n_regionkey AS "home.region.key",
+         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(round(c_acctbal * 100) AS BIGINT) END AS balance_c
+       FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+)
+def file_json(t: Tables) -> DataFrame:
+    """Archives of many-line JSON arrays, one of them broken, read back and flattened."""
+    root = shared_path(t, "records")
+    nation = t.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    region = F.struct(F.col("n_regionkey").alias("key"))
+    record = F.struct(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.struct(F.col("n_name").alias("team"), region.alias("region")).alias("home"),
+        F.when(F.col("c_custkey") % 7 != 0, cents("c_acctbal")).alias("balance_c"),
     )
-    out.write.partitionBy("feed").json(root)
-    docs = t.spark.read.schema("players array<struct<name:string,position:string,adp:bigint>>").json(f"{root}/*")
-    path = F.col("_metadata.file_path")
-    found = docs.select(
-        F.explode("players").alias("r"),
-        F.regexp_extract(path, r"adp_([^/]*)_(\d+)/[^/]*$", 1).alias("scoring_format"),
-        F.regexp_extract(path, r"adp_([^/]*)_(\d+)/[^/]*$", 2).cast("long").alias("season"),
+    people = t.raw("customer").join(nation, "c_nationkey").select((F.col("c_custkey") / 200).cast("long").alias("k"), record.alias("r"))
+    documents = people.groupBy("k").agg(F.to_json(F.collect_list("r"), {"pretty": "true"}).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/whole")
+    t.spark.range(1).select(F.lit('[{"id": 1, "name": "cut o')).write.text(f"{root}/broken")
+    kind = "id long, name string, home struct<team:string,region:struct<key:int>>, balance_c long"
+    return readers.records_json(t.spark, f"{root}/*", kind)
+
+
+@query(
+    "file_csv",
+    f"""WITH {O}, {ENT}, s AS (SELECT entity_id, season, CAST(sum(points_c) AS BIGINT) AS points_c, count(*) AS games FROM o GROUP BY ALL)
+    SELECT season, entity_id AS rank, entity_name AS name, upper(substr(team, 1, 3)) AS team, games AS bye, upper(position) AS position,
+      CASE WHEN entity_id % 5 <> 0 THEN games END AS position_rank, CASE WHEN season % 2 = 0 THEN CAST(points_c AS DOUBLE) END AS adp
+    FROM s JOIN ent USING (entity_id)""",
+)
+def file_csv(t: Tables) -> DataFrame:
+    """Season files with two orders of columns, some without one, and broken rows among them."""
+    root = shared_path(t, "rankings")
+    packed = F.concat("entity_name", F.lit("  "), F.upper(F.substring("team", 1, 3)), F.lit(" ("), F.col("games").cast("string"), F.lit(")"))
+    rank = F.when(F.col("entity_id") % 5 != 0, F.col("games").cast("string")).otherwise("")
+    rows = t.season_totals().select(
+        F.concat(F.lit("Ranks_"), F.col("season").cast("string"), F.lit("_Overall.csv")).alias("file"), F.col("season") % 2 == 0,
+        F.col("entity_id").alias("Rank"), packed.alias("Player (Bye)"), F.concat(F.upper("position"), rank).alias("POS"),
+        F.col("points_c").alias("AVG"),
+    ).toDF("file", "even", "Rank", "Player (Bye)", "POS", "AVG")
+    writer = {True: ["Rank", "Player (Bye)", "POS", "AVG"], False: ["POS", "Rank", "Player (Bye)"]}
+    for even, columns in writer.items():
+        part = rows.where(F.col("even") == even).select("file", *columns)
+        part.write.mode("append").partitionBy("file").option("header", "true").csv(root)
+    broken = F.explode(F.array(*map(F.lit, ("Rank,Player (Bye),POS,AVG", "1,too few", "2,a,b,3,too many"))))
+    t.spark.range(1).select(broken).coalesce(1).write.text(f"{root}/file=Ranks_1900_Overall.csv")
+    rows.limit(0).select("Rank").write.csv(f"{root}/file=Ranks_other.csv")
+    return readers.season_csv(t.spark, f"{root}/file=Ranks_*", r"Ranks_(\d{4})_Overall\.csv")
+
+
+@query(
+    "page_batch",
+    """SELECT c_custkey - c_custkey % 100 AS page_id, CAST(c_custkey % 100 AS INT) AS row_no,
+      CASE WHEN c_custkey % 17 <> 0 THEN c_custkey END AS entity_id, c_name AS name,
+      CASE WHEN c_custkey % 17 = 0 THEN 'LA' ELSE n_name END AS team, round(c_acctbal, 2) AS points, CAST(c_custkey % 50 AS DOUBLE) AS fppg,
+      CASE WHEN c_custkey // 100 % 2 = 0 THEN 'QB' ELSE 'RB' END AS position, 'ppr' AS scoring, CAST(1990 + c_custkey // 100 % 9 AS BIGINT) AS season
+    FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 13 <> 0""",
+)
+def page_batch(t: Tables) -> DataFrame:
+    """A batch of stored pages, each parsed row stamped with what its page was fetched for."""
+    root = shared_path(t, "pages")
+    number = F.col("page_id") / 100
+    pages = stat_pages(t).select(
+        "page_id", F.col("marked").alias("html"), F.when(number.cast("long") % 2 == 0, "QB").otherwise("RB").alias("position"),
+        F.lit("ppr").alias("scoring"), (number.cast("long") % 9 + 1990).alias("season"),
     )
-    return found.select("r.*", "scoring_format", "season")
+    pages.write.parquet(root)
+    stored = t.spark.read.parquet(root)
+    rows = page_ops.marked_rows(stored.select("page_id", "html"))
+    return page_ops.with_metadata(stored.drop("html"), rows, "page_id")
+
+
+_LISTED = {"AUTOMOBILE": "QB", "BUILDING": "RB", "FURNITURE": "WR", "HOUSEHOLD": "FLEX", "MACHINERY": "BN"}
+
+
+@query(
+    "settings_listed",
+    """SELECT 'first' AS league_key, 'first' AS platform, CAST(c_custkey // 50 AS BIGINT) AS league_id, count(*) AS team_count, 0.5::DOUBLE AS rec_pts,
+      0.0::DOUBLE AS punt_pts, count(*) FILTER (WHERE c_mktsegment = 'AUTOMOBILE') AS qb_slots, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS rb_slots,
+      count(*) FILTER (WHERE c_mktsegment = 'FURNITURE') AS wr_slots, 0::BIGINT AS te_slots, count(*) FILTER (WHERE c_mktsegment = 'HOUSEHOLD') AS flex_slots,
+      count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS bench_slots
+    FROM customer GROUP BY c_custkey // 50""",
+)
+def settings_listed(t: Tables) -> DataFrame:
+    """Settings with the roster as a list of names, one league per fifty customers."""
+    name = None
+    for segment, slot in _LISTED.items():
+        hit = F.col("c_mktsegment") == segment
+        name = F.when(hit, slot) if name is None else name.when(hit, slot)
+    leagues = t.raw("customer").groupBy((F.col("c_custkey") / 50).cast("long").alias("league_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(name).alias("roster_positions"), F.lit(0.5).alias("rec")
+    )
+    out = settings_from_lists(leagues, "first", {"rec_pts": "rec"}, {"league_id": "league_id", "team_count": "n"})
+    slots = [F.col(c).cast("long").alias(c) for c in ("qb_slots", "rb_slots", "wr_slots", "te_slots", "flex_slots", "bench_slots")]
+    return out.select("league_key", "platform", "league_id", "team_count", "rec_pts", "punt_pts", *slots)
+
+
+@query(
+    "table_replace",
+    f"""WITH {O}, s AS (SELECT season, count(*) AS n, CAST(sum(points_c) AS BIGINT) AS points_c FROM o GROUP BY ALL),
+    k AS (SELECT count(*) AS written FROM o), old AS (SELECT count(*) AS written FROM o WHERE season < 1996)
+    SELECT 'first' AS step, season, n, points_c, written FROM s, old WHERE season < 1996
+    UNION ALL SELECT 'interrupted', season, n, points_c, NULL FROM s WHERE season < 1996
+    UNION ALL SELECT 'second', season, n, points_c, written FROM s, k""",
+)
+def table_replace(t: Tables) -> DataFrame:
+    """A table replaced twice, the second time after a write that breaks off: old rows, then new."""
+    name = "orders_" + uuid.uuid4().hex
+    orders = t.orders()
+
+    def state(step: str, written: int | None) -> DataFrame:
+        rows = t.spark.table(name).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("points_c").alias("points_c"))
+        return pinned(rows.select(F.lit(step).alias("step"), "season", "n", "points_c", F.lit(written).cast("long").alias("written")))
+
+    first = state("first", catalog.replace_table(t.spark, name, orders.where(F.col("season") < 1996)))
+    stop = F.when(F.col("season") == F.lit(1997), F.raise_error(F.lit("broken off")).cast("long")).otherwise(F.col("points_c"))
+    try:
+        catalog.replace_table(t.spark, name, orders.withColumn("points_c", stop))
+    except SparkRuntimeException:
+        pass
+    held = state("interrupted", None)
+    second = state("second", catalog.replace_table(t.spark, name, orders))
+    catalog.replace_table(t.spark, name, t.spark.range(0).select())
+    return first.unionByName(held).unionByName(second)
+
+
+_KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+
+
+@query(
+    "catalog_columns",
+    f"""SELECT column_name, CASE {' '.join(f"WHEN data_type LIKE '{k}%' THEN '{v}'" for k, v in _KINDS.items())} ELSE data_type END AS data_type,
+      (SELECT count(*) FROM orders) AS rows
+    FROM information_schema.columns WHERE table_name = 'orders'""",
+)
+def catalog_columns(t: Tables) -> DataFrame:
+    """Declared columns of a table beside its exact row count."""
+    view = "columns_" + uuid.uuid4().hex
+    t.raw("orders").createOrReplaceTempView(view)
+    found = catalog.columns(t.spark, view)
+    rows = catalog.tables(t.spark).where(F.col("table") == view).select("rows")
+    out = found.withColumn("rows", rows.scalar())
+    t.spark.catalog.dropTempView(view)
+    return out
+
+
+@query("catalog_peek", "SELECT * FROM region")
+def catalog_peek(t: Tables) -> DataFrame:
+    """The first rows of a table that has no more than asked for."""
+    view = "peek_" + uuid.uuid4().hex
+    t.raw("region").createOrReplaceTempView(view)
+    out = catalog.peek(t.spark, view, 5)
+    t.spark.catalog.dropTempView(view)
+    return out
 
 
 @query(
@@ -380,7 +534,9 @@ def sink_roundtrip(t: Tables) -> DataFrame:
     catalog.archive(stored, f"{path}-json", "json")
     view = "sink_" + uuid.uuid4().hex
     t.spark.read.schema(stored.schema).json(f"{path}-json").createOrReplaceTempView(view)
-    return catalog.q(t.spark, f"SELECT * FROM {view} WHERE season >= ?", [1997])
+    out = catalog.q(t.spark, f"SELECT * FROM {view} WHERE season >= ?", [1997])
+    t.spark.catalog.dropTempView(view)
+    return out
 
 
 _NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -400,4 +556,6 @@ def catalog_summary(t: Tables) -> DataFrame:
         t.raw(name).createOrReplaceTempView(f"{prefix.get(name, 'gold')}_{mark}_{name}")
     listing = catalog.tables(t.spark, prefixes=(f"silver_{mark}",))
     mine = listing.where(F.col("table").contains(mark))
+    for name in _NAMES:
+        t.spark.catalog.dropTempView(f"{prefix.get(name, 'gold')}_{mark}_{name}")
     return catalog.summarize(mine, brief=True)

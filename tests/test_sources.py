@@ -48,6 +48,33 @@ def test_season_csv(spark, tmp_path, as_rows):
     ]
 
 
+def test_broken_files_give_no_rows_or_their_text(spark, tmp_path, as_rows):
+    (tmp_path / "a.json").write_text(json.dumps([{"a": 1, "b": {"c": 2}}, {"a": 3, "b": None}], indent=2))
+    (tmp_path / "b.json").write_text('[{"a": 5, "b": {"c"')
+    kind = "a long, b struct<c:long>"
+    sound = readers.records_json(spark, str(tmp_path), kind)
+    assert sound.count() == 2
+    assert as_rows(sound, "a") == [{"a": 1, "b.c": 2}, {"a": 3, "b.c": None}]
+    assert as_rows(readers.records_json(spark, str(tmp_path)), "a") == as_rows(sound, "a")
+    kept = readers.records_json(spark, str(tmp_path), kind, keep_broken=True).collect()
+    assert [r["_broken"] for r in kept if r["_broken"]] == ['[{"a": 5, "b": {"c"']
+
+
+def test_season_csv_of_different_headers(spark, tmp_path, as_rows):
+    (tmp_path / "Ranks_2019_Overall.csv").write_text('Rank,Player (Bye),POS,AVG\n1,"A, Jr.  NYG (11)",RB1,1.3\n2,short\n')
+    (tmp_path / "Ranks_2020_Overall.csv").write_text("POS,Rank,Player (Bye)\nWR2,4,B  KC (6)\n")
+    (tmp_path / "Ranks_2021_Overall.csv").write_text("")
+    glob, name = str(tmp_path / "Ranks_*.csv"), r"Ranks_(\d{4})_Overall\.csv"
+    got = as_rows(readers.season_csv(spark, glob, name), "rank")
+    assert [(r["season"], r["rank"], r["name"], r["team"], r["position_rank"], r["adp"]) for r in got] == [
+        (2019, 1, "A, Jr.", "NYG", 1, 1.3), (2020, 4, "B", "KC", 2, None),
+    ]
+    assert readers.season_csv(spark, glob, name).count() == 2
+    kept = readers.season_csv(spark, glob, name, keep_broken=True).where("_broken IS NOT NULL").collect()
+    assert [r["_broken"] for r in kept] == ["2,short"]
+    assert readers.season_csv(spark, glob, r"Other_(\d+)\.csv") is None
+
+
 def test_embedded_json_takes_the_first_match_or_fails(spark, as_rows):
     html = 'x var ecrData = {"players":[{"id":1},{"id":2}]};\nvar ecrData = {"players":[{"id":9}]};'
     df = spark.createDataFrame([(1, html)], "page long, html string")
@@ -148,3 +175,21 @@ def test_catalog(spark, as_rows):
     assert totals == [{"layer": "gold", "tables": 1, "rows": 2}, {"layer": "silver", "tables": 1, "rows": 3}]
     assert catalog.replace_table(spark, "board_x", spark.createDataFrame([()], "struct<>")) is None
     assert not spark.catalog.tableExists("board_x")
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("board_x")]
+
+
+def test_replacement_shows_old_rows_or_new(spark):
+    name, versions = "swap_x", lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("swap_x__v_")]
+    spark.range(5).write.saveAsTable(name)  # a plain table from elsewhere
+    assert catalog.replace_table(spark, name, spark.range(4).withColumn("a", F.lit("x"))) == 4
+    held = spark.table(name)
+    broken = spark.range(9).withColumn("a", F.when(F.col("id") == 8, F.raise_error(F.lit("stop")).cast("string")).otherwise("y"))
+    with pytest.raises(Exception, match="stop"):
+        catalog.replace_table(spark, name, broken)
+    assert spark.table(name).count() == 4 and len(versions()) == 2
+    # the new rows may be made from the old ones, and a reader that began keeps its rows
+    assert catalog.replace_table(spark, name, spark.table(name).where("id < 3").drop("a")) == 3
+    assert held.count() == 4 and spark.table(name).columns == ["id"] and len(versions()) == 2
+    assert catalog.replace_table(spark, name, spark.range(0)) == 0 and spark.table(name).count() == 0
+    catalog.replace_table(spark, name, spark.range(0).select())
+    assert not spark.catalog.tableExists(name) and versions() == []
