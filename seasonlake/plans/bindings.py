@@ -19,7 +19,7 @@ def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
-_GOLD: dict[tuple[str, str, str], DataFrame] = {}
+_GOLD: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 def forget_gold() -> None:
@@ -43,6 +43,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._listing: str | None = None
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -50,12 +51,21 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def listing(self) -> str:
+        """Digest of the names, sizes and times of the folder's files, taken once a query."""
+        if self._listing is None:
+            files = self.spark.read.format("binaryFile").load(f"{self.folder}/*.parquet")
+            row = F.xxhash64("path", "length", "modificationTime")
+            found = files.select(row.alias("h")).agg(F.count("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+            self._listing = f"{found[0]}-{found[1]}"
+        return self._listing
+
     def gold(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A derived table written once per session and read by everything after it.
 
-        The copy lies in the shared checkpoint folder, as a saved table would.
+        Files that change give a new copy. The copy lies in the shared checkpoint folder, as a saved table would.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, self.listing(), name)
         if key not in _GOLD:
             _GOLD[key] = pinned(build())
         return _GOLD[key]

@@ -11,14 +11,12 @@ from seasonlake.operators.rosters import settings_from_ids, settings_from_lists
 from seasonlake.plans.bindings import Tables, cents
 from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.registry import query
-from seasonlake.session import ensure_checkpoint_dir, pinned
+from seasonlake.session import pinned, shared_folder
 from seasonlake.sources import pages as page_ops, readers
 
 
 def shared_path(t: Tables, name: str) -> str:
-    """A fresh folder beside the checkpoints, which every executor can reach."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, name)
 
 
 @query(

@@ -47,6 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Write the frame once to the shared checkpoint folder and read it back.
 
@@ -55,7 +61,6 @@ def pinned(df: DataFrame) -> DataFrame:
     be pruned and their size is known when joins are planned.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/pinned-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "pinned")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

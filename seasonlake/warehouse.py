@@ -532,10 +532,10 @@ def inhouse_projections(
     seasons = sorted({*fold_seasons, live})
     a = a.where((F.col("target_season") != live) | F.col("context_team").isNotNull())
     one = learn.walk_forward(
-        a, seasons, {"predicted_ppg_ppr": ("actual_ppg_ppr", RATE_FEATURES), "expected_games": ("actual_games", GAMES_FEATURES)}, **params
+        a, seasons, {"predicted_ppg_ppr": ("actual_ppg_ppr", RATE_FEATURES), "expected_games": ("actual_games", GAMES_FEATURES)}, entity="player_id", **params
     )
     two = learn.walk_forward(
-        b, seasons, {"predicted_ppg_ppr": ("actual_ppg_ppr", NEW_RATE_FEATURES), "expected_games": ("actual_games", NEW_GAMES_FEATURES)}, **params
+        b, seasons, {"predicted_ppg_ppr": ("actual_ppg_ppr", NEW_RATE_FEATURES), "expected_games": ("actual_games", NEW_GAMES_FEATURES)}, entity="player_id", **params
     )
     keep = ["player_id", "target_season", "position", "player_name", "target_is_starter", "consensus_adp", "actual_ppg_ppr",
             "actual_games", "predicted_ppg_ppr", "expected_games"]

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
 from seasonlake.functions import stats
@@ -396,18 +397,56 @@ def test_walk_forward_learner_has_no_leak_and_ranks_features(spark):
     schema = "id long, target_season long, x double, noise double, y double"
     models = {"p": ("y", ["x", "noise"])}
     def run(data):
-        out = learn.walk_forward(frame(spark, data, schema), [2004], models, maxIter=5)
+        out = learn.walk_forward(frame(spark, data, schema), [2004], models, entity="id", maxIter=5)
         return {r["id"]: r["p"] for r in out.collect()}
     first = run(rows)
     changed = run([(i, s, x, n, 999.0 if s == 2004 else y) for i, s, x, n, y in rows])
     assert first == changed and len(first) == 120
     df = frame(spark, rows, schema)
-    model = learn.boosted(df.where("target_season < 2004"), ["x", "noise"], "y", maxIter=5)
+    model = learn.boosted(df.where("target_season < 2004"), ["x", "noise"], "y", entity="id", maxIter=5)
     drop = {r["feature"]: r["importance"] for r in learn.permutation_importance(
         model, df.where("target_season = 2004"), ["x", "noise"], "y", "id", repeats=4).collect()}
     assert drop["x"] > 0.5 > abs(drop["noise"])
 
 
+def test_fits_do_not_hang_on_the_input_order(spark, tmp_path, monkeypatch):
+    """Rows shuffled over other partitions give the same models; saved ones predict the same."""
+    monkeypatch.setattr(learn, "ROWS_PER_PART", 200)
+    rng = random.Random(4)
+    rows = [(i, s, rng.uniform(0, 1), rng.uniform(0, 1) * 10 ** rng.randrange(-3, 4)) for s in range(2000, 2004) for i in range(150)]
+    schema = "id long, target_season long, x double, y double"
+    models = {"p": ("y", ["x"])}
+    found = []
+    for seed, parts in ((1, 3), (2, 7)):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        df = frame(spark, shuffled, schema).repartition(parts)
+        store = str(tmp_path / f"models-{seed}")
+        out = learn.walk_forward(df, [2002, 2003], models, entity="id", store=store, maxIter=8)
+        found.append({(r["id"], r["target_season"]): r["p"] for r in out.collect()})
+    assert found[0] == found[1] and len(found[0]) == 300
+    saved = GBTRegressionModel.load(f"{tmp_path}/models-1/p-2003")
+    again = learn.predicted(saved, frame(spark, rows, schema).where("target_season = 2003"), ["x"], "p")
+    assert {(r["id"], 2003): r["p"] for r in again.collect()} == {k: v for k, v in found[0].items() if k[1] == 2003}
+    trained = {r["target_season"]: r["p"] for r in learn.training_rows(frame(spark, rows, schema), {"p": "y"}).collect()}
+    assert trained == {2000: 0, 2001: 150, 2002: 300, 2003: 450}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 1000, 1023])
+def test_shuffled_places_are_a_permutation(spark, size):
+    df = spark.range(size).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = df.select("seed", "id", learn.shuffled_place(F.col("id"), F.lit(size), F.col("seed")).alias("to")).collect()
+    orders = {}
+    for r in got:
+        orders.setdefault(r["seed"], {})[r["id"]] = r["to"]
+    for order in orders.values():
+        assert sorted(order.values()) == list(range(size))
+    if size == 1000:
+        assert orders[1] != orders[2]
+        assert sum(i == to for i, to in orders[1].items()) < 12
+        near = sum(abs(orders[1][i] - orders[1][i + 1]) < 100 for i in range(999))
+        assert 120 < near < 260  # a random order has about 190
+
+
 def test_folds_come_from_the_data(spark):
     """Any seasons: each one with labels before it is predicted, and none without."""
     rows = [(i, 1900 + y, float(i % 3), None if y == 4 else float(i % 7)) for y in range(5) for i in range(40)]
@@ -415,7 +454,7 @@ def test_folds_come_from_the_data(spark):
     folds = learn.fold_seasons(df, ["y"])
     assert folds == [1901, 1902, 1903, 1904]
     assert learn.fold_seasons(df.where("y IS NULL"), ["y"]) == []
-    out = learn.walk_forward(df, folds, {"p": ("y", ["x"])}, maxIter=2)
+    out = learn.walk_forward(df, folds, {"p": ("y", ["x"])}, entity="id", maxIter=2)
     assert sorted({r.target_season for r in out.collect()}) == folds and out.where("p IS NULL").count() == 0
     assert learn.walk_forward(df, [], {"p": ("y", ["x"])}).count() == 0
     assert not hasattr(learned, "FOLDS") and not hasattr(learned, "ROUNDS")
