@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions.stats import error_metrics, student_two_sided
 from seasonlake.operators.ranking import group_percentiles, spearman, top_k
+from seasonlake.session import pinned
 
 
 def stack_predictions(df: DataFrame, keep: Sequence[str], predictions: dict[str, str]) -> DataFrame:
@@ -92,6 +93,44 @@ def benchmark_metrics(
     return model.drop("rmse").join(carried, keys).join(said.join(same, keys), keys, "left")
 
 
+def games_metrics(
+    rows: DataFrame, group: Sequence[str], actual: str, expected: str, naive: str
+) -> DataFrame:
+    """games_n, games_mae and games_naive_mae per group, over everyone with a known count."""
+    known = rows.where(F.col(actual).isNotNull())
+    return known.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("games_n"), F.avg(F.abs(F.col(actual) - F.col(expected))).alias("games_mae"),
+        F.avg(F.abs(F.col(actual) - F.col(naive))).alias("games_naive_mae"),
+    )
+
+
+def backtest_table(
+    scored: DataFrame,
+    newcomers: DataFrame,
+    availability: DataFrame,
+    group: Sequence[str],
+    pool: str,
+    actual: str,
+    predicted: str,
+    naive: str,
+    market: str,
+    entity: str,
+    min_rows: int = 20,
+) -> DataFrame:
+    """``benchmark_metrics`` with the row ``NO_BASELINE`` and, on ``ALL``, the games columns.
+
+    ``newcomers`` are rows without a history; their ``naive`` is the mean of the training
+    slice (``slice_means``), and rows from before there was one are left out.
+    ``availability`` holds (group, games_n, games_mae, games_naive_mae).
+    """
+    keys = [*group, pool]
+    rows = benchmark_metrics(scored, group, pool, actual, predicted, naive, market, entity, min_rows)
+    known = newcomers.where(F.col(naive).isNotNull()).withColumn(pool, F.lit("NO_BASELINE"))
+    fresh = benchmark_metrics(pinned(known), group, pool, actual, predicted, naive, market, entity, min_rows)
+    rows = rows.unionByName(fresh.where(F.col(pool) == "NO_BASELINE"))
+    return rows.join(availability.withColumn(pool, F.lit("ALL")), keys, "left")
+
+
 def quantile_bins(
     df: DataFrame, by: str, bins: int, group: Sequence[str] = ()
 ) -> DataFrame:

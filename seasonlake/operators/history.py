@@ -89,6 +89,25 @@ def before_season(entity: Sequence[str], season: str = "season") -> W:
     return W.partitionBy(*entity).orderBy(season).rangeBetween(W.unboundedPreceding, -1)
 
 
+def slice_means(df: DataFrame, group: Sequence[str], value: str, name: str, season: str = "season") -> DataFrame:
+    """(group, season, name): mean of all known values of earlier seasons.
+
+    What a group's training slice says; a group without earlier values takes the mean of
+    all groups', and the first season has none. Rows shrink to (group, season) sums
+    before a window over the seasons adds them up.
+    """
+    keys = list(group)
+    sums = df.groupBy(*keys, season).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    every = sums.groupBy(season).agg(F.sum("_s").alias("_as"), F.sum("_n").alias("_an"))
+
+    def earlier_mean(total: str, count: str, over: W) -> Column:
+        return F.sum(total).over(over) / F.nullif(F.sum(count).over(over), F.lit(0))
+
+    every = every.select(season, earlier_mean("_as", "_an", before_season([], season)).alias("_all"))
+    own = sums.select(*keys, season, earlier_mean("_s", "_n", before_season(keys, season)).alias("_own"))
+    return own.join(every, season).select(*keys, season, F.coalesce("_own", "_all").alias(name))
+
+
 def prior_counters(
     df: DataFrame, entity: Sequence[str], flag: Column, season: str = "season"
 ) -> DataFrame:

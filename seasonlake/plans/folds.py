@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions.stats import coverage_metrics
 from seasonlake.operators import learn
-from seasonlake.operators.folds import benchmark_metrics, quantile_bins, top_hits
+from seasonlake.operators.folds import backtest_table, games_metrics, quantile_bins, top_hits
+from seasonlake.operators.history import before_season, slice_means
 from seasonlake.operators.outcomes import archetype_outcomes
 from seasonlake.plans.baselines import BASELINE, baseline, season_metrics
 from seasonlake.plans.bindings import Tables
@@ -78,34 +79,74 @@ def _ranks(*columns: str) -> str:
             FROM pq LEFT JOIN ask ON ask.entity_id = pq.entity_id AND ask.season = pq.target_season
             LEFT JOIN m ON m.entity_id = pq.entity_id AND m.season = pq.target_season - 1),
     sc1 AS (SELECT * REPLACE (COALESCE(naive, predicted) AS naive) FROM sc0),
-    sc2 AS (SELECT * FROM sc1 UNION ALL SELECT * REPLACE ('ALL' AS position) FROM sc1),
+    nb0 AS (SELECT m.entity_id, m.season AS target_season, position, CASE WHEN m.games >= 2 THEN m.ppg END AS actual,
+              (SELECT round(sum(p.ppg * p.games) * 1.0 / sum(p.games), 4) FROM m p WHERE p.entity_id = m.entity_id AND p.season < m.season) AS career
+            FROM m JOIN ent ON ent.entity_id = m.entity_id LEFT JOIN bl ON bl.entity_id = m.entity_id AND bl.target_season = m.season
+            WHERE bl.entity_id IS NULL),
+    nb1 AS (SELECT nb0.*, round(COALESCE(
+              (SELECT sum(s.actual) * 1.0 / count(s.actual) FROM nb0 s WHERE s.position = nb0.position AND s.target_season < nb0.target_season),
+              (SELECT sum(s.actual) * 1.0 / count(s.actual) FROM nb0 s WHERE s.target_season < nb0.target_season)), 4) AS naive FROM nb0),
+    nb AS (SELECT nb1.entity_id, target_season, 'NO_BASELINE' AS position, actual, COALESCE(career, naive) AS predicted, ask.price AS market, naive
+           FROM nb1 LEFT JOIN ask ON ask.entity_id = nb1.entity_id AND ask.season = nb1.target_season
+           WHERE actual IS NOT NULL AND naive IS NOT NULL AND NOT isnan(naive)),
+    sc2 AS (SELECT * FROM sc1 UNION ALL SELECT * REPLACE ('ALL' AS position) FROM sc1 UNION ALL SELECT * FROM nb),
     ma AS (SELECT *, {_ranks("actual", "predicted", "naive")} FROM sc2),
     mb AS (SELECT *, {_ranks("actual", "predicted", "market")} FROM sc2 WHERE market IS NOT NULL),
     fa AS (SELECT target_season, position, count(*) AS n, avg(abs(actual - predicted)) AS mae,
              1 - sum(pow(actual - predicted, 2)) / (var_pop(actual) * count(*)) AS r2, corr(r_predicted, r_actual) AS spearman,
              avg(abs(actual - naive)) AS naive_mae, corr(r_naive, r_actual) AS naive_spearman FROM ma GROUP BY ALL),
     fb AS (SELECT target_season, position, count(*) AS market_n, -corr(r_market, r_actual) AS market_spearman,
-             corr(r_predicted, r_actual) AS model_spearman_vs_market FROM mb GROUP BY ALL HAVING count(*) >= 20)
+             corr(r_predicted, r_actual) AS model_spearman_vs_market FROM mb GROUP BY ALL HAVING count(*) >= 20),
+    ga AS (SELECT bl.target_season, 'ALL' AS position, count(*) AS games_n,
+             avg(abs(COALESCE(d.games, 0) - COALESCE(p.games, weighted_games_per_season))) AS games_mae,
+             avg(abs(COALESCE(d.games, 0) - weighted_games_per_season)) AS games_naive_mae
+           FROM bl JOIN ent ON ent.entity_id = bl.entity_id LEFT JOIN m d ON d.entity_id = bl.entity_id AND d.season = bl.target_season
+           LEFT JOIN m p ON p.entity_id = bl.entity_id AND p.season = bl.target_season - 1
+           WHERE bl.target_season <= (SELECT max(season) FROM m) GROUP BY ALL)
     SELECT target_season, position, n, round(mae, 4) AS mae, round(r2, 6) AS r2, round(spearman, 6) AS spearman, round(naive_mae, 4) AS naive_mae,
       round(naive_spearman, 6) AS naive_spearman, market_n, round(market_spearman, 6) AS market_spearman,
-      round(model_spearman_vs_market, 6) AS model_spearman_vs_market
-    FROM fa LEFT JOIN fb USING (target_season, position) WHERE n >= 20 OR position = 'ALL'""",
+      round(model_spearman_vs_market, 6) AS model_spearman_vs_market, games_n, round(games_mae, 4) AS games_mae,
+      round(games_naive_mae, 4) AS games_naive_mae
+    FROM fa LEFT JOIN fb USING (target_season, position) LEFT JOIN ga USING (target_season, position) WHERE n >= 20 OR position = 'ALL'""",
 )
 def benchmark_metrics_query(t: Tables) -> DataFrame:
-    """The baseline against carrying last season forward and against the market, fold by fold."""
-    market = asking_prices(t).select("entity_id", F.col("season").alias("target_season"), F.col("price").alias("market"))
-    carried = season_metrics(t).select(
-        "entity_id", (F.col("season") + 1).alias("target_season"), F.col("ppg").alias("naive")
-    )
+    """The baseline against carrying last season forward and against the market, fold by fold.
+
+    Newcomers have a row of their own against the position's mean of the training slice,
+    and each fold says how far games were off, over everyone with a baseline.
+    """
     key = ["entity_id", "target_season"]
-    df = t.gold("predicted", lambda: predicted_rates(t)).join(market, key, "left").join(carried, key, "left")
-    df = df.withColumn("naive", F.coalesce("naive", "predicted")).select(
-        *key, "position", "actual", "predicted", "naive", "market"
+    metrics = pinned(season_metrics(t).withColumnRenamed("season", "target_season"))
+    said = baseline(t)
+    people = t.entities().select("entity_id", "position")
+    market = asking_prices(t).select("entity_id", F.col("season").alias("target_season"), F.col("price").alias("market"))
+    last = metrics.select("entity_id", (F.col("target_season") + 1).alias("target_season"), F.col("ppg").alias("naive"), F.col("games").alias("_before"))
+    columns = [*key, "position", "actual", "predicted", "naive", "market"]
+    df = t.gold("predicted", lambda: predicted_rates(t)).join(market, key, "left").join(last.drop("_before"), key, "left")
+    df = df.withColumn("naive", F.coalesce("naive", F.col("predicted").cast("double"))).select(*columns)
+
+    earlier = before_season(["entity_id"], "target_season")
+    career = F.sum(F.col("ppg") * F.col("games")).over(earlier) / F.sum("games").over(earlier)
+    fresh = metrics.select(
+        *key, F.when(F.col("games") >= 2, F.col("ppg")).alias("actual"), F.round(career, 4).alias("_career")
+    ).join(said.select(*key), key, "left_anti").join(people, "entity_id")
+    fresh = pinned(fresh)
+    means = slice_means(fresh, ["position"], "actual", "naive", "target_season").withColumn("naive", F.round("naive", 4))
+    fresh = fresh.join(means, ["position", "target_season"]).where(F.col("actual").isNotNull()).join(market, key, "left")
+    fresh = fresh.withColumn("predicted", F.coalesce("_career", "naive")).select(*columns)
+
+    newest = metrics.agg(F.max("target_season").alias("m")).scalar()
+    played = said.where(F.col("target_season") <= newest).join(people.select("entity_id"), "entity_id").join(
+        metrics.select(*key, "games"), key, "left"
+    ).join(last.drop("naive"), key, "left")
+    played = played.withColumn("_games", F.coalesce("games", F.lit(0))).withColumn(
+        "_said", F.coalesce(F.col("_before").cast("double"), F.col("weighted_games_per_season"))
     )
-    out = benchmark_metrics(
-        pinned(df), ["target_season"], "position", "actual", "predicted", "naive", "market", "entity_id"
+    availability = games_metrics(played, ["target_season"], "_games", "_said", "weighted_games_per_season")
+    out = backtest_table(
+        pinned(df), fresh, availability, ["target_season"], "position", "actual", "predicted", "naive", "market", "entity_id"
     )
-    digits = {"mae": 4, "naive_mae": 4}
+    digits = {"mae": 4, "naive_mae": 4, "games_mae": 4, "games_naive_mae": 4}
     return out.select(*[
         F.round(c, digits.get(c, 6)).alias(c) if kind == "double" else c for c, kind in out.dtypes
     ])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seasonlake.functions.fixed_values import RATE_GRID, TEAM_GRID
 from seasonlake.functions.stats import mean_of
 from seasonlake.operators.folds import fold_metrics, stack_predictions
+from seasonlake.operators.history import stability_table, year_pairs
 from seasonlake.operators import component
 from seasonlake.operators.shrinkage import games_by_label, incumbency
 from seasonlake.plans.bindings import Tables
@@ -128,6 +129,33 @@ WEEKLY = """sh AS (
 SEASONS = f"{O}, {ENT}, {L}, {WEEKLY}"
 
 
+STABLE = ("points", "points_per_game", "punts_per_game", "gross_average", "net_average", "in20_rate", "in10_rate",
+          "touchback_rate", "bonus_per_game", "returned_rate", "games")
+_STABLE_SQL = """points, points / games AS points_per_game, punts / games AS punts_per_game, yards / punts AS gross_average,
+      (yards - 5 * returned - 20 * touchbacks) / punts AS net_average, in20 / punts AS in20_rate, in10 / punts AS in10_rate,
+      touchbacks / punts AS touchback_rate, bonus / games AS bonus_per_game, returned / punts AS returned_rate, CAST(games AS DOUBLE) AS games"""
+
+
+@query(
+    "season_stability",
+    f"""WITH {SEASONS}, f AS (SELECT entity_id, season, {_STABLE_SQL} FROM ss WHERE games >= 6),
+    p AS (SELECT {', '.join(f'a.{c}, b.{c} AS {c}_next' for c in STABLE)} FROM f a JOIN f b ON b.entity_id = a.entity_id AND b.season = a.season + 1)
+    {' UNION ALL '.join(f"SELECT count(*) AS pairs, '{c}' AS stat, CASE WHEN max({c}) > min({c}) AND max({c}_next) > min({c}_next) THEN round(corr({c}, {c}_next), 6) END AS r FROM p" for c in STABLE)}""",
+)
+def season_stability(t: Tables) -> DataFrame:
+    """Eleven season metrics against the same entity's next season."""
+    c = F.col
+    rates = {
+        "points_per_game": c("points") / c("games"), "punts_per_game": c("punts") / c("games"), "gross_average": c("yards") / c("punts"),
+        "net_average": (c("yards") - 5 * c("returned") - 20 * c("touchbacks")) / c("punts"), "in20_rate": c("in20") / c("punts"),
+        "in10_rate": c("in10") / c("punts"), "touchback_rate": c("touchbacks") / c("punts"), "bonus_per_game": c("bonus") / c("games"),
+        "returned_rate": c("returned") / c("punts"),
+    }
+    full = seasons_table(t).where(c("games") >= 6).withColumns(rates).withColumn("games", c("games").cast("double"))
+    pairs = year_pairs(full.select("entity_id", "season", *STABLE), ["entity_id"], STABLE)
+    return stability_table(pairs, STABLE).withColumn("r", F.round("r", 6))
+
+
 @query(
     "scored_weeks",
     f"""WITH {SEASONS}

@@ -344,11 +344,15 @@ def report_opening_claim(t: Tables) -> DataFrame:
     )
 
 
+#: The report's own cut: prices a draft of the reference league still reaches.
+BOARD_DEPTH = 400
+
+
 @query(
     "report_best_value",
     f"""WITH {FULL_VALUE}
     SELECT position, entity_id, round(price, 1) AS price, projected_surplus, projected_surplus_rank FROM dv
-    WHERE league_key = '{REFERENCE}' AND season = (SELECT max(season) FROM dv) AND projected_surplus IS NOT NULL AND price <= 400
+    WHERE league_key = '{REFERENCE}' AND season = (SELECT max(season) FROM dv) AND projected_surplus IS NOT NULL AND price <= {BOARD_DEPTH}
     QUALIFY row_number() OVER (PARTITION BY position ORDER BY projected_surplus DESC, entity_id) <= 8""",
 )
 def report_best_value(t: Tables) -> DataFrame:
@@ -356,7 +360,7 @@ def report_best_value(t: Tables) -> DataFrame:
     df = surplus(t)
     newest = df.agg(F.max("season").alias("m")).scalar()
     live = df.where(
-        (F.col("league_key") == REFERENCE) & (F.col("season") == newest) & F.col("projected_surplus").isNotNull() & (F.col("price") <= 400)
+        (F.col("league_key") == REFERENCE) & (F.col("season") == newest) & F.col("projected_surplus").isNotNull() & (F.col("price") <= BOARD_DEPTH)
     )
     best = top_k(live, ["position"], [F.col("projected_surplus").desc(), F.col("entity_id")], 8)
     return best.select("position", "entity_id", F.round("price", 1).alias("price"), "projected_surplus", "projected_surplus_rank")

@@ -539,7 +539,7 @@ def inhouse_projections(
     )
     keep = ["player_id", "target_season", "position", "player_name", "target_is_starter", "consensus_adp", "actual_ppg_ppr",
             "actual_games", "predicted_ppg_ppr", "expected_games"]
-    both = one.select(*keep, "weighted_ppg_ppr", F.lit("baseline").alias("arm")).unionByName(
+    both = one.select(*keep, "weighted_ppg_ppr", "weighted_games_per_season", F.lit("baseline").alias("arm")).unionByName(
         two.select(*keep, F.lit("no_baseline").alias("arm")), allowMissingColumns=True
     )
     both = learn.residual_intervals(pinned(both), "actual_ppg_ppr", "predicted_ppg_ppr", "player_id")
@@ -554,15 +554,20 @@ def inhouse_projections(
 def inhouse_backtest(projected: DataFrame, min_rows: int = 20) -> DataFrame:
     """inhouse_backtest: model, carry-forward and market, per fold and position and pooled.
 
-    The market is scored on priced rows only, and the model once more on the same rows.
+    Players without a baseline have a row of their own against the position's mean in the
+    training slice; the pooled row also says how far games were off. The market is scored on priced rows only, and the model once more on the same rows.
     """
-    scored = projected.where(F.col("actual_ppg_ppr").isNotNull() & (F.col("arm") == "baseline"))
-    scored = pinned(scored.select(
-        "target_season", "position", "player_id", "actual_ppg_ppr", "predicted_ppg_ppr", "weighted_ppg_ppr", "consensus_adp"
-    ))
-    return folds.benchmark_metrics(
-        scored, ["target_season"], "position", "actual_ppg_ppr", "predicted_ppg_ppr", "weighted_ppg_ppr",
-        "consensus_adp", "player_id", min_rows,
+    columns = ["target_season", "position", "player_id", "actual_ppg_ppr", "predicted_ppg_ppr", "weighted_ppg_ppr", "consensus_adp"]
+    rated = projected.where(F.col("actual_ppg_ppr").isNotNull())
+    scored = pinned(rated.where(F.col("arm") == "baseline").select(*columns))
+    new = projected.where(F.col("arm") == "no_baseline")
+    means = history.slice_means(new, ["position"], "actual_ppg_ppr", "weighted_ppg_ppr", "target_season")
+    fresh = rated.where(F.col("arm") == "no_baseline").drop("weighted_ppg_ppr").join(means, ["position", "target_season"])
+    veterans = projected.where(F.col("arm") == "baseline")
+    availability = folds.games_metrics(veterans, ["target_season"], "actual_games", "expected_games", "weighted_games_per_season")
+    return folds.backtest_table(
+        scored, fresh.select(*columns), availability, ["target_season"], "position", "actual_ppg_ppr", "predicted_ppg_ppr",
+        "weighted_ppg_ppr", "consensus_adp", "player_id", min_rows,
     )
 
 

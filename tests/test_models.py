@@ -113,6 +113,32 @@ def test_prior_counters_ignore_the_current_season(spark, as_rows):
     assert [(r["prior_seasons"], r["prior_elite"], r["elite_last_season"]) for r in got] == [(0, 0, 0), (1, 1, 1), (2, 1, 0)]
 
 
+def test_slice_means_see_earlier_seasons_only(spark, as_rows):
+    rows = [("a", 1, 10.0), ("a", 1, None), ("b", 2, 4.0), ("a", 3, 100.0), ("c", 3, None), ("b", 5, 1.0), ("a", 5, 2.0)]
+    got = as_rows(history.slice_means(frame(spark, rows, "g string, season long, v double"), ["g"], "v", "m"), "season", "g")
+    assert [(r["g"], r["season"], r["m"]) for r in got] == [
+        ("a", 1, None), ("b", 2, 10.0), ("a", 3, 10.0), ("c", 3, 7.0), ("a", 5, 55.0), ("b", 5, 4.0),
+    ]
+
+
+def test_backtest_table_adds_newcomers_and_games(spark, as_rows):
+    rng = random.Random(6)
+    schema = "s long, pos string, id long, actual double, predicted double, naive double, market double"
+    old = frame(spark, [(s, p, i, rng.random(), rng.random(), rng.random(), None) for s in (1, 2) for p in "xy" for i in range(15)], schema)
+    new = frame(spark, [(2, "x", 100 + i, 2.0 + i, 1.0 + i, 5.0 if s else None, float(i)) for s in (0, 1) for i in range(12)], schema)
+    games = folds.games_metrics(
+        frame(spark, [(1, 4.0, 3.0, 8.0), (1, None, 1.0, 1.0), (2, 2.0, 2.0, 2.0)], "s long, a double, e double, n double"), ["s"], "a", "e", "n"
+    )
+    out = as_rows(folds.backtest_table(old, new, games, ["s"], "pos", "actual", "predicted", "naive", "market", "id", min_rows=10), "s", "pos")
+    assert [(r["s"], r["pos"], r["n"]) for r in out] == [
+        (1, "ALL", 30), (1, "x", 15), (1, "y", 15), (2, "ALL", 30), (2, "NO_BASELINE", 12), (2, "x", 15), (2, "y", 15),
+    ]
+    assert [(r["games_n"], r["games_mae"], r["games_naive_mae"]) for r in out if r["pos"] == "ALL"] == [(1, 1.0, 4.0), (1, 0.0, 0.0)]
+    fresh = next(r for r in out if r["pos"] == "NO_BASELINE")
+    assert (fresh["mae"], fresh["naive_mae"], fresh["games_n"]) == (1.0, pytest.approx(sum(abs(i - 3) for i in range(12)) / 12), None)
+    assert fresh["market_n"] == 12 and fresh["market_spearman"] == pytest.approx(-1.0)
+
+
 def test_forward_asof_edges(spark, as_rows):
     snaps = frame(spark, [(1, 2025, "2025-09-01"), (2, 2025, "2025-09-04"), (3, 2025, "2025-09-05"), (4, 2025, "2026-03-01")], "id int, season int, d string")
     weeks = frame(spark, [(2025, 1, "2025-09-04"), (2025, 2, "2025-09-11")], "season int, week int, first_game string")
