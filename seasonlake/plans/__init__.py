@@ -6,7 +6,7 @@ from seasonlake.plans.registry import ORACLES, QUERIES
 
 _MODULES = (
     "grades", "consensus", "baselines", "outcomes", "value", "rates", "environment",
-    "folds", "strategy", "texts", "raw", "relational", "learned", "reports",
+    "folds", "strategy", "texts", "raw", "relational", "learned", "reports", "builders",
 )
 
 
