@@ -154,6 +154,42 @@ def test_plan_places_every_piece(seed):
     assert placed == histogram
 
 
+@pytest.mark.parametrize("kind", ["uniform", "halves", "long tail"])
+def test_plan_never_loses_to_best_fit(kind):
+    rng = np.random.default_rng(3)
+    lengths = {
+        "uniform": rng.integers(300, 1501, 200_000), "halves": rng.choice([1024, 683, 341, 1365, 2048, 2], 50_000),
+        "long tail": np.clip(rng.lognormal(6, 1, 200_000), 1, 2048).astype(int),
+    }[kind]
+    values, counts = np.unique(lengths, return_counts=True)
+    histogram = dict(zip(values.tolist(), counts.tolist()))
+    best_fit = sum(g.bins for g in packing.rounded(histogram, 2048, []))
+    plan = packing.plan_groups(histogram, 2048)
+    assert -(-int(lengths.sum()) // 2048) <= sum(g.bins for g in plan) <= best_fit
+    placed = {}
+    for g in plan:
+        assert sum(n * k for n, k in g.content) <= 2048
+        for n, k in g.content:
+            placed[n] = placed.get(n, 0) + k * g.bins
+    assert placed == histogram
+
+
+def test_rank_table_gives_the_library_ids():
+    """Texts below U+0250 by ranks, others by units, in their order; long runs as well."""
+    with open(BYTE, encoding="utf-8") as file:
+        source = file.read()
+    units, library = packing.UnitTokenizer(source), Tokenizer.from_str(source)
+    assert units.ranked is not None and packing.UnitTokenizer(open(WORD, encoding="utf-8").read()).ranked is None
+    rng = random.Random(9)
+    low = [chr(c) for c in range(0x250)] + [" ", " ", "\n", "'s", "'LL", "don't", "<|endoftext|>", "Straße", "12"]
+    high = low + ["日本", "е", "\u0301", "\u2003", "🙂"]
+    texts = ["".join(rng.choices(rng.choice([low, low, high]), k=rng.randrange(0, 60))) for _ in range(3000)]
+    texts += [None, "", "a" * 100_000, " " * 100_000 + "x", "ab1!" * 20_000, "\n" * 50_000]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in units.encode(texts)]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert got == want
+
+
 def test_pii_base_and_edges(spark):
     texts = [
         "mail a.b+c@x-y.example.com, or me@nowhere", "ip 10.0.0.255 not 10.0.0.256 or 1.2.3.4.5", "card 4111 1111 1111 1111 bad 4111 1111 1111 1112",
