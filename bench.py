@@ -25,6 +25,11 @@ HEADLINE = (
     "strategy_summary", "composition_value", "yoy_stability", "text_suite", "json_fields",
     "page_rows", "feature_star", "agg_basics",
 )
+#: Timed beside the headline and not part of its total.
+OTHERS = (
+    "benchmark_metrics", "gbt_importance", "opening_strategies", "asof_timestamps", "settings_table", "season_stability",
+    "builder_consensus", "file_csv", "table_replace", "report_value_by_round", "report_live_board",
+)
 
 
 def main() -> None:
@@ -39,7 +44,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["agg_basics"](spark, folder).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
-    for name in wanted:
+    for name in (*wanted, *(OTHERS if wanted is HEADLINE else ())):
         forget_gold()
         started = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
@@ -47,9 +52,10 @@ def main() -> None:
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline queries, total wall time",
-        "value": round(sum(times.values()), 3),
+        "value": round(sum(times[n] for n in wanted), 3),
         "unit": "sec",
-        "queries": times,
+        "queries": {n: times[n] for n in wanted},
+        "others": {n: s for n, s in times.items() if n not in wanted},
         "sf": os.path.basename(folder.rstrip("/")).replace("sf", ""),
     }))
 

@@ -94,3 +94,29 @@ SILVER_PREFIXES = (
     "players", "ngs_", "ftn_", "pbp_", "pfr_advstats", "sleeper_", "espn_", "fantasypros_",
     "ffc_", "fftoday_", "cbs_",
 )
+
+# Box-score columns that are summed and averaged, as the feed names them.
+TOTALS = {
+    "targets": "targets", "receptions": "receptions", "receiving_yards": "receiving_yards",
+    "receiving_tds": "receiving_tds", "carries": "carries", "rushing_yards": "rushing_yards",
+    "rushing_tds": "rushing_tds", "pass_attempts": "attempts", "passing_yards": "passing_yards",
+    "passing_tds": "passing_tds", "passing_interceptions": "passing_interceptions",
+}
+AVERAGES = (
+    "target_share", "air_yards_share", "wopr", "passing_epa", "rushing_epa", "receiving_epa", "passing_cpoe",
+)
+
+# Feature names of the boosted models, as the derived tables name them.
+RATE_INPUTS = (
+    "weighted_ppg_ppr", "weighted_games_per_season", "seasons_used", "ol_grade", "skill_grade", "seasons_of_experience",
+    "age_at_season", "draft_pick", "target_is_starter", "changed_team",
+)
+GAMES_INPUTS = (
+    "weighted_games_per_season", "seasons_used", "seasons_of_experience", "age_at_season", "draft_pick",
+    "weeks_on_depth_chart", "starter_share", "end_starter", "target_is_starter",
+)
+NEW_RATE_INPUTS = (
+    "draft_number", "age_at_season", "seasons_of_experience", "career_ppg", "career_games", "ol_grade", "skill_grade",
+    "target_is_starter",
+)
+NEW_GAMES_INPUTS = ("draft_number", "age_at_season", "seasons_of_experience", "career_games", "target_is_starter")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from seasonlake.functions.fixed_values import OUTCOME_RATES
 from seasonlake.functions.stats import coverage_metrics
 from seasonlake.operators import learn
 from seasonlake.operators.folds import backtest_table, games_metrics, quantile_bins, top_hits
@@ -194,12 +195,7 @@ def decile_table(t: Tables) -> DataFrame:
 
 
 _RATE_SQL = ", ".join(
-    f"round(avg(CAST(outcome_bucket = '{b}' AS DOUBLE)), 8) AS {c}"
-    for b, c in {
-        "League Winner": "league_winner_rate", "Delivered": "delivered_rate", "Beat His Price": "beat_price_rate",
-        "Met His Price": "met_price_rate", "Fine": "fine_rate", "Busted": "busted_rate",
-        "Got Injured": "injured_rate", "Never Had The Job": "never_had_job_rate",
-    }.items()
+    f"round(avg(CAST(outcome_bucket = '{bucket}' AS DOUBLE)), 8) AS {name}" for bucket, name in OUTCOME_RATES.items()
 )
 CELLS = f"""ce0 AS (
     SELECT league_key, position, archetype, count(*) AS n, count(surplus_centered) AS n_scored, round(avg(price), 3) AS mean_price,

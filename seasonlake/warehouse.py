@@ -27,16 +27,7 @@ SLOTS = {"QB": "qb_slots", "RB": "rb_slots", "WR": "wr_slots", "TE": "te_slots"}
 FLEX = [("flex_slots", ("RB", "WR", "TE"))]
 STARTERS = {"QB": 1, "RB": 1, "WR": 3, "TE": 1}
 MIN_GAMES = 6
-TOTALS = {
-    "targets": "targets", "receptions": "receptions", "receiving_yards": "receiving_yards",
-    "receiving_tds": "receiving_tds", "carries": "carries", "rushing_yards": "rushing_yards",
-    "rushing_tds": "rushing_tds", "pass_attempts": "attempts", "passing_yards": "passing_yards",
-    "passing_tds": "passing_tds", "passing_interceptions": "passing_interceptions",
-}
-AVERAGES = (
-    "target_share", "air_yards_share", "wopr", "passing_epa", "rushing_epa", "receiving_epa", "passing_cpoe",
-)
-COMPONENTS = [f"{n}_per_game" for n in TOTALS] + [*AVERAGES, "snap_share", "td_regressed_ppg"]
+COMPONENTS = [f"{n}_per_game" for n in fixed.TOTALS] + [*fixed.AVERAGES, "snap_share", "td_regressed_ppg"]
 
 
 def _played(weekly: DataFrame, positions: Sequence[str] | None = SKILL) -> DataFrame:
@@ -103,7 +94,7 @@ def weighted_baselines(weekly: DataFrame, snaps: DataFrame, ids: DataFrame) -> D
     seasons = w.groupBy("player_id", "season").agg(
         F.min("player_display_name").alias("player_name"), F.min("position").alias("position"),
         F.count(F.lit(1)).alias("games"), F.sum("fantasy_points_ppr").alias("_points"),
-        *[F.sum(c).alias(f"_sum_{n}") for n, c in TOTALS.items()], *[F.avg(c).alias(c) for c in AVERAGES],
+        *[F.sum(c).alias(f"_sum_{n}") for n, c in fixed.TOTALS.items()], *[F.avg(c).alias(c) for c in fixed.AVERAGES],
     ).where(F.col("games") >= MIN_GAMES)
     seasons = seasons.join(league, ["season", "position"]).join(share_by_season, ["player_id", "season"], "left")
     parts = [
@@ -114,7 +105,7 @@ def weighted_baselines(weekly: DataFrame, snaps: DataFrame, ids: DataFrame) -> D
         {
             "ppg_ppr": F.col("_points") / games,
             "td_regressed_ppg": rates.luck_neutral(F.col("_points"), parts) / games,
-            **{f"{n}_per_game": F.col(f"_sum_{n}") / games for n in TOTALS},
+            **{f"{n}_per_game": F.col(f"_sum_{n}") / games for n in fixed.TOTALS},
         }
     )
     return history.recency_baseline(
@@ -498,19 +489,10 @@ def model_frames(
 
 
 _DUMMIES = [f"position_{p}" for p in SKILL]
-RATE_FEATURES = [
-    "weighted_ppg_ppr", "weighted_games_per_season", "seasons_used", "ol_grade", "skill_grade", "seasons_of_experience",
-    "age_at_season", "draft_pick", "target_is_starter", "changed_team", *[f"weighted_{c}" for c in COMPONENTS], *_DUMMIES,
-]
-GAMES_FEATURES = [
-    "weighted_games_per_season", "seasons_used", "seasons_of_experience", "age_at_season", "draft_pick",
-    "weeks_on_depth_chart", "starter_share", "end_starter", "target_is_starter", *_DUMMIES,
-]
-NEW_RATE_FEATURES = [
-    "draft_number", "age_at_season", "seasons_of_experience", "career_ppg", "career_games", "ol_grade", "skill_grade",
-    "target_is_starter", *_DUMMIES,
-]
-NEW_GAMES_FEATURES = ["draft_number", "age_at_season", "seasons_of_experience", "career_games", "target_is_starter", *_DUMMIES]
+RATE_FEATURES = [*fixed.RATE_INPUTS, *[f"weighted_{c}" for c in COMPONENTS], *_DUMMIES]
+GAMES_FEATURES = [*fixed.GAMES_INPUTS, *_DUMMIES]
+NEW_RATE_FEATURES = [*fixed.NEW_RATE_INPUTS, *_DUMMIES]
+NEW_GAMES_FEATURES = [*fixed.NEW_GAMES_INPUTS, *_DUMMIES]
 
 
 def season_lengths(schedules: DataFrame) -> DataFrame:
