@@ -169,7 +169,8 @@ def judge_urls(
         raise ValueError(f"both blocked and allowed: {sorted(both)[:3]}")
 
     def frame(values: list[str]) -> DataFrame:
-        return spark.createDataFrame([(v,) for v in values], "key string")
+        # literals of the plan: a frame of Python rows would pass through a Python worker
+        return spark.range(1).select(F.explode(F.array(*map(F.lit, values)).cast("array<string>")).alias("key"))
 
     listed = frame(by_action["block"] + by_action["allow"])
     universe = named.select(F.explode(keys).alias("key"))
