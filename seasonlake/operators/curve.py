@@ -47,7 +47,8 @@ def monotone_points(points: DataFrame, keys: Sequence[str], x: str, total: str,
     fit = IsotonicRegression(
         isotonic=False, featuresCol="_at", labelCol="_level", weightCol="weight", predictionCol="_block"
     ).fit(placed)
-    block = W.partitionBy(*keys, "_block")
+    # summed in the order of x, so that a block's level is the same in every run
+    block = W.partitionBy(*keys, "_block").orderBy("x").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return fit.transform(placed).select(
         *keys, "x", (F.sum("total").over(block) / F.sum("weight").over(block)).alias("y")
     )
