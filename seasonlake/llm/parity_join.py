@@ -18,7 +18,9 @@ Equal sets are one node. A part shared by few sets gives its pairs; one shared b
 crowd, gives a star to its first set. A set with no more keys in crowds than the slack has
 met every partner outside them, so a passage that many documents share costs nothing more.
 Of the other sets only those that are still in different components after the links are
-compared by sketch, in tiles.
+compared by sketch, in tiles; a tile gives a forest of the pairs within reach, never the
+pairs. Sets that such forests join are verified among themselves, again in tiles that give
+a forest.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonlake.llm.common import batches, bitmap, may_hold
 from seasonlake.llm.components import components
+from seasonlake.llm.copies import HOT_SHARES, spread_join
 from seasonlake.llm.words import mix, shingle_sets
 from seasonlake.session import pinned
 
@@ -128,17 +131,27 @@ def described(documents: DataFrame, size: int) -> DataFrame:
     return documents.mapInArrow(run, f"doc_id {kind}, row long, n long, set long, bits binary")
 
 
-def offers(documents: DataFrame, size: int, t: Threshold, parts: int) -> DataFrame:
-    """(part, sets, counts, keys): offered keys by hash part, packed by input batch."""
+def offers(documents: DataFrame, size: int, t: Threshold, parts: int, hot: dict[int, int]) -> DataFrame:
+    """(part, sets, counts, keys): offered keys by hash part, packed by input batch.
+
+    Copies in one batch offer once. Of a set in ``hot`` only the document of the given row
+    offers, so no key comes from more than a thousandth of all documents by copies alone.
+    """
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches_in:
             for batch in batches(whole, BATCH_BYTES, "text"):
-                sets = [s for s in shingle_sets(batch.column("text"), size) if len(s)]
-                if not sets:
+                different = {}
+                for row, found in zip(batch.column("row").to_pylist(), shingle_sets(batch.column("text"), size)):
+                    if len(found):
+                        name = fingerprint(found)
+                        if hot.get(name, row) == row:
+                            different[name] = found
+                if not different:
                     continue
+                sets = list(different.values())
                 offered = [offered_keys(s, t) for s in sets]
-                names = np.array([fingerprint(s) for s in sets], dtype=np.int64)
+                names = np.array(list(different), dtype=np.int64)
                 owner = np.repeat(np.arange(len(sets)), [len(k) for k in offered])
                 keys = np.concatenate(offered)
                 home = (keys % U64(parts)).astype(np.int64)
@@ -160,7 +173,7 @@ def offers(documents: DataFrame, size: int, t: Threshold, parts: int) -> DataFra
                     ["part", "sets", "counts", "keys"],
                 )
 
-    return documents.select("text").mapInArrow(run, "part int, sets binary, counts binary, keys binary")
+    return documents.select("row", "text").mapInArrow(run, "part int, sets binary, counts binary, keys binary")
 
 
 FEW = 6
@@ -243,7 +256,7 @@ def stored_sets(documents: DataFrame, one: DataFrame, needed: DataFrame, size: i
                 )
 
     found = documents.select("row", "text").mapInArrow(run, "set long, n long, members binary")
-    return pinned(found.join(needed, "set", "left_semi"))
+    return pinned(found.join(needed, "set", "left_semi").dropDuplicates(["set"]))
 
 
 def within_sketch(pairs: DataFrame, one: DataFrame, t: Threshold) -> DataFrame:
@@ -264,23 +277,29 @@ def within_sketch(pairs: DataFrame, one: DataFrame, t: Threshold) -> DataFrame:
     return sized.select("a", "b", "left", "right", most.cast("long").alias("most")).mapInArrow(run, "a long, b long")
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def same_enough(left: bytes, right: bytes, t: Threshold) -> bool:
+    """Whether two stored sets reach the similarity."""
+    x, y = unpacked(left), unpacked(right)
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return t.reached(int((both[1:] == both[:-1]).sum()), len(x), len(y))
+
+
 def verified(pairs: DataFrame, documents: DataFrame, one: DataFrame, size: int, t: Threshold) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     sets = stored_sets(documents, one, needed, size)
 
-    def wide(data: bytes) -> np.ndarray:
-        out = np.zeros((len(data) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return out.reshape(-1).view("<u8")
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             keep = []
             for left, right in zip(part.column("left").to_pylist(), part.column("right").to_pylist()):
-                x, y = wide(left), wide(right)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                keep.append(t.reached(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
+                keep.append(same_enough(left, right, t))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("members").alias("left")), "a").join(
@@ -289,81 +308,171 @@ def verified(pairs: DataFrame, documents: DataFrame, one: DataFrame, size: int,
     return pinned(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
 
 
-def rivals(crowds: DataFrame, roots: DataFrame, one: DataFrame, t: Threshold, tile: int = 1024) -> DataFrame:
-    """Pairs of one crowd that are in different components and close enough by sketch.
+class Links:
+    """Which of the rows of a tile are linked so far, by a label of each."""
+
+    def __init__(self, label: np.ndarray):
+        self.label = label.copy()
 
-    A crowd of one component has nothing left to find. The others are cut into tiles, and
-    two tiles meet in one task; only pairs within reach leave it.
+    def join(self, x: int, y: int) -> None:
+        self.label[self.label == self.label[y]] = self.label[x]
+
+
+def levels(n: np.ndarray, bits: list[bytes], t: Threshold) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(x, begin, sketches, upto) for every row x of a tile in the order of sizes.
+
+    Partners of x are the rows after it up to ``upto[x]``; their sketches lie from
+    ``begin`` on, folded to the bits of x's own.
+    """
+    upto = np.searchsorted(n * t.top, n * t.base, side="right")  # largest partner in reach
+    length = np.array([len(b) for b in bits])
+    for size in np.unique(length):
+        rows = np.flatnonzero(length == size)
+        begin = int(rows[0])
+        words = np.stack([fold(b, 8 * int(size)) for b in bits[begin : int(upto[rows[-1]])]])
+        for x in rows.tolist():
+            yield x, begin, words, upto
+
+
+def near_rows(
+    n: np.ndarray, bits: list[bytes], root: np.ndarray, links: Links, across: np.ndarray | None, t: Threshold
+) -> Iterator[tuple[int, int]]:
+    """Pairs (x, y) of rows of different roots, within reach by sketch and not linked when
+    their turn comes.
+
+    ``across`` marks the side of each row where two tiles meet; rows of one side have met
+    elsewhere. The caller may link rows between two pairs.
     """
-    rows = crowds.join(roots.withColumnsRenamed({"node": "a"}), "a", "left").select(
-        "crowd", "a", F.coalesce("root", "a").alias("root")
+    for x, begin, words, upto in levels(n, bits, t):
+        rest = slice(x + 1, upto[x])
+        far = (links.label[rest] != links.label[x]) & (root[rest] != root[x])
+        if across is not None:
+            far &= across[rest] != across[x]
+        pick = np.flatnonzero(far) + x + 1
+        if not len(pick):
+            continue
+        apart = np.bitwise_count(words[pick - begin] ^ words[x - begin]).sum(axis=1)
+        for y in pick[apart <= (n[pick] + n[x]) * (t.base - t.top) // (t.base + t.top)].tolist():
+            if links.label[x] != links.label[y]:
+                yield x, y
+
+
+def tiled(rows: DataFrame, tiles: Column) -> DataFrame:
+    """``rows`` once for each pair of tiles (i, j) of its group that its own tile is in."""
+    own = F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int")
+    met = rows.withColumn("tiles", tiles.cast("int")).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     )
+    return met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("tiles", "other")
+
+
+def rivals(crowds: DataFrame, named: DataFrame, t: Threshold, tile: int = 4096) -> DataFrame:
+    """(a, b): links that join all sets of one crowd that are in different components and
+    close enough by sketch, directly or through one another.
+
+    ``named`` has set, root, n and bits. A crowd of one component has nothing left to
+    find. The others are cut into tiles, and two tiles meet in one task, from which a
+    forest comes out: fewer links than the task has rows.
+    """
+    rows = crowds.select("crowd", F.col("a").alias("set")).join(named.select("set", "root", "n", "bits"), "set")
     open_ = rows.groupBy("crowd").agg(
         F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")
     ).where("least < most")
-    tiles = F.ceil(F.col("size") / tile).cast("int")
-    members = (
-        rows.join(open_.select("crowd", tiles.alias("tiles")), "crowd")
-        .join(one.select(F.col("set").alias("a"), "n", "bits"), "a")
-        .withColumn("own", F.pmod(F.xxhash64("a"), "tiles").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            "own", "a", "root", "n", "bits",
-        )
+    members = tiled(rows.join(open_.select("crowd", "size"), "crowd"), F.ceil(F.col("size") / tile))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["n", "set"], ignore_index=True)
+        name, n = part["set"].to_numpy(), part["n"].to_numpy()
+        across = part["own"].to_numpy() if part["i"].iloc[0] != part["j"].iloc[0] else None
+        # rows of one root are not linked here: what either is near to may be near to one only
+        root, links, out = part["root"].to_numpy(), Links(np.arange(len(part))), []
+        for x, y in near_rows(n, part["bits"].tolist(), root, links, across, t):
+            links.join(x, y)
+            out.append((min(name[x], name[y]), max(name[x], name[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    columns = ["crowd", "i", "j", "own", "set", "root", "n", "bits"]
+    return members.select(columns).groupBy("crowd", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def settled(likely: DataFrame, named: DataFrame, documents: DataFrame, one: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """(a, b): verified links that join what the similarity joins among the sets of
+    ``likely`` (node, root), the components of the forests of ``rivals``.
+
+    Every pair of rivals lies in one such component, so a set travels with its shingles
+    once for each tile of one component only. A tile holds some 4 million shingles or
+    2048 sets; pairs not linked yet are verified on whole sets, and a forest comes out.
+    """
+    sets = stored_sets(documents, one, likely.select(F.col("node").alias("set")), size)
+    groups = likely.select(F.col("node").alias("set"), F.col("root").alias("likely"))
+    rows = sets.join(groups, "set").join(named.select("set", "root", "bits"), "set")
+    weights = sets.select("set", "n").join(groups, "set").groupBy("likely").agg(
+        F.ceil(F.greatest(F.count("*") / 2048, F.sum("n") / 4_000_000)).alias("weight")
     )
+    members = tiled(rows.join(weights, "likely"), F.col("weight"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        part = part.sort_values(["n", "a"], ignore_index=True)
-        bits = 8 * min(map(len, part["bits"]))
-        words = np.stack([fold(b, bits) for b in part["bits"]])
-        name, root, n, own = (part[c].to_numpy() for c in ("a", "root", "n", "own"))
-        upto = np.searchsorted(n * t.top, n * t.base, side="right")  # largest partner in reach
-        out = []
-        for x in range(len(part)):
-            rest = slice(x + 1, upto[x])
-            far = root[rest] != root[x]
-            if i != j:
-                far &= own[rest] != own[x]
-            pick = np.flatnonzero(far) + x + 1
-            if not len(pick):
-                continue
-            apart = np.bitwise_count(words[pick] ^ words[x]).sum(axis=1)
-            near = pick[apart <= (n[pick] + n[x]) * (t.base - t.top) // (t.base + t.top)]
-            out += [(min(name[x], name[y]), max(name[x], name[y])) for y in near.tolist()]
+        part = part.sort_values(["n", "set"], ignore_index=True)
+        name, n = part["set"].to_numpy(), part["n"].to_numpy()
+        across = part["own"].to_numpy() if part["i"].iloc[0] != part["j"].iloc[0] else None
+        root, out = part["root"].to_numpy(), []
+        links = Links(root)
+        for x, y in near_rows(n, part["bits"].tolist(), root, links, across, t):
+            if same_enough(part["members"].iloc[x], part["members"].iloc[y], t):
+                links.join(x, y)
+                out.append((min(name[x], name[y]), max(name[x], name[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("crowd", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    columns = ["likely", "i", "j", "own", "set", "root", "n", "bits", "members"]
+    return members.select(columns).groupBy("likely", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def labelled_sets(narrow: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """(doc_id, row, n, root): each document's shingle count and the name of its component.
+def labelled_sets(narrow: DataFrame, size: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, set) of each document, and (set, root, copies, first) of each set.
 
-    ``narrow`` has doc_id, text and row, a hash of both. Equal sets have one root; sets
-    without a link are their own.
+    ``narrow`` has doc_id, text and row, a hash of both. Equal sets are one; sets without
+    a link are their own root. ``first`` is a set's smallest (unnamed, doc_id, row).
     """
     docs = pinned(described(narrow, size))
     shingles = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(24, shingles // 4_000_000)
-    one = pinned(docs.where("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    met = pinned(shared_parts(offers(narrow, size, t, parts)))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    one = pinned(docs.where("n > 0").groupBy("set").agg(
+        F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+        F.count("*").alias("copies"), F.min(rank).alias("first"),
+    ))
+    met = pinned(shared_parts(offers(narrow, size, t, parts, frequent(one))))
     pairs = pinned(within_sketch(met.where("crowd = 0").select("a", "b"), one, t))
     links = verified(pairs, narrow, one, size, t)
+    roots = pinned(components(links))
     # a partner has at least top / base of a set's size, so at least that slack
     least = F.floor(F.floor(F.col("n") * t.top / t.base) / 8)
     busy = met.where("crowd = -1").join(one.select(F.col("set").alias("a"), "n"), "a").where(F.col("keys") > least)
     crowds = met.where("crowd > 0").select("crowd", "a").join(busy.select("a"), "a", "left_semi")
     if crowds.limit(1).count():
-        more = pinned(rivals(crowds, components(links), one, t))
-        if more.limit(1).count():
-            links = links.union(verified(more, narrow, one, size, t))
-    roots = components(links)
-    return docs.join(roots.withColumnsRenamed({"node": "set"}), "set", "left").select(
-        "doc_id", "row", "n", F.coalesce("root", "set").alias("root")
+        named = with_roots(one, roots).select("set", "root", "n", "bits")
+        likely = pinned(components(pinned(rivals(crowds, named, t))))
+        if likely.limit(1).count():
+            more = pinned(settled(likely, named, narrow, one, size, t))
+            known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = pinned(components(known.union(more)))
+    return docs, pinned(with_roots(one, roots).select("set", "root", "copies", "first"))
+
+
+def with_roots(one: DataFrame, roots: DataFrame) -> DataFrame:
+    return one.join(roots.withColumnsRenamed({"node": "set"}), "set", "left").withColumn(
+        "root", F.coalesce("root", "set")
     )
 
 
+def frequent(one: DataFrame) -> dict[int, int]:
+    """The row that stands for each set with more than a thousandth of all documents:
+    fewer than a thousand sets."""
+    total = one.agg(F.sum("copies")).first()[0] or 0
+    hot = one.where(F.col("copies") * HOT_SHARES > max(total, HOT_SHARES)).select("set", "row")
+    return {r["set"]: r["row"] for r in hot.collect()}
+
+
 def narrowed(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(
         F.col(key).alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")
@@ -381,11 +490,13 @@ def near_duplicates(
     rows stay repeated. A null id takes part but names no component, unless nothing in
     the component has an id. Texts are read whole; other columns are not read.
     """
-    labelled = labelled_sets(narrowed(documents, key, text), size, Threshold(top, base))
-    shingled = labelled.where("n > 0")
-    least = shingled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = shingled.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(labelled.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    docs, sets = labelled_sets(narrowed(documents, key, text), size, Threshold(top, base))
+    least = pinned(sets.groupBy("root").agg(F.min("first.doc_id").alias("component_id"), F.count("*").alias("members")))
+    named = pinned(spread_join(sets.select("set", "root", "copies"), least, "root", "members").select("set", "copies", "component_id"))
+    linked = spread_join(docs.where("n > 0"), named, "set", "copies").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+    )
+    return linked.union(docs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(
@@ -396,10 +507,9 @@ def one_of_each(
     Rows without a shingle link with nothing and all stay, but for rows equal in id and
     text, of which one stays. All columns are kept; no name clashes.
     """
-    labelled = labelled_sets(narrowed(documents, key, text), size, Threshold(top, base))
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    kept = labelled.where("n > 0").groupBy("root").agg(F.min(rank).alias("first")).select("first.row")
-    kept = kept.union(labelled.where("n = 0").select("row")).distinct()
+    docs, sets = labelled_sets(narrowed(documents, key, text), size, Threshold(top, base))
+    kept = sets.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    kept = kept.union(docs.where("n = 0").select("row")).distinct()
     whole = documents.select(
         F.xxhash64(F.col(key), F.col(text)).alias("row"), F.struct(*documents.columns).alias("d")
     )

@@ -195,6 +195,32 @@ def test_offered_keys_meet():
             assert apart <= len(np.setxor1d(a, b))
 
 
+def test_crowds_give_forests(spark):
+    """Many sets around one passage, in chains: all links found, few rows out of a crowd."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = fresh(100), []
+    for _ in range(12):
+        chain = passage + fresh(60)
+        for _ in range(14):
+            at = 100 + rng.randrange(50)
+            chain = chain[:at] + fresh(9) + chain[at + 9 :]
+            texts.append(" ".join(chain))
+    want, _ = groups(texts)
+    assert 1 < len(set(want)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = parity_join.Threshold(75, 100)
+    got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(df.repartition(3)).collect()}
+    assert got == dict(enumerate(want))
+    docs = parity_join.described(parity_join.narrowed(df, "doc_id", "text"), 5)
+    one = docs.select("set", F.col("set").alias("root"), "n", "bits")
+    crowd = docs.select(F.lit(1).alias("crowd"), F.col("set").alias("a"))
+    assert 0 < parity_join.rivals(crowd, one, t).count() < len(texts)
+    likely = one.select(F.col("set").alias("node"), F.lit(1).alias("root"))
+    found = parity_join.settled(likely, one, parity_join.narrowed(df, "doc_id", "text"), docs, 5, t)
+    assert found.count() == len(texts) - len(set(want))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (7, 7)] + [(1000, i) for i in range(1001, 1100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
