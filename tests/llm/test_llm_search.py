@@ -229,12 +229,11 @@ def test_components(spark):
 
 
 def plain_lines(texts, similarity=0.8):
-    pattern = re.compile(line_dedup.SHINGLE, re.A)
     lines = {}
     for text in texts:
         for line in (text or "").split("\n"):
             if line.strip(" \t\r\x0b\x0c"):
-                lines.setdefault(line.strip(" \t\r\x0b\x0c"), set(pattern.findall(line.strip(" \t\r\x0b\x0c"))))
+                lines.setdefault(line.strip(" \t\r\x0b\x0c"), fives(line.strip(" \t\r\x0b\x0c")))
     names = list(lines)
     root = {n: n for n in names}
 
@@ -335,12 +334,12 @@ def test_line_dedup_of_crowded_buckets(spark):
     assert all(near(i, i + 1) for i in range(0, len(texts), 2))
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     documents = documents.withColumn("row", F.xxhash64("doc_id", "text"))
-    distinct = line_dedup.pinned(line_dedup.distinct_lines(line_dedup.lines_of(documents), 6, 3))
-    roots = {r.node: r.root for r in line_dedup.linked(distinct, documents, 6, 0.8).collect()}
+    distinct = line_dedup.pinned(line_dedup.distinct_lines(line_dedup.lines_of(documents), 8, 4))
+    roots = {r.node: r.root for r in line_dedup.linked(distinct, documents, 8, 0.8).collect()}
     buckets, doc = {}, {}
     for r in distinct.collect():
         doc[r.id] = r.doc_id
-        for b in range(6):
+        for b in range(8):
             buckets.setdefault(r[f"b{b}"], []).append(r.id)
     assert max(map(len, buckets.values())) > 20
     for ids in buckets.values():
