@@ -4,9 +4,11 @@ A page becomes a tree. Every node gets its characters per tag, adjusted for the
 linked characters and linked tags; a node's sum is that of its block children's densities.
 The node with the largest sum is the main part. The least density on its path up to body
 is the page's threshold: other parts join it only if they reach that density with
-text-bearing blocks of their own. A main part inside an article or main element stands for
-that element. Page furniture is taken out before anything is counted; a class name or id
-alone takes nothing out that holds most of the page's unlinked text.
+text-bearing blocks of their own; so do single blocks beside the main part and the headings
+before them. A main part inside an article or main element stands for the outermost such
+element. Page furniture is taken out before anything is counted; a class name or id alone
+takes nothing out that holds most of the page's unlinked text, unless it names an element
+beside an article, or reader comments in or beside one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,6 +55,10 @@ NOISE = frozenset(
     "recommended newsletter subscribe subscription signup widget widgets pagination pager "
     "toolbar skip hidden".split()
 )
+COMMENTS = frozenset("comment comments commentlist comment-list comments-area disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that may stand beside the main part of a page without a container of their own.
+SINGLE = frozenset("p blockquote pre ul ol dl table figure".split())
 COMPOUNDS = frozenset(
     "ad-banner ad-slot ad-container ad-wrapper cookie-banner cookie-notice cookie-consent "
     "related-posts related-articles share-buttons social-share social-links comment-list "
@@ -93,14 +100,20 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
 
 def sounds_like_noise(tag: str, attributes: str) -> bool:
     """Whether a whole class name or id is one that furniture has."""
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+    return any(
+        word in HEADS or word in NOISE or word.replace("_", "-") in COMPOUNDS for word in names_of(tag, attributes)
+    )
+
+
+def names_of(tag: str, attributes: str) -> list[str]:
+    """The class names and the id of an element; those of the outermost ones say nothing."""
+    if not attributes or tag in ("html", "body", "main"):
+        return []
+    out = []
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
-            for word in (a or b or c).lower().split():
-                if word in HEADS or word in NOISE or word.replace("_", "-") in COMPOUNDS:
-                    return True
-    return False
+            out += (a or b or c).lower().split()
+    return out
 
 
 class Tree:
@@ -108,6 +121,8 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.gone, self.noise = ["body"], [-1], [False], [False]
+        self.remark, self.semantic = [False], [False]
+        self.opened: Counter[str] = Counter()
         self.events: list[tuple[int, str]] = []
         self.read(page)
         if any(self.noise):
@@ -136,12 +151,15 @@ class Tree:
             if tag in VOID:
                 continue
             above = open_[-1]
-            in_article = any(self.tag[n] in ("article", "main") for n in open_)
+            noise = sounds_like_noise(tag, inside)
             self.tag.append(tag)
             self.parent.append(above)
-            self.gone.append(self.gone[above] or is_furniture(tag, inside, in_article))
-            self.noise.append(sounds_like_noise(tag, inside))
+            self.gone.append(self.gone[above] or is_furniture(tag, inside, self.semantic[above]))
+            self.noise.append(noise)
+            self.remark.append(noise and any(w.replace("_", "-") in COMMENTS for w in names_of(tag, inside)))
+            self.semantic.append(self.semantic[above] or tag in ("article", "main"))
             open_.append(len(self.tag) - 1)
+            self.opened[tag] += 1
             if tag in RAW:
                 end = RAW_END[tag].search(page, at)
                 at = end.start() if end else len(page)
@@ -158,8 +176,17 @@ class Tree:
                 plain[node] += len("".join(text.split()))
         for i in range(n - 1, 0, -1):
             plain[self.parent[i]] += plain[i]
+        within = [False] * n  # in something that sounds like noise
+        articles = 0
         for i in range(1, n):
-            noise = self.noise[i] and 2 * plain[i] <= plain[0]
+            within[i] = within[self.parent[i]] or self.noise[i]
+        for node, text in self.events:
+            if self.semantic[node] and not within[node] and not linked[node]:
+                articles += len("".join(text.split()))
+        for i in range(1, n):
+            beside = articles and (self.remark[i] or not self.semantic[self.parent[i]])
+            inner = self.tag[i] in ("article", "main") and not self.remark[i]
+            noise = self.noise[i] and not inner and (2 * plain[i] <= plain[0] or beside)
             self.gone[i] = self.gone[i] or self.gone[self.parent[i]] or noise
         self.events = [(node, text) for node, text in self.events if not self.gone[node]]
 
@@ -178,22 +205,29 @@ class Tree:
         if tag in ENDS_P:
             self.pop(open_, ["p"], SCOPE)
 
+    def leave(self, open_: list[int], i: int) -> None:
+        for node in open_[i:]:
+            self.opened[self.tag[node]] -= 1
+        del open_[i:]
+
     def pop(self, open_: list[int], names: list[str], until: frozenset[str]) -> None:
+        if not any(self.opened[name] for name in names):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if self.tag[open_[i]] in names:
                 self.border(open_[i])
-                del open_[i:]
+                self.leave(open_, i)
                 return
             if self.tag[open_[i]] in until:
                 return
 
     def close(self, open_: list[int], tag: str) -> None:
-        for i in range(len(open_) - 1, 0, -1):
+        for i in range(len(open_) - 1, 0, -1) if self.opened[tag] else ():
             name = self.tag[open_[i]]
             if name == tag:
                 if tag not in INLINE:
                     self.border(open_[i])
-                del open_[i:]
+                self.leave(open_, i)
                 return
             if tag in INLINE and name not in INLINE:
                 return  # a stray end of an inline element does not close blocks
@@ -231,6 +265,16 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
     return density, total
 
 
+def beside(tree: Tree, density: list[float], best: int, threshold: float) -> Iterator[int]:
+    """Single blocks beside the main part that reach the threshold, and headings before it."""
+    if not best:
+        return
+    for i in range(1, len(tree.tag)):
+        if tree.parent[i] == tree.parent[best] and density[i]:
+            if tree.tag[i] in SINGLE and density[i] >= threshold or tree.tag[i] in HEADINGS and i < best:
+                yield i
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -245,11 +289,11 @@ def main_text(page: str | None) -> str:
         path.append(tree.parent[path[-1]])
     threshold = min(density[i] for i in path)
     semantic = [i for i in path if tree.tag[i] in ("article", "main")]
-    chosen = {semantic[0] if semantic else best}
-    chosen.update(
-        i for i in range(1, n)
-        if not semantic and i not in path and total[i] and density[i] >= threshold
-    )
+    chosen = {semantic[-1] if semantic else best}
+    if not semantic:
+        on_path = set(path)
+        chosen.update(i for i in range(1, n) if i not in on_path and total[i] and density[i] >= threshold)
+        chosen.update(beside(tree, density, best, threshold))
     inside = [False] * n
     for i in range(n):
         inside[i] = i in chosen or (i > 0 and inside[tree.parent[i]])

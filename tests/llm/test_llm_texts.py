@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -37,6 +38,41 @@ PAGES = {
 }
 
 
+
+ARTICLE = "The article says a good deal about things that matter to people. " * 2
+REMARK = "A reader remarks at length on what was said above and goes on. " * 8
+
+
+def test_html_text_of_several_articles():
+    """Titles, leads and second articles stay; comments go, however long they are."""
+    text = ARTICLE.strip()
+    assert html_text.main_text(
+        f"<nav>menu</nav><main><h1>Title</h1><p>Lead</p><article><p>{ARTICLE}</p></article></main>"
+    ) == f"Title Lead {text}"
+    assert html_text.main_text(
+        f"<main><article><p>One. {ARTICLE}</p></article><article><p>Two. {ARTICLE}</p></article></main>"
+    ) == f"One. {text} Two. {text}"
+    for page in (
+        f"<article><p>{ARTICLE}</p></article><article class='comment'><p>{REMARK}</p></article>",
+        f"<article><p>{ARTICLE}</p><div class=comments><p>{REMARK}</p></div></article>",
+        f"<div class=ad>{REMARK}</div><article><p>{ARTICLE}</p></article>",
+    ):
+        assert html_text.main_text(page) == text
+    for block in (ARTICLE, f"<p>{ARTICLE}</p><p>{ARTICLE}</p>"):
+        page = f"<h1>Head</h1><div>{block}</div><p>Closing words of the page.</p>"
+        assert html_text.main_text(page) == " ".join(["Head", *[text] * max(1, block.count("<p>")), "Closing words of the page."])
+
+
+def test_html_text_of_deep_and_stray_tags():
+    for page, want in (
+        ("<div>" * 50_000 + "deep", "deep"), ("</div>" * 50_000 + "x", "x"), ("<b></div>" * 25_000 + "x", "x"),
+        ("<p>" * 50_000 + "x", "x"),
+    ):
+        begun = time.process_time()
+        assert html_text.main_text(page) == want
+        assert time.process_time() - begun < 2
+
+
 def test_main_text(spark):
     pages = [(i, "u", h, 5) for i, h in enumerate([*PAGES, None])]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text int")
