@@ -58,7 +58,8 @@ NOISE = frozenset(
 COMMENTS = frozenset("comment comments commentlist comment-list comments-area disqus reply replies respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that may stand beside the main part of a page without a container of their own.
-SINGLE = frozenset("p blockquote pre ul ol dl table figure".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+SINGLE = frozenset("ul ol dl table figure".split())
 COMPOUNDS = frozenset(
     "ad-banner ad-slot ad-container ad-wrapper cookie-banner cookie-notice cookie-consent "
     "related-posts related-articles share-buttons social-share social-links comment-list "
@@ -266,12 +267,14 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
 
 
 def beside(tree: Tree, density: list[float], best: int, threshold: float) -> Iterator[int]:
-    """Single blocks beside the main part that reach the threshold, and headings before it."""
+    """Blocks beside the main part: unlinked paragraphs, others that reach the threshold,
+    and headings before it."""
     if not best:
         return
     for i in range(1, len(tree.tag)):
         if tree.parent[i] == tree.parent[best] and density[i]:
-            if tree.tag[i] in SINGLE and density[i] >= threshold or tree.tag[i] in HEADINGS and i < best:
+            tag = tree.tag[i]
+            if tag in PARAGRAPHS or tag in SINGLE and density[i] >= threshold or tag in HEADINGS and i < best:
                 yield i
 
 
