@@ -21,6 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 NONE = 1 << 62
 PLACE = 32  # low bits of a leaf hold the place
@@ -180,6 +181,8 @@ class WordBpe:
             p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"
         )
         self.words = regex.compile(split)
+        library = Tokenizer.from_str(source)
+        self.library = library.normalizer, library.pre_tokenizer
         marks = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -190,6 +193,15 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
+    def words_of(self, piece: str) -> list[str]:
+        """Pre-tokens. Beyond U+0300 the order of marks and the classes of letters depend on
+        the Unicode version, so there the library's own tables decide."""
+        if max(piece, default="") < "\u0300":
+            return self.words.findall(self.normalise(piece))
+        normalizer, pre_tokenizer = self.library
+        text = normalizer.normalize_str(piece)
+        return [text[begin:end] for _, (begin, end) in pre_tokenizer.pre_tokenize_str(text)]
+
     def cut(self, text: str | None) -> list[str]:
         """Pieces between blanks and line ends, special tokens apart."""
         text = text or ""
@@ -239,7 +251,7 @@ class WordBpe:
         if len(self.known) + len(new) > self.MEMORY:
             self.known.clear()
             new = list(pieces)
-        words = [[] if p in self.added else self.words.findall(self.normalise(p)) for p in new]
+        words = [[] if p in self.added else self.words_of(p) for p in new]
         distinct = list({w for found in words for w in found})
         ids = dict(zip(distinct, self.ids_of(distinct)))
         for piece, found in zip(new, words):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -39,6 +40,21 @@ PAGES = {
 
 
 
+def test_bpe_of_all_of_unicode():
+    """Letters with marks of any age, and code points without a character."""
+    rng = random.Random(1)
+    chars = [chr(c) for c in range(32, 0x20000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in chars if unicodedata.category(c)[0] == "M"]
+    letters = [c for c in chars if unicodedata.category(c)[0] == "L"]
+    texts = ["i\u0611\u08cfu"]
+    for _ in range(4000):
+        texts.append(rng.choice(letters) + "".join(rng.choices(marks, k=3)) + rng.choice(letters))
+        texts.append("".join(rng.choices(chars + [" ", "a", "\n"] * 9000, k=rng.randint(1, 9))))
+    library = Tokenizer.from_file(WORD)
+    ids = bpe.WordBpe(open(WORD, encoding="utf-8").read()).encode(texts)
+    assert ids == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 ARTICLE = "The article says a good deal about things that matter to people. " * 2
 REMARK = "A reader remarks at length on what was said above and goes on. " * 8
 
