@@ -153,6 +153,13 @@ def merge_rows(symbols: np.ndarray, counts: np.ndarray, table: PairTable) -> np.
     return symbols
 
 
+def runs(labels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of each run of one label."""
+    if len(labels):
+        begin = np.flatnonzero(np.append(True, labels[1:] != labels[:-1]))
+        yield from zip(begin.tolist(), np.append(begin[1:], len(labels)).tolist())
+
+
 class WordBpe:
     """Encoder and decoder of a BPE file with an end-of-word suffix and lower-casing.
 
@@ -270,10 +277,14 @@ class WordBpe:
                 hashlib.sha256(" ".join(decoded).encode()).hexdigest(),
             )
 
-    def found(self, texts: list[str | None], group: int = 500) -> Iterator[list[tuple[int, str, str]]]:
-        """What is remembered of each text's pieces, without the empty ones."""
-        for at in range(0, len(texts), group):
-            cuts = [self.cut(t) for t in texts[at : at + group]]
+    def found(self, texts: list[str | None], most: int = 1 << 20) -> Iterator[list[tuple[int, str, str]]]:
+        """What is remembered of each text's pieces, without the empty ones.
+
+        Texts of about ``most`` characters are cut at once, or a longer one alone.
+        """
+        ends = np.cumsum([len(t or "") for t in texts]) // most
+        for at, end in runs(ends):
+            cuts = [self.cut(t) for t in texts[at:end]]
             self.learn(set().union(*cuts))
             known = self.known
             for pieces in cuts:
