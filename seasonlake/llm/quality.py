@@ -102,7 +102,7 @@ class OrdinalModel:
 
 
 def fit(
-    bins: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = 1250, batch: int = 128,
+    bins: list[np.ndarray], grades: np.ndarray, levels: int, steps: int = 4000, batch: int = 128,
     rate: float = 0.5, shrink: float = 5e-4, start: float = 0.1, least_documents: int = 20, seed: int = 5,
 ) -> OrdinalModel:
     """Maximum likelihood by AdaGrad with soft-thresholded weights.
