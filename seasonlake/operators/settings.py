@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seasonlake.session import pinned
+
 #: Settings rows that are sent to every task; more of them are joined by shuffle.
 BROADCAST_SETTINGS = 1000
 
@@ -13,11 +15,11 @@ BROADCAST_SETTINGS = 1000
 def with_settings(df: DataFrame, settings: Sequence[dict] | DataFrame, fields: Sequence[str]) -> DataFrame:
     """Every row once per settings row, with the named fields attached.
 
-    A list of settings is an exploded literal: no join and no shuffle. A table is
-    counted: up to ``BROADCAST_SETTINGS`` rows are broadcast, more are dealt into chunks
-    of that many. Facts then meet every chunk in one of several shards, settings are
-    copied to every shard, and each (chunk, shard) is a part of its own, so neither side
-    is gathered and the output is made where both meet.
+    A list of settings is an exploded literal: no join and no shuffle. Of a table, the
+    side with up to ``BROADCAST_SETTINGS`` rows is broadcast, the settings first. With
+    more on both sides settings are dealt into chunks of that many and facts into shards;
+    facts are copied to every chunk, settings to every shard, and each (chunk, shard) is
+    a part of its own, so neither side is gathered and the output is made where both meet.
     """
     if not isinstance(settings, DataFrame):
         rows = [F.struct(*[F.lit(s[f]).alias(f) for f in fields]) for s in settings]
@@ -26,7 +28,16 @@ def with_settings(df: DataFrame, settings: Sequence[dict] | DataFrame, fields: S
     table = settings.select(F.struct(*fields).alias("_settings"))
     many = table.count()
     chunks = max(1, -(-many // BROADCAST_SETTINGS))
-    shards = 1 if chunks == 1 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if chunks == 1:
+        small, shards = "settings", 1
+    else:
+        df = pinned(df)
+        shards = min(parts, max(1, -(-df.count() // BROADCAST_SETTINGS)))
+        small = "facts" if shards == 1 else None
+    if small == "facts":
+        # a table of settings may be one short file, and its output is many times longer
+        chunks, table = 1, table.repartition(parts)
 
     def dealt(rows: DataFrame, parts: int, own: str) -> DataFrame:
         return rows.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
@@ -36,7 +47,14 @@ def with_settings(df: DataFrame, settings: Sequence[dict] | DataFrame, fields: S
 
     facts = copied(dealt(df, shards, "_shard"), chunks, "_chunk")
     table = copied(dealt(table, chunks, "_chunk"), shards, "_shard")
-    joined = facts.join(F.broadcast(table) if chunks == 1 else table, ["_shard", "_chunk"])
+    # Spark takes a copied side for as small as it was, so the way of the join is named
+    if small == "settings":
+        table = F.broadcast(table)
+    elif small == "facts":
+        facts = F.broadcast(facts)
+    else:
+        facts = facts.hint("merge")
+    joined = facts.join(table, ["_shard", "_chunk"])
     return joined.select(*df.columns, *[F.col(f"_settings.{f}").alias(f) for f in fields])
 
 
@@ -52,8 +70,11 @@ def by_position(position: Column, values: dict[str, Column]) -> Column:
 def linear_points(
     prices: dict[str, str], pooled: Sequence[str] = (), pooled_price: str | None = None
 ) -> Column:
-    """Sum of stat x price; the ``pooled`` stats are added up and priced once."""
-    total = F.lit(0.0)
+    """Sum of stat x price; the ``pooled`` stats are added up and priced once.
+
+    Whole stats under whole prices stay whole, so their sum is exact.
+    """
+    total = F.lit(0)
     for stat, price in prices.items():
         total = total + F.col(stat) * F.col(price)
     if pooled:

@@ -14,6 +14,7 @@ from seasonlake.operators import (
     replacement, settings, shrinkage, strategy,
 )
 from seasonlake.plans import learned
+from seasonlake.session import pinned
 
 
 def frame(spark, rows, schema):
@@ -266,6 +267,31 @@ def test_settings_table_of_any_size(spark, monkeypatch):
     assert settings.with_settings(facts, table.limit(0), ["league_key"]).count() == 0
 
 
+def test_copied_side_of_a_settings_join_is_never_broadcast(spark, monkeypatch):
+    """Stored tables look small to the planner, their copies are not."""
+    monkeypatch.setattr(settings, "BROADCAST_SETTINGS", 100)
+    facts = pinned(spark.range(700).withColumn("x", F.col("id") * 2))
+    table = pinned(spark.range(3000).select(F.col("id").alias("league_key"), (F.col("id") % 9).alias("price")))
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    both = settings.with_settings(facts, table, ["league_key", "price"])
+    assert "BroadcastHashJoin" not in plan_of(both) and "SortMergeJoin" in plan_of(both)
+    few = settings.with_settings(facts.where("id < 50"), table, ["league_key", "price"])
+    assert "BroadcastHashJoin" in plan_of(few) and "BuildLeft" in plan_of(few)
+    for out, n in ((both, 700 * 3000), (few, 50 * 3000)):
+        assert out.count() == n and out.select("id", "league_key").distinct().count() == n
+        assert out.where("price <> league_key % 9 OR x <> id * 2").count() == 0
+
+
+def test_whole_points_are_priced_exactly(spark):
+    big = 2**53 + 1
+    df = frame(spark, [(3, big, 7, 101)], "a long, b long, pa long, pb long")
+    got = df.select(settings.linear_points({"a": "pa", "b": "pb"}).alias("p")).first()["p"]
+    assert got == 21 + big * 101
+
+
 def test_in_every_group_counts_groups_without_a_hit(spark):
     every = frame(spark, [("a", "x"), ("a", "y"), ("b", "x")], "strategy string, league string")
     good = every.where("league = 'x'")
