@@ -61,8 +61,11 @@ def one_hot(value: Column, levels: Sequence[str], prefix: str) -> list[Column]:
 
 
 def error_metrics(actual: Column, predicted: Column) -> dict[str, Column]:
-    """Aggregates: n, mae, rmse and R2 = 1 - SSres / SStot."""
-    residual = actual - predicted
+    """Aggregates: n, mae, rmse and R2 = 1 - SSres / SStot.
+
+    Squares are floats: those of whole cents pass a long's range within a few 100,000 rows.
+    """
+    residual = (actual - predicted).cast("double")
     both = residual.isNotNull()
     spread = F.var_pop(F.when(both, actual)) * F.count(residual)
     return {

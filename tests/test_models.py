@@ -292,6 +292,12 @@ def test_whole_points_are_priced_exactly(spark):
     assert got == 21 + big * 101
 
 
+def test_squared_errors_of_whole_numbers_do_not_overflow(spark):
+    df = spark.range(4).select(F.lit(3_000_000_000).alias("a"), (F.col("id") * 0).alias("p"))
+    got = df.agg(*[c.alias(n) for n, c in stats.error_metrics(F.col("a"), F.col("p")).items()]).first()
+    assert got["rmse"] == 3e9 == got["mae"] and got["n"] == 4 and got["r2"] is None
+
+
 def test_in_every_group_counts_groups_without_a_hit(spark):
     every = frame(spark, [("a", "x"), ("a", "y"), ("b", "x")], "strategy string, league string")
     good = every.where("league = 'x'")
