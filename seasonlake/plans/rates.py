@@ -46,32 +46,48 @@ def upcoming(seasons: DataFrame) -> Column:
     return seasons.agg((F.max("season") + 1).alias("m")).scalar()
 
 
+#: Marks of a line, one bit each beside its week.
+MARKS = ("in20", "_in10", "returned", "touchbacks")
+
+
 def shipments(t: Tables) -> DataFrame:
-    orders = t.orders().select("order_id", "entity_id").join(
-        t.entities().select("entity_id", "team"), "entity_id"
-    ).select("order_id", "team")
+    """(supplier, season, line): week and marks as one number, units, nation of the customer.
+
+    All lines cross the network twice, to their orders and to their supplier's season, so
+    rows are a few numbers wide; the nation's name comes to the counted cells.
+    """
+    orders = t.orders().select("order_id", F.col("entity_id").alias("c_custkey")).join(
+        t.raw("customer").select("c_custkey", "c_nationkey"), "c_custkey"
+    ).select("order_id", F.col("c_nationkey").alias("n_nationkey"))
+    gained = F.when(F.col("return_flag") == "R", 2)
+    marks = {
+        "in20": F.col("discount_pct") <= 2,
+        "_in10": 50 - F.col("units") + F.coalesce(gained, F.lit(0)) < 10,
+        "returned": F.col("return_flag") == "R",
+        "touchbacks": F.col("return_flag") == "A",
+    }
+    bits = sum((F.when(marks[m], 1 << i).otherwise(0) for i, m in enumerate(MARKS)), F.coalesce("week", F.lit(0)) * 16)
     lines = t.lines().select(
-        "order_id", F.col("supplier_id").alias("entity_id"), "season", "week", "units",
-        "discount_pct", "return_flag",
+        "order_id", F.col("supplier_id").alias("entity_id"), "season", bits.alias("_line"), "units"
     )
-    return lines.join(orders, "order_id")
+    return lines.join(orders, "order_id").drop("order_id")
 
 
 def weekly(t: Tables) -> DataFrame:
     """(supplier, season, week): counts, the capped derived count and weekly points."""
-    gained = F.when(F.col("return_flag") == "R", 2)
-    close = 50 - F.col("units") + F.coalesce(gained, F.lit(0)) < 10
     week = ["entity_id", "season", "week"]
-    cells = shipments(t).groupBy(*week, "team").agg(
+    number = F.shiftright("_line", 4)
+    # one exchange: cells, weeks and seasons of a supplier's season are then made where it lies
+    placed = shipments(t).repartition("entity_id", "season").withColumn("week", F.when(number > 0, number))
+    cells = placed.groupBy(*week, "n_nationkey").agg(
         F.count(F.lit(1)).alias("punts"),
         F.sum("units").alias("yards"),
-        F.count_if(F.col("discount_pct") <= 2).alias("in20"),
-        F.count_if(close).alias("_in10"),
-        F.count_if(F.col("return_flag") == "R").alias("returned"),
-        F.count_if(F.col("return_flag") == "A").alias("touchbacks"),
+        *[F.count_if(F.col("_line").bitwiseAND(F.lit(1 << i)) > 0).alias(m) for i, m in enumerate(MARKS)],
     )
+    nation = t.raw("nation").select("n_nationkey", F.col("n_name").alias("team"))
+    sums = ("punts", "yards", *MARKS)
+    cells = cells.join(F.broadcast(nation), "n_nationkey").groupBy(*week, "team").agg(*[F.sum(c).alias(c) for c in sums])
     # the week's team is the one shipped to most, taken in the same pass as the sums
-    sums = ("punts", "yards", "in20", "_in10", "returned", "touchbacks")
     stats = cells.groupBy(*week).agg(
         F.min_by("team", F.struct(-F.col("punts"), F.col("team"))).alias("team"),
         *[F.sum(c).alias(c) for c in sums],

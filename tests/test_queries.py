@@ -49,6 +49,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_joined_lines_cross_the_network_once_on_the_way_to_supplier_seasons(spark):
+    """Orders are broadcast at this size, so the one exchange is that by supplier and season."""
+    assert plan_of(QUERIES["scored_weeks"](spark, FOLDER)).count("Exchange hashpartitioning") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["scan_pruned"](spark, FOLDER))
     assert "EqualTo(l_returnflag,R)" in plan
