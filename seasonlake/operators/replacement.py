@@ -72,10 +72,15 @@ def points_over_replacement(
     position: str = "position",
     points: str = "league_points",
     entity: str = "entity_id",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Position rank, replacement level and the difference, for every row of the pool."""
+    """Position rank, replacement level and the difference, for every row of the pool.
+
+    ``keep`` names the columns that rows carry along; all of the pool's if not given.
+    """
     levels = replacement_levels(pool, keys, slots, flex, depth, position, points, entity)
-    ranked = with_position(pool, [*keys, position], points, entity)
+    carried = pool if keep is None else pool.select(*keys, position, entity, points, *keep)
+    ranked = with_position(carried, [*keys, position], points, entity)
     joined = ranked.join(levels, [*keys, position])
     return joined.withColumn(
         "points_over_replacement", F.col(points) - F.col("replacement_level_points")

@@ -9,7 +9,7 @@ from seasonlake.operators.ranking import with_rank
 from seasonlake.session import pinned
 
 
-def surplus_table(
+def surplus_rows(
     board: DataFrame,
     curves: DataFrame,
     projected: DataFrame,
@@ -17,11 +17,11 @@ def surplus_table(
     entity: str = "entity_id",
     digits: int = 6,
 ) -> DataFrame:
-    """Expected value from the curve, realised and projected surplus, ranks and centring.
+    """Expected value from the curve, realised and projected surplus and centring, stored once.
 
     ``board`` holds played rows with actual_value and live rows without; ``curves``
     the points of one curve per (league, position, season). Surpluses are rounded to ``digits`` so
-    that equal ones tie; ranks run across positions inside (league, season).
+    that equal ones tie.
     """
     keys = ["league_key", "season"]
     cell = [*keys, "position"]
@@ -38,9 +38,26 @@ def surplus_table(
     )
     df = pinned(df)
     means = df.groupBy(*keys).agg(F.avg("surplus_value").alias("_mean"))
-    out = df.join(means, keys, "left").withColumn(
+    return df.join(F.broadcast(means), keys, "left").withColumn(
         "surplus_centered", F.col("surplus_value") - F.col("_mean")
     ).drop("_mean")
+
+
+def surplus_ranks(rows: DataFrame) -> DataFrame:
+    """``surplus_rows`` with both ranks, across positions inside (league, season)."""
+    out = rows
     for value, name in (("surplus_value", "surplus_rank"), ("projected_surplus", "projected_surplus_rank")):
-        out = with_rank(out, keys, value, descending=True, keep_null=True, source=df, rank=name)
+        out = with_rank(out, ["league_key", "season"], value, descending=True, keep_null=True, source=rows, rank=name)
     return out
+
+
+def surplus_table(
+    board: DataFrame,
+    curves: DataFrame,
+    projected: DataFrame,
+    x: str,
+    entity: str = "entity_id",
+    digits: int = 6,
+) -> DataFrame:
+    """``surplus_rows`` of the board with both ranks."""
+    return surplus_ranks(surplus_rows(board, curves, projected, x, entity, digits))

@@ -15,7 +15,7 @@ from seasonlake.plans.leagues import REFERENCE
 from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.outcomes import ASKING, asking_prices
 from seasonlake.plans.registry import query
-from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, surplus_board
+from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, unranked_surplus
 from seasonlake.session import pinned
 
 
@@ -183,7 +183,7 @@ _EDGES = ", ".join(f"quantile_cont(projected_surplus, {i / 10}) AS e{i}" for i i
 )
 def decile_table(t: Tables) -> DataFrame:
     """Realised surplus by decile of the preseason call."""
-    df = t.gold("surplus", lambda: surplus_board(t)).where(
+    df = unranked_surplus(t).where(
         (F.col("league_key") == REFERENCE) & F.col("surplus_value").isNotNull() & F.col("projected_surplus").isNotNull()
     )
     return quantile_bins(df, "projected_surplus", 10).groupBy("bin").agg(

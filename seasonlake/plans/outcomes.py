@@ -1,5 +1,7 @@
 """Scoring, replacement level and outcome buckets over the driver tables."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.operators.outcomes import outcome_buckets, played_role, price_ranks
@@ -43,8 +45,8 @@ def league_pool(t: Tables) -> DataFrame:
     return pool.withColumn("league_points", points)
 
 
-def over_replacement(t: Tables) -> DataFrame:
-    return points_over_replacement(league_pool(t), ("league_key", "season"), SLOTS, FLEX, DEPTH)
+def over_replacement(t: Tables, keep: Sequence[str] | None = None) -> DataFrame:
+    return points_over_replacement(league_pool(t), ("league_key", "season"), SLOTS, FLEX, DEPTH, keep=keep)
 
 
 _SLOT_CASE = "CASE position " + " ".join(f"WHEN '{p}' THEN {c}" for p, c in SLOTS.items()) + " END"
@@ -188,7 +190,7 @@ def buckets(t: Tables) -> DataFrame:
     chart = orders.groupBy("entity_id", "season", "week").agg(starter.alias("is_starter"))
     played = orders.where(F.col("status") != "P").select("entity_id", "season", "week").distinct()
     return outcome_buckets(
-        t.gold("por", lambda: over_replacement(t)), price_ranks(asking_prices(t)),
+        t.gold("por", lambda: over_replacement(t, keep=["games_played", "team_count"])), price_ranks(asking_prices(t)),
         played_role(chart, played),
         min_games=MIN_GAMES,
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from seasonlake.functions.stats import correlation
-from seasonlake.operators.ranking import group_percentiles, top_k
+from seasonlake.operators.ranking import group_percentiles, top_k, with_rank
 from seasonlake.plans.baselines import BASELINE
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.consensus import _PRICED
@@ -18,11 +18,11 @@ from seasonlake.plans.registry import query
 from seasonlake.plans.strategy import (
     OPENING, ROSTERS, STRATEGY, opening_sequences, results, summary,
 )
-from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, surplus_board
+from seasonlake.plans.value import ARCHETYPE, FULL_VALUE, archetype_frame, unranked_surplus
 
 
 def surplus(t: Tables) -> DataFrame:
-    return t.gold("surplus", lambda: surplus_board(t))
+    return unranked_surplus(t)
 
 
 def archetypes(t: Tables) -> DataFrame:
@@ -360,8 +360,11 @@ def report_best_value(t: Tables) -> DataFrame:
     df = surplus(t)
     newest = df.agg(F.max("season").alias("m")).scalar()
     live = df.where(
-        (F.col("league_key") == REFERENCE) & (F.col("season") == newest) & F.col("projected_surplus").isNotNull() & (F.col("price") <= BOARD_DEPTH)
+        (F.col("league_key") == REFERENCE) & (F.col("season") == newest) & F.col("projected_surplus").isNotNull()
     )
+    # ranked among all of its season, whatever the price
+    live = with_rank(live, ["league_key", "season"], "projected_surplus", descending=True, rank="projected_surplus_rank")
+    live = live.where(F.col("price") <= BOARD_DEPTH)
     best = top_k(live, ["position"], [F.col("projected_surplus").desc(), F.col("entity_id")], 8)
     return best.select("position", "entity_id", F.round("price", 1).alias("price"), "projected_surplus", "projected_surplus_rank")
 

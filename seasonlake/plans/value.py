@@ -10,7 +10,7 @@ from seasonlake.operators.outcomes import archetype, walk_forward_edge
 from seasonlake.operators.ranking import with_rank
 from seasonlake.operators.replacement import replacement_levels
 from seasonlake.operators.settings import with_settings
-from seasonlake.operators.value import surplus_table
+from seasonlake.operators.value import surplus_ranks, surplus_rows
 from seasonlake.plans.baselines import BASELINE, baseline
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.consensus import _PRICED
@@ -67,6 +67,10 @@ def priced_board_query(t: Tables) -> DataFrame:
     )
 
 
+BOARD_COLUMNS = ["league_key", "season", "entity_id", "position", "price", "slot",
+                 "actual_por", "actual_value", "never_played"]
+
+
 def valued_board(t: Tables) -> DataFrame:
     """Board with points over replacement and the value floored at zero."""
     levels = replacement_levels(league_pool(t), ("league_key", "season"), SLOTS, FLEX, DEPTH)
@@ -75,7 +79,7 @@ def valued_board(t: Tables) -> DataFrame:
     valued = df.withColumn("actual_por", por).withColumn(
         "actual_value", floor_at(por, 0.0)
     ).withColumn("slot", slot_of(F.col("price")))
-    return pinned(valued.drop(*FIELDS[1:], "replacement_level_points"))
+    return pinned(valued.select(*BOARD_COLUMNS))
 
 
 def price_curves(t: Tables, valued: DataFrame) -> DataFrame:
@@ -200,12 +204,14 @@ SURPLUS = """allb AS (
     FROM su)"""
 
 
-def surplus_board(t: Tables) -> DataFrame:
-    """Realised and projected surplus over what the price has returned before."""
+def unranked_surplus(t: Tables) -> DataFrame:
+    """The stored rows of ``surplus_board`` without its ranks, each of which moves all rows again."""
+    return t.gold("unranked_surplus", lambda: build_unranked_surplus(t))
+
+
+def build_unranked_surplus(t: Tables) -> DataFrame:
     valued = valued_board(t)
     curves = price_curves(t, valued)
-    columns = ["league_key", "season", "entity_id", "position", "price", "slot",
-               "actual_por", "actual_value", "never_played"]
     asked = asking_prices(t).where(F.col("position").isin(*POSITIONS))
     last = t.newest_season()
     live = with_settings(asked.where(F.col("season") > last), SETTINGS, ["league_key"])
@@ -214,10 +220,14 @@ def surplus_board(t: Tables) -> DataFrame:
         F.lit(None).cast("double").alias("actual_por"),
         F.lit(None).cast("double").alias("actual_value"), F.lit(False).alias("never_played"),
     )
-    board = valued.select(*columns).unionByName(live)
-    df = surplus_table(board, curves, projected_values(t), "slot", digits=2)
-    df = df.withColumn("surplus_centered", F.round("surplus_centered", 1))
-    return df.select(
+    board = valued.unionByName(live)
+    df = surplus_rows(board, curves, projected_values(t), "slot", digits=2)
+    return df.withColumn("surplus_centered", F.round("surplus_centered", 1))
+
+
+def surplus_board(t: Tables) -> DataFrame:
+    """Realised and projected surplus over what the price has returned before."""
+    return surplus_ranks(unranked_surplus(t)).select(
         "league_key", "season", "entity_id", "position", "price", "never_played",
         "curve_train_seasons", "expected_value", "actual_value", "surplus_value", "projected_value",
         "projected_surplus", "actual_por", "projected_por", "surplus_rank", "projected_surplus_rank",
@@ -290,7 +300,7 @@ def archetype_frame(t: Tables) -> DataFrame:
     rows = prior_counters(rows, ["league_key", "entity_id"], F.col("is_elite_finish"))
     rows = rows.where(F.col("price").isNotNull())
     rows = rows.join(people_facts(t), "entity_id", "left")
-    surplus = t.gold("surplus", lambda: surplus_board(t)).select("league_key", "season", "entity_id", "surplus_centered", "projected_surplus")
+    surplus = unranked_surplus(t).select("league_key", "season", "entity_id", "surplus_centered", "projected_surplus")
     rows = rows.join(surplus, ["league_key", "season", "entity_id"], "left")
     rows = rows.withColumn("seasons_of_experience", F.col("season") - F.col("first_season"))
     rows = rows.withColumn("age_at_season", F.col("season") - year_of(F.col("birth_date")))

@@ -54,6 +54,18 @@ def test_joined_lines_cross_the_network_once_on_the_way_to_supplier_seasons(spar
     assert plan_of(QUERIES["scored_weeks"](spark, FOLDER)).count("Exchange hashpartitioning") == 1
 
 
+def test_stored_tables_behind_the_archetypes_hold_no_passengers(spark):
+    """Neither settings nor names travel with the buckets, and no rank is made for the classes."""
+    from seasonlake.plans import bindings
+
+    bindings.forget_gold()
+    QUERIES["archetype_class"](spark, FOLDER)
+    stored = {key[-1]: set(df.columns) for key, df in bindings._GOLD.items()}
+    for name in ("por", "buckets"):
+        assert not stored[name] & {"entity_name", "f_pts", "miss_pts", "flex_slots", "points_c", "n_urgent"}, name
+    assert not any({"surplus_rank", "projected_surplus_rank"} & columns for columns in stored.values())
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(QUERIES["scan_pruned"](spark, FOLDER))
     assert "EqualTo(l_returnflag,R)" in plan
