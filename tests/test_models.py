@@ -298,6 +298,13 @@ def test_squared_errors_of_whole_numbers_do_not_overflow(spark):
     assert got["rmse"] == 3e9 == got["mae"] and got["n"] == 4 and got["r2"] is None
 
 
+def test_floor_stays_below_ceiling_when_fewer_than_no_games_are_expected(spark):
+    df = frame(spark, [(5.0, -0.5, 12.0, 3.0, 9.0), (5.0, 2.0, 12.0, 3.0, 9.0), (5.0, -0.5, 12.0, None, None)],
+               "rate double, games double, role_games double, p10 double, p90 double")
+    got = learn.season_totals(df, "rate", "games").select("projected_points_floor", "projected_points_ceiling").collect()
+    assert [tuple(r) for r in got] == [(-4.5, -1.5), (6.0, 18.0), (None, None)]
+
+
 def test_in_every_group_counts_groups_without_a_hit(spark):
     every = frame(spark, [("a", "x"), ("a", "y"), ("b", "x")], "strategy string, league string")
     good = every.where("league = 'x'")
