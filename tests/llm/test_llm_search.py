@@ -348,6 +348,21 @@ def test_line_dedup_of_crowded_buckets(spark):
                 assert not near(doc[a], doc[b]) or roots.get(a, a) == roots.get(b, b)
 
 
+def test_marks_tell_long_lines_apart(spark):
+    """Lines of some 1200 characters over few different shingles, which share buckets by chance."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghinorst", k=rng.randint(3, 9)))
+    common = [word() for _ in range(400)]
+    texts = [" ".join(rng.choices(common, k=170)) for _ in range(30)]
+    texts += [t[:100] + "é" + t[101:] for t in texts[:5]]
+    documents = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    distinct = line_dedup.pinned(line_dedup.distinct_lines(line_dedup.lines_of(documents), 8, 4))
+    assert {r.doc_id: r.n for r in distinct.collect()} == {i: len(t) - 4 for i, t in enumerate(texts)}
+    pairs = distinct.alias("x").join(distinct.alias("y"), F.col("x.doc_id") < F.col("y.doc_id"))
+    left = pairs.where(line_dedup.in_reach("x", "y", line_dedup.words_of(distinct), 0.8)).select("x.doc_id", F.col("y.doc_id").alias("other"))
+    assert {tuple(r) for r in left.collect()} == {(i, 30 + i) for i in range(5)}
+
+
 def rated(rng, n):
     rows, labels = [], []
     common = [f"word{i}" for i in range(300)]
