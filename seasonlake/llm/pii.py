@@ -22,6 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonlake.llm.common import batches
+
+#: Bytes of documents that a worker reads at a time.
+RUN_BYTES = 1 << 20
 #: The kinds and patterns are fixed by the contract of the query.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -100,7 +104,7 @@ WINDOW, STRIDE, MARGIN = 96, 48, 32
 
 def class_table() -> np.ndarray:
     """Class of each code point below 128; all others are letters of class 1."""
-    table = np.full(128, 2, dtype=np.int64)
+    table = np.full(128, 2, dtype=np.uint8)
     for c in range(128):
         if chr(c).isalpha():
             table[c] = LETTER + ord(chr(c).lower()) - ord("a")
@@ -389,7 +393,7 @@ def plausible(kind: str, text: str, before: str, behind: str) -> bool:
     return least <= digits <= most
 
 
-def model_spans(texts: list[str], tagger: Tagger, most_windows: int = 4096) -> list[list[Span]]:
+def model_spans(texts: list[str], tagger: Tagger, most_windows: int = 2048) -> list[list[Span]]:
     """Spans of every text after reconciling its overlapping windows."""
     codes = [classes(t) for t in texts]
     places = [(i, s) for i, c in enumerate(codes) for s in window_starts(c)]
@@ -454,14 +458,15 @@ def find_pii(
     """
     tagger = fitted(documents.select(F.col(text).alias("text")), train_rows).single()
     sent = documents.sparkSession.sparkContext.broadcast(tagger)
-    narrow = documents.select(F.struct(*documents.columns).alias("row"), F.col(text).alias("text"))
-    kind = narrow.schema["row"].dataType.simpleString()
+    narrow = documents.select(F.struct(*documents.columns).alias("row"))
+    kind, place = narrow.schema["row"].dataType.simpleString(), documents.columns.index(text)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for part in parts:
-            given = part.column("text").to_pylist()
+        # a part is read in runs of bounded text, so that no worker holds more than a run
+        for part in (run for whole in parts for run in batches(whole, RUN_BYTES, "row")):
+            given = part.column("row").field(place).to_pylist()
             texts = [t or "" for t in given]
             base = [base_spans(t) for t in texts]
             every = [all_spans(*found) for found in zip(texts, base, model_spans(texts, model))]

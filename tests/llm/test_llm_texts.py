@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seasonlake.llm import bpe, html_text, packing, pii
@@ -271,6 +272,23 @@ def test_pii_base_and_edges(spark):
     assert masked[9] == "é [ip] é" and masked[4] is None and masked[5] == ""
 
 
+def test_pii_reads_bounded_runs(spark, monkeypatch):
+    """A worker classifies and tags a run of bounded text at a time, however many rows a batch has."""
+    whole, most = pii.model_spans, 2 << 20
+
+    def bounded(texts, tagger):
+        assert sum(map(len, texts)) <= most
+        return whole(texts, tagger)
+
+    monkeypatch.setattr(pii, "model_spans", bounded)
+    untrained = pii.train(*pii.labelled_windows([]))
+    monkeypatch.setattr(pii, "train", lambda codes, tags: untrained)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("and so on "), 200), F.lit("to a@b.org")).alias("text"))
+    found = pii.find_pii(df.coalesce(1)).select("row.doc_id", "base", "masked").collect()
+    assert len(found) == 3000
+    assert all(r.masked.endswith("to [email]") and len(r.base) == 1 for r in found)
+
+
 def test_crf_gradients():
     rng = np.random.default_rng(0)
     tagger = pii.Tagger.fresh(3, 1)
