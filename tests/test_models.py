@@ -496,6 +496,30 @@ def test_fits_do_not_hang_on_the_input_order(spark, tmp_path, monkeypatch):
     assert trained == {2000: 0, 2001: 150, 2002: 300, 2003: 450}
 
 
+def test_donors_are_drawn_in_many_tasks(spark, monkeypatch):
+    """Rows that lie in one stored part are dealt out before their donors are drawn."""
+    monkeypatch.setattr(learn, "DRAWS_PER_PART", 50)
+    df = frame(spark, [(i, float(i)) for i in range(40)], "id long, x double").coalesce(1)
+    drawn = learn.permuted_rows(df, ["x"], "id", 5)
+    assert "hashpartitioning(_row#" in (plan := drawn._jdf.queryExecution().executedPlan().toString()) and ", 4), REPARTITION_BY_NUM" in plan
+    found = drawn.select("_rep", "_row", "_donor").collect()
+    assert {(r[0], r[1]) for r in found} == {(r[0], r[2]) for r in found} == {(k, i) for k in range(1, 6) for i in range(40)}
+
+
+def test_importance_builds_one_arm(spark, monkeypatch):
+    """The frame of the arm without a baseline is not built for the importance of the other."""
+    from seasonlake.plans import learned
+    from seasonlake.plans.bindings import Tables, forget_gold
+
+    built, gold = [], Tables.gold
+    monkeypatch.setattr(Tables, "gold", lambda self, name, build: built.append(name) or gold(self, name, build))
+    monkeypatch.setattr(learn, "boosted", lambda *given, **more: None)
+    monkeypatch.setattr(learn, "permutation_importance", lambda model, fold, *given: fold)
+    forget_gold()
+    assert learned.importance(Tables(spark, "/root/testdata/sf0.001")).count() > 0
+    assert "learn_old" in built and "learn_new" not in built
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 1000, 1023])
 def test_shuffled_places_are_a_permutation(spark, size):
     df = spark.range(size).withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
