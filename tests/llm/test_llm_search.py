@@ -348,6 +348,38 @@ def test_line_dedup_of_crowded_buckets(spark):
                 assert not near(doc[a], doc[b]) or roots.get(a, a) == roots.get(b, b)
 
 
+def test_line_dedup_of_copies_of_a_frequent_line(spark, monkeypatch):
+    """Copies that are near the line they were made from and not near each other: it is a
+    pivot, and what a crowd compares comes out as links, each once, not as pairs."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghinorst", k=rng.randint(3, 9)))
+    base = [word() for _ in range(60)]
+    texts = []
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(60), 4 if i % 3 else 9):
+            own[at] = word()
+        texts.append(" ".join(own))
+    texts.insert(60, " ".join(base))
+    documents = spark.createDataFrame(list(enumerate([*texts, texts[60], texts[60]])), "doc_id long, text string")
+    documents = documents.withColumn("row", F.xxhash64("doc_id", "text"))
+    distinct = line_dedup.pinned(line_dedup.distinct_lines(line_dedup.lines_of(documents), 8, 4))
+    lines = {r.id: r for r in distinct.collect()}
+    sets = {i: fives(texts[r.doc_id]) for i, r in lines.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    meet = lambda a, b: any(lines[a][f"b{k}"] == lines[b][f"b{k}"] for k in range(8))
+    center = next(i for i, r in lines.items() if r.doc_id == 60)
+    inside = line_dedup.pinned(line_dedup.bucketed(distinct, 8))
+    first = {tuple(r) for r in line_dedup.first_pairs(inside, distinct, 0.8).collect()}
+    around = {(min(i, center), max(i, center)) for i in lines if i != center and meet(i, center) and near(i, center)}
+    assert len(around) > 70 and around <= first
+    monkeypatch.setattr(line_dedup, "SHARE", 16)
+    monkeypatch.setattr(line_dedup, "CROWD", 20)
+    left = inside.select("id", "key", "size", F.col("id").alias("root"), F.rand(3).alias("draw")).join(distinct, "id")
+    links = [tuple(r) for r in line_dedup.further_links(left, left, 8, 0.8).collect()]
+    assert sorted(links) == sorted((a, b) for a in lines for b in lines if a < b and meet(a, b) and near(a, b))
+
+
 def test_marks_tell_long_lines_apart(spark):
     """Lines of some 1200 characters over few different shingles, which share buckets by chance."""
     rng = random.Random(8)
