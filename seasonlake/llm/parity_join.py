@@ -444,18 +444,18 @@ def labelled_sets(narrow: DataFrame, size: int, t: Threshold) -> tuple[DataFrame
     met = pinned(shared_parts(offers(narrow, size, t, parts, frequent(one))))
     pairs = pinned(within_sketch(met.where("crowd = 0").select("a", "b"), one, t))
     links = verified(pairs, narrow, one, size, t)
-    roots = pinned(components(links))
+    roots = components(links)
     # a partner has at least top / base of a set's size, so at least that slack
     least = F.floor(F.floor(F.col("n") * t.top / t.base) / 8)
     busy = met.where("crowd = -1").join(one.select(F.col("set").alias("a"), "n"), "a").where(F.col("keys") > least)
     crowds = met.where("crowd > 0").select("crowd", "a").join(busy.select("a"), "a", "left_semi")
     if crowds.limit(1).count():
         named = with_roots(one, roots).select("set", "root", "n", "bits")
-        likely = pinned(components(pinned(rivals(crowds, named, t))))
+        likely = components(pinned(rivals(crowds, named, t)))
         if likely.limit(1).count():
             more = pinned(settled(likely, named, narrow, one, size, t))
             known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = pinned(components(known.union(more)))
+            roots = components(known.union(more))
     return docs, pinned(with_roots(one, roots).select("set", "root", "copies", "first"))
 
 

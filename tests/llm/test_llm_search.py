@@ -1,7 +1,9 @@
 """URL filter, vector searches, near duplicates, lines and quality against plain versions."""
 
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, duck
+from seasonlake import session
 from seasonlake.llm import line_dedup, max_score, parity_join, quality, rotated_codes, url_filter
 from seasonlake.llm.components import components
 from seasonlake.llm.queries import ORACLES, QUERIES
@@ -380,6 +383,27 @@ def test_line_dedup_of_copies_of_a_frequent_line(spark, monkeypatch):
     assert sorted(links) == sorted((a, b) for a in lines for b in lines if a < b and meet(a, b) and near(a, b))
 
 
+def test_line_dedup_keeps_only_what_its_result_reads(spark):
+    """No shuffle outlives the stage that made it, no stored stage the one that read it."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghinorst", k=rng.randint(3, 9)))
+    lines = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"{lines[i % 40]} {word()}\n{word()}") for i in range(120)], "doc_id long, text string")
+    session.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    folders, files = set(os.listdir(folder)), shuffles()
+    cleaned = line_dedup.dedup_lines(df)
+    left = set(os.listdir(folder)) - folders
+    until = time.time() + 10
+    while shuffles() - files and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) == 1 and not shuffles() - files
+    assert spark.conf.get(session.CLEANUP, None) in (None, "false")
+    assert sum(r.n_removed for r in cleaned.collect()) >= 80
+
+
 def test_marks_tell_long_lines_apart(spark):
     """Lines of some 1200 characters over few different shingles, which share buckets by chance."""
     rng = random.Random(8)
