@@ -351,6 +351,44 @@ def test_line_dedup_of_crowded_buckets(spark):
                 assert not near(doc[a], doc[b]) or roots.get(a, a) == roots.get(b, b)
 
 
+def test_line_dedup_moves_no_text_of_chance_buckets(spark, monkeypatch):
+    """Lines that share buckets and are not near meet by folded marks, without their texts."""
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choices("abcdefghinorst", k=rng.randint(3, 9)))
+    shared = " ".join(word() for _ in range(30))
+    texts = [f"{shared} {' '.join(word() for _ in range(15))}" for _ in range(150)]
+    # a twin of each of the first lines, with its last word changed
+    texts += [f"{t.rsplit(' ', 1)[0]} é" for t in texts[:10]]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = documents.withColumn("row", F.xxhash64("doc_id", "text"))
+    distinct = line_dedup.pinned(line_dedup.distinct_lines(line_dedup.lines_of(documents), 8, 4))
+    lines = {r.id: r for r in distinct.collect()}
+    sets = {i: fives(texts[r.doc_id]) for i, r in lines.items()}
+    meet = lambda a, b: any(lines[a][f"b{k}"] == lines[b][f"b{k}"] for k in range(8))
+    near = {
+        (a, b) for a in lines for b in lines
+        if a < b and meet(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    assert len(near) >= 8
+    inside = line_dedup.bucketed(distinct, 8).select("id", "key", "size", F.col("id").alias("root"), F.rand(3).alias("draw"))
+    inside = line_dedup.pinned(inside.join(line_dedup.folds_of(distinct), "id"))
+    found = {r.id for r in line_dedup.with_partner(inside, inside, 0.8).collect()}
+    assert {i for pair in near for i in pair} <= found and len(found) < 40
+    moved, pinned = [], line_dedup.pinned
+
+    def watched(df):
+        out = pinned(df)
+        if {"line", "key"} <= set(out.columns):
+            moved.append(out.select("id").distinct().count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "pinned", watched)
+    roots = {r.node: r.root for r in line_dedup.linked(distinct, documents, 8, 0.8).collect()}
+    assert inside.where("size > 3").select("id").distinct().count() > 100 and sum(moved) < 40
+    assert all(roots[a] == roots[b] for a, b in near)
+    assert set(roots) == {i for pair in near for i in pair}
+
+
 def test_line_dedup_of_copies_of_a_frequent_line(spark, monkeypatch):
     """Copies that are near the line they were made from and not near each other: it is a
     pivot, and what a crowd compares comes out as links, each once, not as pairs."""
