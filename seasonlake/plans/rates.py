@@ -14,7 +14,7 @@ from seasonlake.operators.shrinkage import games_by_label, incumbency
 from seasonlake.plans.bindings import Tables
 from seasonlake.plans.oracle_parts import ENT, L, O
 from seasonlake.plans.registry import query
-from seasonlake.session import pinned
+from seasonlake.session import pinned, sizes_measured
 
 BACK = 3
 MIN_GAMES = 6
@@ -114,7 +114,8 @@ def supplier_seasons(t: Tables) -> DataFrame:
 
 
 def seasons_table(t: Tables) -> DataFrame:
-    return t.gold("supplier_seasons", lambda: supplier_seasons(t))
+    with sizes_measured(t.spark):
+        return t.gold("supplier_seasons", lambda: supplier_seasons(t))
 
 
 WEEKLY = """sh AS (
@@ -359,6 +360,12 @@ def backtest(t: Tables) -> DataFrame:
     return fold_metrics(long, ("target_season", "prediction"), "actual", "predicted", "entity_id")
 
 
+def backtest_table(t: Tables) -> DataFrame:
+    """``backtest``, stored; its plans join seasons to seasons many times over."""
+    with sizes_measured(t.spark):
+        return t.gold("backtest", lambda: backtest(t))
+
+
 FOLDS = f"""fm AS (SELECT tg.target, avg(points) AS league_mean FROM tg JOIN ss ON ss.season < tg.target WHERE games >= {MIN_GAMES} GROUP BY 1),
   mg AS (SELECT target, avg(expected_games) AS mean_games FROM eg GROUP BY 1),
   fo AS (
@@ -392,7 +399,7 @@ BACKTEST = f"{SEASONS}, {FIT}, {PROJ}, {FOLDS}"
 )
 def fold_metrics_query(t: Tables) -> DataFrame:
     """Walk-forward backtest of the projection and three naive predictions."""
-    df = backtest(t)
+    df = backtest_table(t)
     return df.select(
         "target_season", "prediction", "n",
         *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2", "spearman")],

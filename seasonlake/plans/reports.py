@@ -12,7 +12,7 @@ from seasonlake.plans.leagues import REFERENCE
 from seasonlake.plans.oracle_parts import ENT, O
 from seasonlake.plans.outcomes import ASKING, BUCKETS, CHART, POR, buckets, over_replacement
 from seasonlake.plans.rates import (
-    BACKTEST, FIT, PREDICTIONS, PROJ, SEASONS, UPCOMING, backtest, projections, seasons_table, upcoming,
+    BACKTEST, FIT, PREDICTIONS, PROJ, SEASONS, UPCOMING, backtest_table, projections, seasons_table, upcoming,
 )
 from seasonlake.plans.registry import query
 from seasonlake.plans.strategy import (
@@ -87,7 +87,7 @@ def report_same_season(t: Tables) -> DataFrame:
 )
 def report_backtest_pooled(t: Tables) -> DataFrame:
     """Every prediction averaged over its folds."""
-    return t.gold("backtest", lambda: backtest(t)).groupBy("prediction").agg(
+    return backtest_table(t).groupBy("prediction").agg(
         mean_of("mae", 6), mean_of("rmse", 6), mean_of("spearman", 6, "rank_r"),
         F.sum("top10_hits").alias("top10_hits"), (F.count(F.lit(1)) * 10).alias("top10_of"),
         F.count(F.lit(1)).alias("seasons"),
@@ -102,7 +102,7 @@ def report_backtest_pooled(t: Tables) -> DataFrame:
 )
 def report_backtest_pivot(t: Tables) -> DataFrame:
     """Mean absolute error, season by prediction."""
-    df = t.gold("backtest", lambda: backtest(t))
+    df = backtest_table(t)
     return df.groupBy("target_season").pivot("prediction", list(PREDICTIONS)).agg(F.round(F.max("mae"), 6))
 
 

@@ -6,7 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,27 +59,47 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 #: Spark's switch that frees the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_writes, _lock, _before = 0, threading.Lock(), None
+#: Sides of a join that are broadcast: none by the size of its files, some by what they measure.
+MEASURED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2MB"}
+_lock = threading.Lock()
+_set: dict[tuple[str, ...], tuple[int, dict[str, str | None]]] = {}
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries that end inside leave no shuffle files; otherwise these stay until the
-    driver happens to collect its garbage. Calls may overlap in threads."""
-    global _writes, _before
+def _while_set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold until the last of overlapping calls ends, in whatever threads."""
+    key = tuple(settings)
     with _lock:
-        if not _writes:
-            _before = spark.conf.get(CLEANUP, None)
-            spark.conf.set(CLEANUP, "true")
-        _writes += 1
+        calls, before = _set.get(key, (0, {}))
+        if not calls:
+            before = {name: spark.conf.get(name, None) for name in settings}
+            for name, value in settings.items():
+                spark.conf.set(name, value)
+        _set[key] = calls + 1, before
     try:
         yield
     finally:
         with _lock:
-            _writes -= 1
-            if not _writes:
-                spark.conf.unset(CLEANUP) if _before is None else spark.conf.set(CLEANUP, _before)
+            calls, before = _set.pop(key)
+            if calls > 1:
+                _set[key] = calls - 1, before
+            else:
+                for name, value in before.items():
+                    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries that end inside leave no shuffle files; otherwise these stay until the
+    driver happens to collect its garbage. Calls may overlap in threads."""
+    return _while_set(spark, {CLEANUP: "true"})
+
+
+def sizes_measured(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries planned inside broadcast a side of a join only once it has been shuffled and
+    is known to be small. The size of its files tells little: stored keys may take a thirtieth
+    of what their rows take on the driver, and one plan may broadcast ten such sides."""
+    return _while_set(spark, MEASURED)
 
 
 def pinned(df: DataFrame) -> DataFrame:

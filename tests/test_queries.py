@@ -97,3 +97,28 @@ def test_same_rows_for_any_partition_count(spark, as_rows):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert first == second
+
+
+def test_backtest_broadcasts_only_what_it_has_measured(spark, monkeypatch):
+    """File sizes decide no broadcast: stored keys take many times more on the driver."""
+    from seasonlake import session
+    from seasonlake.operators import ranking
+    from seasonlake.plans import bindings, rates, reports
+
+    plans, pinned = [], session.pinned
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pinned(df)
+
+    for module in (bindings, rates, ranking):
+        monkeypatch.setattr(module, "pinned", watched)
+    before = {name: spark.conf.get(name, None) for name in session.MEASURED}
+    bindings.forget_gold()
+    found = reports.report_backtest_pivot(bindings.Tables(spark, FOLDER))
+    bindings.forget_gold()
+    joins = [plan.count("Join ") for plan in plans]
+    broadcast = [plan.count("BroadcastHashJoin ") for plan in plans]
+    assert sum(joins) > 20 and sum(broadcast) == 1  # the 25 nations, by a hint
+    assert {name: spark.conf.get(name, None) for name in session.MEASURED} == before
+    assert found.columns == ["target_season", "model", "prior_points", "prior_ppg", "league_mean"]
