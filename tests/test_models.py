@@ -496,6 +496,62 @@ def test_fits_do_not_hang_on_the_input_order(spark, tmp_path, monkeypatch):
     assert trained == {2000: 0, 2001: 150, 2002: 300, 2003: 450}
 
 
+def test_fits_have_no_indicator_of_what_is_never_missing(spark, tmp_path):
+    """A bin that no tree can split on is not summed; the predictions are those with it."""
+    rng = random.Random(6)
+    rows = [
+        (i, s, rng.uniform(0, 1), rng.uniform(0, 1) if i % 4 else None, float(i % 3), rng.uniform(0, 9))
+        for s in range(2000, 2003) for i in range(200)
+    ]
+    df = frame(spark, rows, "id long, target_season long, a double, b double, c double, y double")
+    models = {"p": ("y", ["a", "b", "c"]), "q": ("y", ["a", "c"])}
+    out = learn.walk_forward(df, [2002], models, entity="id", store=str(tmp_path), maxIter=8)
+    p, q = (GBTRegressionModel.load(f"{tmp_path}/{name}-2002") for name in "pq")
+    assert (p.numFeatures, q.numFeatures) == (4, 2)
+    fold, train = df.where("target_season = 2002"), df.where("target_season < 2002")
+    for name, model, features, lacking in (("p", p, ["a", "b", "c"], ["b"]), ("q", q, ["a", "c"], None)):
+        whole = learn.boosted(train, features, "y", entity="id", maxIter=8)
+        assert whole.numFeatures == 2 * len(features)
+        asked = {r["id"]: r[name] for r in out.collect()}
+        assert asked == {r["id"]: r["p"] for r in learn.predicted(whole, fold, features, "p").collect()}
+        assert asked == {r["id"]: r["p"] for r in learn.predicted(model, fold, features, "p", lacking).collect()}
+    with pytest.raises(ValueError):
+        learn.predicted(p, fold, ["a", "b", "c"], "p")
+
+
+def test_fits_of_whole_numbers_read_equal_rows_once(spark, monkeypatch):
+    """The predictions are those of a fit on every row; leaves count rows, not cells."""
+    rng = random.Random(12)
+    rows = []
+    for s in range(2000, 2004):
+        for i in range(400):
+            a, b, c = rng.randrange(12), rng.choice([0, 0, 0, 1, None]), rng.randrange(3)
+            rows.append((i, s, float(a), b, c, a * 3 + c * (b or 4) + rng.randrange(4)))
+    df = frame(spark, rows, "id long, target_season long, a double, b int, c int, y long")
+    fitted = []
+
+    class Watched(learn.GBTRegressor):
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(learn, "GBTRegressor", Watched)
+    out = learn.walk_forward(df, [2001, 2003], {"p": ("y", ["a", "b", "c"])}, entity="id", maxIter=20)
+    got = {(r["id"], r["target_season"]): r["p"] for r in out.collect()}
+    assert len(got) == 800 and len(fitted) == 2 and max(fitted) <= 12 * 3 * 3
+    for fold in (2001, 2003):
+        whole = learn.boosted(df.where(F.col("target_season") < fold), ["a", "b", "c"], "y", entity="id", maxIter=20)
+        for r in learn.predicted(whole, df.where(F.col("target_season") == fold), ["a", "b", "c"], "p").collect():
+            assert got[r["id"], fold] == pytest.approx(r["p"], abs=1e-9)
+    few = learn.walk_forward(df.where("id < 20"), [2001], {"p": ("y", ["a", "b", "c"])}, entity="id", maxIter=3)
+    mean = sum(r[5] for r in rows if r[0] < 20 and r[1] == 2000) / 20
+    assert {round(r["p"], 9) for r in few.collect()} == {round(mean, 9)}
+
+
+def test_few_large_fits_run_at_a_time():
+    assert [learn.fits_at_once(parts, 8) for parts in (0, 1, 2, 4, 8, 400)] == [8, 8, 8, 4, 2, 2]
+
+
 def test_donors_are_drawn_in_many_tasks(spark, monkeypatch):
     """Rows that lie in one stored part are dealt out before their donors are drawn."""
     monkeypatch.setattr(learn, "DRAWS_PER_PART", 50)
