@@ -385,6 +385,10 @@ def test_line_dedup_moves_no_text_of_chance_buckets(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "pinned", watched)
     roots = {r.node: r.root for r in line_dedup.linked(distinct, documents, 8, 0.8).collect()}
     assert inside.where("size > 3").select("id").distinct().count() > 100 and sum(moved) < 40
+    plan = line_dedup.chosen(distinct, inside)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(line_dedup, "SENT", 3)
+    assert "ResolvedHint" not in line_dedup.chosen(distinct, inside)._jdf.queryExecution().analyzed().toString()
     assert all(roots[a] == roots[b] for a, b in near)
     assert set(roots) == {i for pair in near for i in pair}
 
